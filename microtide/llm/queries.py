@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from microtide.llm import mixing
+from microtide.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
+        "op4_secrets": secrets.op4_secrets,
     }
 
 

@@ -24,8 +24,9 @@ LIMIT = 20 * GRID
 H_SHARE = 0.75
 STEPS = 4
 MIN_GROUP = 60
-#: Least standard deviation per statistic: a group that (nearly) never varies doesn't reject small change.
-FLOOR = 0.30
+#: Standard deviation added to each statistic's own: a group that (nearly) never varies doesn't
+#: reject small change, such as one line said twice.
+FLOORS = (0.6, 0.3, 0.15, 0.6, 0.6)
 #: Squared distances above this are outliers: the 1 - 1e-7 quantile of chi-squared with 5 degrees.
 CUTOFF = 42.3
 #: Bins of squared distance per factor e.
@@ -88,7 +89,7 @@ def _cholesky(df: DataFrame) -> DataFrame:
     for i, j in PAIRS:
         rest = F.col(f"s{i}{j}")
         if i == j:
-            rest = rest + F.lit((FLOOR * GRID) ** 2)
+            rest = rest + F.lit((FLOORS[i] * GRID) ** 2)
         for k in range(j):
             rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
@@ -160,8 +161,8 @@ def judge(docs: DataFrame, h_share: float = H_SHARE, steps: int = STEPS, min_gro
     """doc_id, h (hash of text), statistics, base_failed, distance2 and kept, per row of ``docs``.
 
     Estimates rest on rows that pass the base rules. A language and source with fewer than
-    ``min_group`` of them is pooled with its language's other small ones; a pool still smaller
-    judges by the base rules alone (distance2 null, kept). Null language or source is a value
+    ``min_group`` of them is pooled with its language's other small ones, and small pools with
+    each other; a last pool still smaller judges by the base rules alone (distance2 null, kept). Null language or source is a value
     like others; null text has no words and fails; an empty table gives no rows. A repeated row
     counts as often as it is there.
     """
@@ -169,9 +170,12 @@ def judge(docs: DataFrame, h_share: float = H_SHARE, steps: int = STEPS, min_gro
     ok = ~F.col("base_failed")
     base = base.select("doc_id", F.xxhash64("text", "g_lang", "g_source").alias("h"), *GROUP, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *[F.when(ok, x).alias(f"x{i}") for i, x in enumerate(_transformed())])
     base = materialize(base)
-    sizes = materialize(base.where(ok).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own")))
-    base = lookup_join(base, sizes, GROUP, ["doc_id"]).withColumn("pooled", F.coalesce(F.col("own"), F.lit(0)) < min_group)
-    base = base.withColumn("g_source", F.when(F.col("pooled"), F.lit("*")).otherwise(F.concat(F.lit("="), F.coalesce("g_source", F.lit(""))))).drop("own", "pooled")
+    marked = lambda c: F.concat(F.lit("="), F.coalesce(c, F.lit("")), F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")))
+    base = base.withColumns({c: marked(c) for c in GROUP})
+    for pool in GROUP[::-1]:
+        sizes = materialize(base.where(ok).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own")))
+        small = F.coalesce(F.col("own"), F.lit(0)) < min_group
+        base = lookup_join(base, sizes, GROUP, ["doc_id"]).withColumn(pool, F.when(small, F.lit("*")).otherwise(F.col(pool))).drop("own")
     vectors = base.where(ok).select("doc_id", *GROUP, *[f"x{i}" for i in range(P)])
     now = materialize(_start(vectors).where(F.col("n") >= min_group))
     for _ in range(steps):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from microtide.llm import mixing, quality, secrets
+from microtide.llm import decontaminate, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -10,8 +10,9 @@ def queries() -> dict:
         "op1_quality": quality.op1_quality,
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
+        "op6_decontamination": decontaminate.op6_decontamination,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op3_mixing": mixing.ORACLE_SQL}
+    return {"op3_mixing": mixing.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL}

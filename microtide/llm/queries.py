@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from microtide.llm import decontaminate, mixing, quality, secrets
+from microtide.llm import decontaminate, jaccard, lm_score, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_mixing": mixing.op3_mixing,
         "op4_secrets": secrets.op4_secrets,
         "op6_decontamination": decontaminate.op6_decontamination,
+        "op9_jaccard": jaccard.op9_jaccard,
+        "op10_lm_score": lm_score.op10_lm_score,
     }
 
 

@@ -8,12 +8,12 @@ l-prefixes: the n - ceil(t * n) + l first tokens of each. So each set leaves out
 frequent tokens of its l-prefix, and every such pair still meets in the rarest token that it
 shares. A longer prefix costs rows, but passages that many documents share drop out of it.
 Every set picks the l (of LEVELS) with the fewest estimated candidates and looks up the
-larger sets' l-prefixes; pairs found are verified on the whole sets.
+larger sets' l-prefixes. Pairs found that share at least l prefix tokens, for the largest l
+that both have, are verified on the whole sets.
 
 Where many sets meet in one token, pairs aren't all made: all members are compared with the
-most central one, and what links to it is one component. Jaccard distance is a metric, so only
-members whose distances to it differ by at most 1 - t need a look at each other, and of these
-only pairs that aren't both linked to it already.
+most central one, and what links to it is one component. Pairs of which both are linked to it
+need no look; the others are made and pass the same two tests.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ from microtide.llm.common import ascii_lower, materialize, table, words
 
 SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
-#: Multi-match levels, and the share of a set's size that a level may be.
-LEVELS = (1, 4, 16, 64, 256, 1024, 4096)
-LEVEL_SHARE = 0.15
+#: Multi-match levels. A level may be SHORT_SHARE of a set's size up to SHORT_LEVEL, beyond that LEVEL_SHARE.
+LEVELS = (1, 2, 4, 8, 16, 32, 64, 256, 1024, 4096)
+SHORT_LEVEL, SHORT_SHARE, LEVEL_SHARE = 64, 0.8, 0.05
 #: A token that more sets meet in is compared by way of a central member.
 STAR = 48
 
@@ -49,10 +49,10 @@ def _need(n: Column, t: Fraction) -> Column:
 
 
 def _cap(n: Column) -> Column:
-    """The largest level up to LEVEL_SHARE * n, 1 at least."""
+    """The largest level for a set of n; it never falls as n grows, so larger sets have every level of smaller ones."""
     out = F.lit(LEVELS[0])
     for level in LEVELS[1:]:
-        out = F.when(n * LEVEL_SHARE >= level, F.lit(level)).otherwise(out)
+        out = F.when(n * (SHORT_SHARE if level <= SHORT_LEVEL else LEVEL_SHARE) >= level, F.lit(level)).otherwise(out)
     return out
 
 
@@ -64,7 +64,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _prefix_rows(reps: DataFrame) -> DataFrame:
-    """(cid, n, base, shared: array of (df, token, rank)) of the sets that share a prefix token."""
+    """(cid, n, shared: array of (df, token, rank)) of the sets that share a prefix token."""
     rows = reps.select("cid", "n", F.posexplode("prefix").alias("rank", "token"))
     packed = rows.select("token", "cid", (F.col("n").cast("long") * (1 << 32) + F.col("rank")).alias("nr"))
     df = packed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -83,17 +83,29 @@ def _kept(level: int, t: Fraction) -> Column:
     return F.slice(inside, F.lit(1), F.greatest(F.size(inside) - (level - 1), F.lit(0)))
 
 
-def _buckets(shared: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
-    """Probes (cid, n, level, token) and index entries with the sets' centrality."""
-    fits = lambda level: _cap(F.col("n")) >= level
-    per = F.filter(F.array(*[F.when(fits(level), F.struct(F.lit(level).alias("level"), _kept(level, t).alias("kept"))) for level in LEVELS]), lambda x: x.isNotNull())
+def _levels(shared: DataFrame, t: Fraction) -> DataFrame:
+    """(cid, n, tokens, central, per): all shared prefix tokens, their mean frequency, and the entries per level."""
+    per = F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, F.struct(F.lit(level).alias("level"), _kept(level, t).alias("kept"))) for level in LEVELS]), lambda x: x.isNotNull() & (F.size(x["kept"]) > 0))
     central = F.aggregate("shared", F.lit(0).cast("long"), lambda acc, s: acc + s["df"]) / F.col("n")
-    levels = materialize(shared.select("cid", "n", central.alias("central"), per.alias("per")))
+    return shared.select("cid", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), central.alias("central"), per.alias("per"))
+
+
+def _buckets(levels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Probes at the level of least cost, the frequencies of its tokens, and the index entries of all levels."""
     cost = lambda x: F.aggregate(x["kept"], F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
-    best = F.element_at(F.sort_array(F.transform("per", lambda x: F.struct(cost(x).alias("cost"), x["level"].alias("level"), x["kept"].alias("kept")))), 1)
-    probes = levels.select("cid", "n", best.alias("b")).select("cid", "n", "b.level", F.explode("b.kept.token").alias("token"))
-    entries = levels.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept.token").alias("token"))
-    return probes, entries
+    best = F.get(F.sort_array(F.transform("per", lambda x: F.struct(cost(x).alias("cost"), x["level"].alias("level"), x["kept"].alias("kept")))), F.lit(0))
+    # A level without entries proves that nothing links.
+    some = levels.where(F.size("per") > 0)
+    probes = some.select("cid", "n", best.alias("b")).select("cid", "n", "b.level", F.explode("b.kept.token").alias("token"))
+    entries = some.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept.token").alias("token"))
+    return probes, entries.join(probes.select("level", "token").distinct(), ["level", "token"], "left_semi")
+
+
+def _multi_match(pairs: DataFrame, levels: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix tokens as the largest level that both have."""
+    of = lambda c: levels.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where(F.size(F.array_intersect("t_a", "t_b")) >= _cap(F.least("n_a", "n_b"))).select("a", "b")
 
 
 def _overlaps(pairs: DataFrame, full: DataFrame, heavy: int = 500) -> DataFrame:
@@ -144,42 +156,43 @@ def links(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHO
     t = threshold
     n = F.col("n")
     made = _sets(docs.select("doc_id", "text"), shingle)
+    sets = materialize(made.select("doc_id", "n", "cid"))
     prefix = F.slice("set", F.lit(1), (n - _need(n, t) + _cap(n)).cast("int"))
-    sets = materialize(made.select("doc_id", "n", "cid", prefix.alias("prefix")))
-    reps = sets.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    probes, entries = _buckets(_prefix_rows(reps), t)
+    # The class of empty sets has no prefix and leaves no rows.
+    reps = made.select("cid", "n", prefix.alias("prefix")).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    levels = materialize(_levels(_prefix_rows(reps), t))
+    probes, entries = _buckets(levels)
 
     at = ["level", "token"]
     sizes = materialize(entries.groupBy(*at).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "cid")).alias("top")).where("m > 1").select(*at, "m", F.col("top.cid").alias("pivot")))
-    near = (F.col("n") <= F.col("nb")) & (F.col("n") * t.denominator >= F.col("nb") * t.numerator) & (F.col("cid") != F.col("b"))
+    close = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
     larger = entries.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"))
     # Few sets in a bucket: all pairs of a probe and an entry. Many: each with the central one.
-    few = probes.join(sizes.where(F.col("m") <= STAR).select(*at), at).join(larger, at).where(near)
+    few = probes.join(sizes.where(F.col("m") <= STAR).select(*at), at).join(larger, at).where((F.col("n") <= F.col("nb")) & close("n", "nb") & (F.col("cid") != F.col("b")))
     pair = [F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")]
-    looked_up = sizes.where(F.col("m") > STAR).join(probes.select(*at).distinct(), at, "left_semi")
-    big = materialize(entries.join(looked_up.select(*at, "pivot"), at).select(*at, "pivot", "cid", "n"))
-    pairs = few.select(*pair).distinct()
-    star = big.where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    todo = materialize(pairs.withColumn("star", F.lit(False)).union(star.withColumn("star", F.lit(True))))
-
-    # The whole sets of those that are compared at all.
-    wanted = materialize(todo.select(F.col("a").alias("c")).union(todo.select(F.col("b").alias("c"))).distinct())
-    which = sets.select("doc_id", "cid").join(wanted, F.col("cid") == F.col("c"), "left_semi").groupBy("cid").agg(F.min("doc_id").alias("d"))
-    text = docs.select("doc_id", "text").join(which.select("d"), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    full = materialize(_sets(text, shingle).groupBy("cid").agg(F.first("set").alias("set")))
-
-    done = materialize(_overlaps(todo.select("a", "b").distinct(), full))
-    found = done.where(_linked("o", t)).select("a", "b")
-    slack = 1 - float(t) + 1e-9
-    distance = (1 - F.col("o") / (F.col("na") + F.col("nb") - F.col("o"))).alias("d")
-    to_pivot = materialize(done.select(F.col("a").alias("pivot"), F.col("b").alias("cid"), distance).union(done.select(F.col("b").alias("pivot"), F.col("a").alias("cid"), distance)))
-    measured = big.where("cid != pivot").join(to_pivot, ["pivot", "cid"])
-    outer = measured.where(F.col("d") > slack - 2e-9)
-    other = measured.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
-    similar = (F.least("n", "nb") * t.denominator >= F.greatest("n", "nb") * t.numerator) & (F.abs(F.col("d") - F.col("db")) <= slack) & (F.col("cid") != F.col("b"))
-    rest = materialize(outer.join(other, at).where(similar).select(*pair).distinct().join(todo.where(~F.col("star")).select("a", "b"), ["a", "b"], "left_anti"))
-    more = _overlaps(rest, full).where(_linked("o", t)).select("a", "b")
-    return sets.select("doc_id", "n", "cid"), materialize(found.union(more))
+    big = materialize(entries.join(sizes.where(F.col("m") > STAR).select(*at, "pivot"), at).select(*at, "pivot", "cid", "n"))
+    star = big.where("cid != pivot").select("cid", F.col("pivot").alias("b"))
+    todo = materialize(_multi_match(few.select(*pair).union(star.select(*pair)).distinct(), levels))
+    full = _full_sets(docs, sets, todo, shingle)
+    found = materialize(_overlaps(todo, full).where(_linked("o", t)).select("a", "b"))
+
+    either = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("pivot"), F.col("b").alias("cid"), F.lit(True).alias("linked"))
+    member = materialize(big.where("cid != pivot").join(either, ["pivot", "cid"], "left"))
+    outer = member.where("linked is null")
+    other = member.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("linked").alias("lb"))
+    once = (F.col("lb").isNotNull() | (F.col("cid") < F.col("b"))) & close("n", "nb")
+    rest = outer.join(other, at).where(once).select(*pair).distinct()
+    rest = materialize(_multi_match(rest, levels))
+    more = _overlaps(rest, _full_sets(docs, sets, rest, shingle)).where(_linked("o", t)).select("a", "b")
+    return sets, materialize(found.union(more))
+
+
+def _full_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """(cid, set) of the classes in ``pairs``, made again from one document of each."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+    which = sets.join(wanted, F.col("cid") == F.col("c"), "left_semi").groupBy("cid").agg(F.min("doc_id").alias("d"))
+    text = docs.select("doc_id", "text").join(materialize(which.select("d").distinct()), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
+    return materialize(_sets(text, shingle).groupBy("cid").agg(F.first("set").alias("set")))
 
 
 def join(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -191,6 +204,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOL
     with equal doc_ids are reported each; an empty table gives no rows.
     """
     sets, edges = links(docs, shingle, threshold)
+    sets = sets.select("doc_id", "n", "cid")
     roots = components(edges)
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, F.col("cid") == F.col("v"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")

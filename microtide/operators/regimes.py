@@ -85,15 +85,17 @@ def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3
     q = df.select(F.percentile(x, F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("q"), F.stddev_pop(x).alias("s")).first()
     model = Hmm([1 / k] * k, (np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))).tolist(), list(q["q"]), [max(q["s"] / k, 1e-6)] * k)
     rows = df.select(*keys, *order, x)
-    for _ in range(rounds):
-        now = model
 
-        def run(frame: pd.DataFrame, now=now) -> pd.DataFrame:
+    def expect(now: Hmm):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
             got = smoothed_counts(now, frame.sort_values(order)[x].to_numpy(float))
             flat = [(n, i, float(v)) for n, a in got.items() for i, v in enumerate(np.ravel(a))]
             return pd.DataFrame(flat, columns=["stat", "i", "v"])
 
-        sums = rows.groupBy(*keys).applyInPandas(run, "stat string, i int, v double").groupBy("stat", "i").agg(F.sum("v").alias("v")).orderBy("stat", "i").collect()
+        return run
+
+    for _ in range(rounds):
+        sums = rows.groupBy(*keys).applyInPandas(expect(model), "stat string, i int, v double").groupBy("stat", "i").agg(F.sum("v").alias("v")).orderBy("stat", "i").collect()
         s = {n: np.array([r["v"] for r in sums if r["stat"] == n]) for n in {r["stat"] for r in sums}}
         xi = s["xi"].reshape(k, k) + 1e-6
         mean = s["x"] / np.maximum(s["n"], 1e-9)

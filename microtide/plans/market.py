@@ -466,10 +466,10 @@ def drawdown(spark, d):
 
 @query(FILLS + """, c AS (SELECT l_partkey, side, price, qty, sum(qty) OVER (PARTITION BY l_partkey, side ORDER BY day, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING) AS e FROM f),
   x AS (SELECT b.l_partkey, least(b.e, s.e) - greatest(b.e - b.qty, s.e - s.qty) AS n, s.price - b.price AS g FROM c b JOIN c s ON b.l_partkey = s.l_partkey AND b.side = 'BUY' AND s.side = 'SELL' AND b.e - b.qty < s.e AND s.e - s.qty < b.e)
-  SELECT l_partkey, CAST(sum(n) AS BIGINT) AS matched_qty, round(sum(n * g), 4) AS realised FROM x GROUP BY 1""")
+  SELECT l_partkey, CAST(sum(n) AS BIGINT) AS matched_qty, round(sum(n * g), 7) AS realised FROM x GROUP BY 1""")
 def fifo_match(spark, d):
     out = evaluate.fifo_match(fills(spark, d), ["l_partkey"], ["day", "l_orderkey", "l_linenumber"], "side", "qty", "price")
-    return out.select("l_partkey", "matched_qty", r("realised", 4).alias("realised"))
+    return out.select("l_partkey", "matched_qty", r("realised", 7).alias("realised"))
 
 
 @query("""SELECT o_custkey, net, rank FROM (SELECT o_custkey, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, row_number() OVER (ORDER BY round(sum(l_extendedprice * (1 - l_discount)), 2) DESC, o_custkey) AS rank

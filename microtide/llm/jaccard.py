@@ -85,7 +85,7 @@ def _kept(level: int, t: Fraction) -> Column:
 
 def _levels(shared: DataFrame, t: Fraction) -> DataFrame:
     """(cid, n, tokens, central, per): all shared prefix tokens, their mean frequency, and the entries per level."""
-    per = F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, F.struct(F.lit(level).alias("level"), _kept(level, t).alias("kept"))) for level in LEVELS]), lambda x: x.isNotNull() & (F.size(x["kept"]) > 0))
+    per = F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, F.struct(F.lit(level).alias("level"), _kept(level, t).alias("kept"))) for level in LEVELS]), lambda x: x.isNotNull())
     central = F.aggregate("shared", F.lit(0).cast("long"), lambda acc, s: acc + s["df"]) / F.col("n")
     return shared.select("cid", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), central.alias("central"), per.alias("per"))
 
@@ -94,10 +94,9 @@ def _buckets(levels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Probes at the level of least cost, the frequencies of its tokens, and the index entries of all levels."""
     cost = lambda x: F.aggregate(x["kept"], F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
     best = F.get(F.sort_array(F.transform("per", lambda x: F.struct(cost(x).alias("cost"), x["level"].alias("level"), x["kept"].alias("kept")))), F.lit(0))
-    # A level without entries proves that nothing links.
-    some = levels.where(F.size("per") > 0)
-    probes = some.select("cid", "n", best.alias("b")).select("cid", "n", "b.level", F.explode("b.kept.token").alias("token"))
-    entries = some.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept.token").alias("token"))
+    # A level without entries costs nothing and proves that no larger set links: such a set has no probes.
+    probes = levels.select("cid", "n", best.alias("b")).select("cid", "n", "b.level", F.explode("b.kept.token").alias("token"))
+    entries = levels.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept.token").alias("token"))
     return probes, entries.join(probes.select("level", "token").distinct(), ["level", "token"], "left_semi")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("market", "reference_data", "models")
+MODULES = ("market", "reference_data", "features", "models")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

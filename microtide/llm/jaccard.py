@@ -8,12 +8,13 @@ l-prefixes: the n - ceil(t * n) + l first tokens of each. So each set leaves out
 frequent tokens of its l-prefix, and every such pair still meets in the rarest token that it
 shares. A longer prefix costs rows, but passages that many documents share drop out of it.
 Every set picks the l (of LEVELS) with the fewest estimated candidates and looks up the
-larger sets' l-prefixes. Pairs found that share at least l prefix tokens, for the largest l
-that both have, are verified on the whole sets.
+larger sets' l-prefixes; its own may be shorter, since the overlap with a set at least as large
+is at least 2 * t / (1 + t) of its tokens. Pairs found that share at least l prefix tokens, for
+the largest l that both have, are verified on the whole sets.
 
 Where many sets meet in one token, pairs aren't all made: all members are compared with the
-most central one, and what links to it is one component. Pairs of which both are linked to it
-need no look; the others are made and pass the same two tests.
+most central one, and only pairs of a probe and an entry that these links and all others leave
+in different components are made then, to pass the same two tests.
 """
 
 from __future__ import annotations
@@ -72,39 +73,49 @@ def _prefix_rows(reps: DataFrame) -> DataFrame:
     return shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list("s")).alias("shared"))
 
 
-def _kept(level: int, t: Fraction) -> Column:
-    """The entries at a level: the l-prefix's shared tokens without its l - 1 most frequent ones.
+def _kept(level: int, share: Fraction) -> Column:
+    """The tokens at a level for an overlap of ``share`` of the set: the l-prefix's shared tokens without its l - 1 most frequent ones.
 
     Tokens that no other set has are rarer than all shared ones, so of f shared tokens in the
     prefix the first f - (l - 1) in order of frequency stay.
     """
-    base = F.col("n") - _need(F.col("n"), t) + 1
+    base = F.col("n") - _need(F.col("n"), share) + 1
     inside = F.filter("shared", lambda s: s["rank"] < base + (level - 1))
     return F.slice(inside, F.lit(1), F.greatest(F.size(inside) - (level - 1), F.lit(0)))
 
 
 def _levels(shared: DataFrame, t: Fraction) -> DataFrame:
-    """(cid, n, tokens, central, per): all shared prefix tokens, their mean frequency, and the entries per level."""
-    per = F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, F.struct(F.lit(level).alias("level"), _kept(level, t).alias("kept"))) for level in LEVELS]), lambda x: x.isNotNull())
-    central = F.aggregate("shared", F.lit(0).cast("long"), lambda acc, s: acc + s["df"]) / F.col("n")
-    return shared.select("cid", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), central.alias("central"), per.alias("per"))
+    """(cid, n, tokens, central, ask, per): all shared prefix tokens, their mean frequency, the probe of least cost, and the entries per level."""
+    least = 2 * t / (1 + t)
+    df_sum = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
+    at = lambda make: F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, make(level)) for level in LEVELS]), lambda x: x.isNotNull())
+    per = at(lambda level: F.struct(F.lit(level).alias("level"), F.transform(_kept(level, t), lambda s: s["token"]).alias("kept")))
+    asks = at(lambda level: F.struct(df_sum(_kept(level, least)).alias("cost"), F.lit(level).alias("level"), F.transform(_kept(level, least), lambda s: s["token"]).alias("kept")))
+    central = df_sum(F.col("shared")) / F.col("n")
+    return shared.select("cid", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), central.alias("central"), F.get(F.sort_array(asks), F.lit(0)).alias("ask"), per.alias("per"))
 
 
 def _buckets(levels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Probes at the level of least cost, the frequencies of its tokens, and the index entries of all levels."""
-    cost = lambda x: F.aggregate(x["kept"], F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
-    best = F.get(F.sort_array(F.transform("per", lambda x: F.struct(cost(x).alias("cost"), x["level"].alias("level"), x["kept"].alias("kept")))), F.lit(0))
-    # A level without entries costs nothing and proves that no larger set links: such a set has no probes.
-    probes = levels.select("cid", "n", best.alias("b")).select("cid", "n", "b.level", F.explode("b.kept.token").alias("token"))
-    entries = levels.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept.token").alias("token"))
+    """Probes at the level of least cost, and the index entries of all levels that any probe looks up."""
+    # A level without probe tokens costs nothing and proves that no set of that size or more links: such a set has no probes.
+    probes = levels.select("cid", "n", "ask.level", F.explode("ask.kept").alias("token"))
+    entries = levels.select("cid", "n", "central", F.explode("per").alias("p")).select("cid", "n", "central", "p.level", F.explode("p.kept").alias("token"))
     return probes, entries.join(probes.select("level", "token").distinct(), ["level", "token"], "left_semi")
 
 
-def _multi_match(pairs: DataFrame, levels: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many prefix tokens as the largest level that both have."""
+def _multi_match(pairs: DataFrame, levels: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) whose largest prefixes share enough tokens.
+
+    That is the largest level that both have, and the overlap that sets of their sizes need less
+    what can lie behind the prefixes: of two prefixes the one that ends first in hash order
+    leaves out as many tokens of its set as it is short of it.
+    """
     of = lambda c: levels.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("tokens").alias(f"t_{c}"))
+    behind = lambda n: _need(n, t) - _cap(n)
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    least = F.greatest(_cap(F.least(n_a, n_b)), _need(n_a + n_b, t / (1 + t)) - F.greatest(behind(n_a), behind(n_b)))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where(F.size(F.array_intersect("t_a", "t_b")) >= _cap(F.least("n_a", "n_b"))).select("a", "b")
+    return both.where(F.size(F.array_intersect("t_a", "t_b")) >= least).select("a", "b")
 
 
 def _overlaps(pairs: DataFrame, full: DataFrame, heavy: int = 500) -> DataFrame:
@@ -146,44 +157,54 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components: edges between labels are left after {most} rounds")
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Documents with their classes (doc_id, n, cid), and links (a, b) that join all linked classes.
+def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Documents with their classes (doc_id, n, cid), and the components (v, root) of linked classes.
 
-    The links are verified ones, and enough of them that whatever set links to another is in
-    its component.
+    Not all links are made, but enough that whatever set links to another is in its component.
     """
     t = threshold
     n = F.col("n")
-    made = _sets(docs.select("doc_id", "text"), shingle)
-    sets = materialize(made.select("doc_id", "n", "cid"))
     prefix = F.slice("set", F.lit(1), (n - _need(n, t) + _cap(n)).cast("int"))
+    made = materialize(_sets(docs.select("doc_id", "text"), shingle).select("doc_id", "n", "cid", prefix.alias("prefix")))
+    sets = made.select("doc_id", "n", "cid")
     # The class of empty sets has no prefix and leaves no rows.
-    reps = made.select("cid", "n", prefix.alias("prefix")).groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = materialize(made.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
     levels = materialize(_levels(_prefix_rows(reps), t))
     probes, entries = _buckets(levels)
 
     at = ["level", "token"]
     sizes = materialize(entries.groupBy(*at).agg(F.count(F.lit(1)).alias("m"), F.max(F.struct("central", "cid")).alias("top")).where("m > 1").select(*at, "m", F.col("top.cid").alias("pivot")))
-    close = lambda x, y: F.least(x, y) * t.denominator >= F.greatest(x, y) * t.numerator
-    larger = entries.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"))
+    close = (n <= F.col("nb")) & (n * t.denominator >= F.col("nb") * t.numerator)
     # Few sets in a bucket: all pairs of a probe and an entry. Many: each with the central one.
-    few = probes.join(sizes.where(F.col("m") <= STAR).select(*at), at).join(larger, at).where((F.col("n") <= F.col("nb")) & close("n", "nb") & (F.col("cid") != F.col("b")))
+    few = sizes.where(F.col("m") <= STAR).select(*at)
+    few = probes.join(few, at).join(entries.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb")), at).where(close & (F.col("cid") != F.col("b")))
     pair = [F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")]
-    big = materialize(entries.join(sizes.where(F.col("m") > STAR).select(*at, "pivot"), at).select(*at, "pivot", "cid", "n"))
-    star = big.where("cid != pivot").select("cid", F.col("pivot").alias("b"))
-    todo = materialize(_multi_match(few.select(*pair).union(star.select(*pair)).distinct(), levels))
-    full = _full_sets(docs, sets, todo, shingle)
-    found = materialize(_overlaps(todo, full).where(_linked("o", t)).select("a", "b"))
-
-    either = found.union(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("pivot"), F.col("b").alias("cid"), F.lit(True).alias("linked"))
-    member = materialize(big.where("cid != pivot").join(either, ["pivot", "cid"], "left"))
-    outer = member.where("linked is null")
-    other = member.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("linked").alias("lb"))
-    once = (F.col("lb").isNotNull() | (F.col("cid") < F.col("b"))) & close("n", "nb")
-    rest = outer.join(other, at).where(once).select(*pair).distinct()
-    rest = materialize(_multi_match(rest, levels))
+    many = sizes.where(F.col("m") > STAR).select(*at, "pivot")
+    big = materialize(entries.join(many, at).select(*at, "pivot", "cid", "n"))
+    star = big.where("cid != pivot").select("cid", F.col("pivot").alias("b")).distinct()
+    todo = materialize(_multi_match(few.select(*pair).union(star.select(*pair)).distinct(), levels, t))
+    found = materialize(_overlaps(todo, _full_sets(docs, sets, todo, shingle)).where(_linked("o", t)).select("a", "b"))
+    roots = components(found)
+
+    # Pairs in large buckets that are in different components: one of them at least isn't in the pivot's.
+    of = lambda v, r: roots.select(F.col("v").alias(v), F.col("root").alias(r))
+    named = lambda df: df.join(of("cid", "r"), "cid", "left").join(of("pivot", "p"), "pivot", "left").select(*at, "cid", "n", F.coalesce("r", "cid").alias("r"), (F.coalesce("r", "cid") != F.coalesce("p", "pivot")).alias("outer"))
+    member = materialize(named(big))
+    mixed = materialize(member.where("outer").select(*at).distinct())
+    ask = materialize(named(probes.join(many.join(mixed, at, "left_semi"), at)))
+    other = member.join(mixed, at, "left_semi").select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("outer").alias("ob"))
+    apart = close & (F.col("r") != F.col("rb"))
+    rest = ask.where("outer").join(other, at).where(apart).select(*pair).union(ask.where("not outer").join(other.where("ob"), at).where(apart).select(*pair))
+    rest = materialize(_multi_match(rest.distinct(), levels, t))
     more = _overlaps(rest, _full_sets(docs, sets, rest, shingle)).where(_linked("o", t)).select("a", "b")
-    return sets, materialize(found.union(more))
+    up = lambda c: F.coalesce(f"r_{c}", c).alias(c)
+    between = materialize(more.join(of("a", "r_a"), "a", "left").join(of("b", "r_b"), "b", "left").select(up("a"), up("b")).distinct())
+    if between.isEmpty():
+        return sets, roots
+    tops = materialize(components(between))
+    ends = roots.union(tops.join(roots, "v", "left_anti").select("v", F.col("v").alias("root")))
+    top = tops.select(F.col("v").alias("root"), F.col("root").alias("top"))
+    return sets, materialize(ends.join(top, "root", "left").select("v", F.coalesce("top", "root").alias("root")))
 
 
 def _full_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -202,9 +223,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOL
     nothing and are their own component; a null doc_id reaches the least id of its links; rows
     with equal doc_ids are reported each; an empty table gives no rows.
     """
-    sets, edges = links(docs, shingle, threshold)
-    sets = sets.select("doc_id", "n", "cid")
-    roots = components(edges)
+    sets, roots = linked(docs, shingle, threshold)
     classes = sets.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least"))
     rooted = classes.join(roots, F.col("cid") == F.col("v"), "left").select("cid", F.coalesce("root", "cid").alias("root"), "least")
     rooted = materialize(rooted)

@@ -136,8 +136,8 @@ def daily_ic(spark, d):
     return dd.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(F.min("ic")).alias("ic_min"), r(F.max("ic")).alias("ic_max"))
 
 
-@query(IC + """, z AS (SELECT symbol, CASE WHEN bar_ts // 86400 % 3 = 0 THEN 'test' ELSE 'train' END AS fold, close FROM v), s AS (SELECT symbol, avg(close) AS mu, stddev_pop(close) AS sd FROM z WHERE fold = 'train' GROUP BY 1)
-  SELECT z.symbol, count(*) AS n, round(avg((close - mu) / sd), 6) AS z_mean, round(stddev_pop((close - mu) / sd), 6) AS z_std FROM z JOIN s ON z.symbol = s.symbol WHERE fold = 'test' GROUP BY 1""")
+@query(IC + """, f AS (SELECT symbol, CASE WHEN bar_ts // 86400 % 3 = 0 THEN 'test' ELSE 'train' END AS fold, close FROM v), s AS (SELECT symbol, avg(close) AS mu, stddev_pop(close) AS sd FROM f WHERE fold = 'train' GROUP BY 1)
+  SELECT f.symbol, count(*) AS n, round(avg((close - mu) / sd), 6) AS z_mean, round(stddev_pop((close - mu) / sd), 6) AS z_std FROM f JOIN s ON f.symbol = s.symbol WHERE fold = 'test' GROUP BY 1""")
 def train_test_zscore(spark, d):
     z = _signals(spark, d).select("symbol", F.when(F.floor(F.col("bar_ts") / 86_400) % 3 == 0, "test").otherwise("train").alias("fold"), "close")
     s = z.where("fold = 'train'").groupBy("symbol").agg(F.avg("close").alias("mu"), F.stddev_pop("close").alias("sd"))

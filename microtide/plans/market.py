@@ -261,7 +261,7 @@ def fractional_difference(spark, d):
 
 
 @query(RET + f""", g AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (ret > 0) OVER w AS u, count(*) FILTER (ret < 0) OVER w AS v FROM q WINDOW w AS ({W} ROWS 49 PRECEDING))
-  SELECT event_id, round(-(CASE WHEN u > 0 THEN u / n * ln(u / n) ELSE 0 END + CASE WHEN v > 0 THEN v / n * ln(v / n) ELSE 0 END), 6) AS sign_entropy, round((u - v) / n, 6) AS direction_bias FROM g""")
+  SELECT event_id, round(0.0 - (CASE WHEN u > 0 THEN u / n * ln(u / n) ELSE 0 END + CASE WHEN v > 0 THEN v / n * ln(v / n) ELSE 0 END), 6) AS sign_entropy, round((u - v) / n, 6) AS direction_bias FROM g""")
 def sign_entropy(spark, d):
     w = TICK.rows(50)
     n, u, v = (F.count(F.when(c, 1)).over(w) for c in (F.lit(True), F.col("ret") > 0, F.col("ret") < 0))

@@ -112,8 +112,9 @@ def row_counts(spark: SparkSession, root: str) -> DataFrame:
 def parse_rss(xml: DataFrame, column: str = "xml") -> DataFrame:
     """(title, link, published) of the items of RSS texts, by XPath expressions; dates in the four usual formats."""
     items = xml.select(F.explode(F.arrays_zip(*[F.xpath(column, F.lit(f"//item/{c}/text()")).alias(c) for c in ("title", "link", "pubDate")])).alias("i"))
-    formats = ("EEE, dd MMM yyyy HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss")
-    return items.select("i.title", "i.link", F.coalesce(*[F.try_to_timestamp("i.pubDate", F.lit(f)) for f in formats]).alias("published"))
+    formats = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss")
+    date = F.regexp_replace("i.pubDate", r"^\s*[A-Za-z]{3},\s*", "")  # Spark doesn't parse the day's name
+    return items.select("i.title", "i.link", F.coalesce(*[F.try_to_timestamp(date, F.lit(f)) for f in formats]).alias("published"))
 
 
 def parse_fundamentals(raw: DataFrame, column: str = "json") -> DataFrame:

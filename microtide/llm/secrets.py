@@ -35,6 +35,7 @@ KINDS = {
 #: Any text with a span matches this; others need no further work.
 ANY = "|".join(f"(?:{p})" for p in (ASSIGN, ACCESS, HEX, IDENT, ENDPOINT)) + r"|[A-Za-z0-9+/_=-]{24}"
 COMPLEMENTS = {"identifier": ("secret",), "endpoint": ("secret",), "secret": ("identifier", "endpoint")}
+#: Characters between two parts, at most, for them to be linked.
 REACH = 200
 MASK = "[SECRET]"
 
@@ -69,22 +70,26 @@ def _parts(hits: DataFrame) -> DataFrame:
 
 
 def _linked(parts: DataFrame, reach: int) -> DataFrame:
-    """Weak parts with a complementary part whose start is within ``reach`` in the same scope.
-
-    Complements are first reduced to the least and the greatest start per scope, role and bin of
-    ``reach`` characters; a candidate meets its own bin and the two beside it, three rows per
-    role at most, and the nearest start on either side decides.
+    """Weak parts with a complementary part at most ``reach`` characters away in the same scope.
+
+    The distance is that of the intervals: from the end of the earlier part to the start of the
+    later one, none if they overlap. Complements are first reduced to the least start and the
+    greatest end per scope, role and bin of ``reach`` characters, in all bins that they span; a
+    candidate meets the bins of its interval, widened by ``reach``. A bin is shorter than what a
+    candidate reaches, so two complements that are both out of reach, one on either side, are in
+    no bin together, and start and end may be of different parts.
     """
     role = F.create_map(*[F.lit(x) for k, (_, r, _) in KINDS.items() for x in (k, r)])
-    parts = parts.where("kind != 'break'").withColumn("role", role[F.col("kind")]).withColumn("bin", F.floor(F.col("start") / reach))
+    parts = parts.where("kind != 'break'").withColumn("role", role[F.col("kind")])
+    bins = lambda first, last: F.explode(F.sequence(F.floor(first / reach), F.floor(last / reach)))
     at = ["doc_id", "h", "scope", "bin"]
-    sides = parts.groupBy(*at, "role").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    weak = parts.where(~F.col("kind").isin(*BASE)).drop("role", "bin").withColumn("own", role[F.col("kind")])
-    weak = weak.withColumn("bin", F.explode(F.array(*[F.floor(F.col("start") / reach) + d for d in (-1, 0, 1)])))
+    sides = parts.withColumn("bin", bins(F.col("start"), F.col("end") - 1)).groupBy(*at, "role").agg(F.min("start").alias("first"), F.max("end").alias("last"))
+    weak = parts.where(~F.col("kind").isin(*BASE)).withColumnRenamed("role", "own")
+    weak = weak.withColumn("bin", bins(F.col("start") - reach - 1, F.col("end") + reach))
     fits = F.lit(False)
     for own, others in COMPLEMENTS.items():
         fits = fits | ((F.col("own") == own) & F.col("role").isin(*others))
-    near = (F.col("first").between(F.col("start") - reach, F.col("start") + reach)) | (F.col("last").between(F.col("start") - reach, F.col("start") + reach))
+    near = (F.col("first") <= F.col("end") + reach) & (F.col("last") >= F.col("start") - reach)
     on = [weak[c].eqNullSafe(sides[c]) for c in at]
     return weak.join(sides, on, "inner").where(fits & near).select(weak["doc_id"], weak["h"], "kind", "start", "end").distinct()
 

@@ -156,6 +156,16 @@ def test_secrets(spark):
     assert secrets.scan(documents(spark, [])).count() == 0
 
 
+def test_secrets_distance_is_between_intervals(spark):
+    opaque, long = "Zx9Qw8Er7Ty6Ui5Op4As3Df2Gh1", "aB3" * 200
+    texts = [
+        f"https://a.example.com/{'p/' * 150} {opaque}", f"{long} client_id=acme-prod-01", f"client_id=acme-prod-01 {long}", f"{long} https://a.example.com/x",
+        f"{long} {'- ' * 150} client_id=acme-prod-01", f"{long}\n\nclient_id=acme-prod-01", f"{long} {'-' * 198} client_id=acme-prod-01", f"{long} {'-' * 199} client_id=acme-prod-01",
+    ]
+    got = {r.doc_id: {x.split(":")[0] for x in r.spans.split(",") if x} for r in secrets.scan(documents(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {0: {"endpoint", "opaque"}, 1: {"opaque", "ident"}, 2: {"opaque", "ident"}, 3: {"opaque", "endpoint"}, 4: set(), 5: set(), 6: {"opaque", "ident"}, 7: set()}
+
+
 def test_language_held_out_accuracy(spark):
     r = random.Random(1)
     parts = {"en": ["the", "ing", "tion", "er", "and", "wh"], "fr": ["eau", "oi", "é", "que", "ment", "les"], "de": ["sch", "ung", "ü", "ein", "der", "ß"]}

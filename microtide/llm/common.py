@@ -32,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def identity() -> Column:
+    """What tells the rows of a stage apart: doc_id and the hash of text. Null doc_ids are the greatest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; set to a temporary one only where unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

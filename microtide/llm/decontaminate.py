@@ -16,7 +16,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import materialize, table
+from microtide.llm.common import identity, materialize, table
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -61,7 +61,7 @@ def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshol
     per_item = materialize(per_item.select("item_id", "s.k", "s.hash").distinct())
     ks = sorted(r[0] for r in per_item.select("k").distinct().collect())  # of 1..shingle
     if not ks:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long")
+        return docs.select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("item_id", "n_shingles", "n_shared")]).limit(0)
     sized = per_item.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("hash", "k"))).alias("all"))
     take = F.col("n") - F.floor((F.col("n") * up + low - 1) / low).cast("long") + 1
     sketch = sized.select("item_id", "n", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(F.slice("all", F.lit(1), take.cast("int"))).alias("s"))
@@ -93,9 +93,12 @@ def _short(w: Column, shingle: int) -> Column:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id contains no item."""
-    gone = find(docs, benchmark, **settings).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    """The rows of ``docs``, with all their columns, whose text contains no item.
+
+    Rows are told apart by doc_id and text: a null or reused doc_id doesn't join or drop others.
+    """
+    gone = find(docs.select(identity().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("__d")).distinct()
+    return docs.join(gone, identity() == F.col("__d"), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import ascii_lower, materialize, table, words
+from microtide.llm.common import ascii_lower, identity, materialize, table, words
 
 SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
@@ -234,12 +234,19 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOL
 
 
 def distinct(docs: DataFrame, shingle: int = 5, threshold: Fraction = Fraction(4, 5)) -> DataFrame:
-    """``docs`` with one document of each component, the least doc_id, with all its columns.
+    """``docs`` with one row of each component, that of the least doc_id, with all its columns.
 
-    Rows with equal doc_ids stay or go together; texts without words stay.
+    Rows are told apart by doc_id and text: a reused doc_id goes only with the texts that have a
+    copy, null doc_ids come after all others, and of equal rows one stays, the least by all
+    columns. Texts without words stay.
     """
-    gone = join(docs, shingle, threshold).where("component_id != doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")), "left_anti")
+    rows = join(docs.select(identity().alias("doc_id"), "text"), shingle, threshold)
+    gone = F.col("component_id") != F.col("doc_id")
+    marks = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__d")).agg(F.max(gone).alias("__gone"), F.count(F.lit(1)).alias("__rows"))
+    marks = materialize(marks.where("__gone or __rows > 1").select("__d", "__gone"))
+    marked = docs.join(marks, identity() == F.col("__d"), "left")
+    repeated = marked.where("not __gone").groupBy("__d").agg(F.min(F.struct(*docs.columns)).alias("__row"))
+    return marked.where("__gone is null").select(*docs.columns).unionByName(repeated.select("__row.*"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

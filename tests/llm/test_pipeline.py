@@ -43,6 +43,25 @@ def test_stages_take_effect(spark, small):
     assert sorted(map(str, out)) == sorted(map(str, again))
 
 
+def test_rows_without_an_id_of_their_own(spark, small):
+    r = random.Random(8)
+    text = lambda n: " ".join("".join(r.choice("klmnop") for _ in range(6)) for _ in range(n))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").first().text
+    words, a, b, c, d = item.split(), text(60), text(60), text(60), text(60)
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = lambda out: sorted((x.doc_id is None, x.doc_id or 0, x.text or "", x.source) for x in out.collect())
+    want = lambda rows: sorted((i is None, i or 0, t or "", s) for i, t, s in rows)
+
+    stays = [(None, a, "s"), (None, a, "s"), (7, b, "s"), (8, " ".join(words[:15]), "s"), (8, " ".join(words[15:]), "s"), (None, None, "s")]
+    leaks = [(None, f"{c} {item}", "s"), (7, f"{d} {item}", "s"), (7, f"{d} {item}", "s")]
+    assert kept(corpus_pipeline.decontaminated(spark, frame(stays + leaks), small)) == want(stays)
+
+    stays = [(1, a, "s"), (2, b, "r"), (3, c, "s"), (None, d, "s"), (None, None, "s"), (None, None, "s")]
+    copies = [(2, a + " end", "s"), (2, b, "s"), (2, b, "s"), (None, c, "s"), (None, d, "s"), (None, d, "s"), (1, a, "s")]
+    assert kept(corpus_pipeline.drop_near_duplicates(spark, frame(copies + stays), small)) == want(stays)
+    assert corpus_pipeline.drop_near_duplicates(spark, frame([]), small).count() == 0
+
+
 def test_registered():
     import __spark_entry__
 

@@ -32,10 +32,16 @@ class Hmm:
         return cls(**json.loads(text))
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
+        """Densities per row and state, up to a factor per row."""
+        return self.scaled(x)[0]
+
+    def scaled(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The emissions, and the logarithm of each row's factor without that of the root of 2 pi."""
         mean, sd = np.array(self.mean), np.maximum(np.array(self.sd), 1e-9)
         log_p = -0.5 * ((x[:, None] - mean) / sd) ** 2 - np.log(sd)
         log_p = np.where(np.isfinite(log_p), log_p, 0.0)  # a missing value says nothing
-        return np.maximum(np.exp(log_p - log_p.max(1, keepdims=True)), 1e-300)
+        top = log_p.max(1, keepdims=True)
+        return np.maximum(np.exp(log_p - top), 1e-300), top[:, 0]
 
 
 def filtered(model: Hmm, x: np.ndarray) -> np.ndarray:
@@ -52,7 +58,7 @@ def filtered(model: Hmm, x: np.ndarray) -> np.ndarray:
 
 def smoothed_counts(model: Hmm, x: np.ndarray) -> dict[str, np.ndarray]:
     """Expected statistics of one sequence for Baum-Welch, additive over sequences."""
-    e, a, s = model.emissions(x), np.array(model.transition), np.array(model.start)
+    (e, factor), a, s = model.scaled(x), np.array(model.transition), np.array(model.start)
     n, k = e.shape
     f, b, c = np.empty((n, k)), np.ones((n, k)), np.empty(n)
     for t in range(n):
@@ -64,7 +70,7 @@ def smoothed_counts(model: Hmm, x: np.ndarray) -> dict[str, np.ndarray]:
     g = f * b
     xi = sum((np.outer(f[t], e[t + 1] * b[t + 1] / c[t + 1]) * a for t in range(n - 1)), np.zeros((k, k)))
     ok = np.isfinite(x)
-    return {"start": g[0], "xi": xi, "n": g[ok].sum(0), "x": (g[ok] * x[ok, None]).sum(0), "xx": (g[ok] * x[ok, None] ** 2).sum(0), "ll": np.array([np.log(c).sum()])}
+    return {"start": g[0], "xi": xi, "n": g[ok].sum(0), "x": (g[ok] * x[ok, None]).sum(0), "xx": (g[ok] * x[ok, None] ** 2).sum(0), "ll": np.array([np.log(c).sum() + factor.sum()])}
 
 
 def apply_hmm(df: DataFrame, model: Hmm, keys: list[str], order: list[str], x: str) -> DataFrame:
@@ -80,27 +86,47 @@ def apply_hmm(df: DataFrame, model: Hmm, keys: list[str], order: list[str], x: s
     return df.select(*keys, *order, x).groupBy(*keys).applyInPandas(run, schema)
 
 
-def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3, rounds: int = 10) -> Hmm:
-    """Baum-Welch: per round one grouped E-step whose statistics (K + K * K numbers) are added up by Spark."""
-    q = df.select(F.percentile(x, F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("q"), F.stddev_pop(x).alias("s")).first()
-    model = Hmm([1 / k] * k, (np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))).tolist(), list(q["q"]), [max(q["s"] / k, 1e-6)] * k)
+def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3, rounds: int = 70, starts: int = 3, tol: float = 1e-6, seed: int = 42) -> Hmm:
+    """Baum-Welch from several seeded starts: the model of the greatest log-likelihood.
+
+    Each start ends when its log-likelihood, summed over all sequences, changes by less than
+    ``tol`` of itself, or after ``rounds`` steps. One grouped E-step per round serves all starts
+    that are still moving; Spark adds up its statistics (K + K * K numbers each).
+    """
+    rng = np.random.default_rng(seed)
+    levels = [[(i + 0.5) / k for i in range(k)]] + [sorted(rng.uniform(0.02, 0.98, k).tolist()) for _ in range(starts - 1)]
+    q = df.select(F.percentile(x, F.array(*[F.lit(v) for at in levels for v in at])).alias("q"), F.stddev_pop(x).alias("s")).first()
+    stay = (np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))).tolist()
+    spread = [np.ones(k)] + [rng.uniform(0.3, 3.0, k) for _ in range(starts - 1)]
+    moving = {m: Hmm([1 / k] * k, stay, list(q["q"][m * k : (m + 1) * k]), np.maximum(q["s"] / k * spread[m], 1e-6).tolist()) for m in range(starts)}
     rows = df.select(*keys, *order, x)
 
-    def expect(now: Hmm):
+    def expect(now: dict[int, Hmm]):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            got = smoothed_counts(now, frame.sort_values(order)[x].to_numpy(float))
-            flat = [(n, i, float(v)) for n, a in got.items() for i, v in enumerate(np.ravel(a))]
-            return pd.DataFrame(flat, columns=["stat", "i", "v"])
+            values = frame.sort_values(order)[x].to_numpy(float)
+            flat = [(m, n, i, float(v)) for m, model in now.items() for n, a in smoothed_counts(model, values).items() for i, v in enumerate(np.ravel(a))]
+            return pd.DataFrame(flat, columns=["m", "stat", "i", "v"])
 
         return run
 
-    for _ in range(rounds):
-        sums = rows.groupBy(*keys).applyInPandas(expect(model), "stat string, i int, v double").groupBy("stat", "i").agg(F.sum("v").alias("v")).orderBy("stat", "i").collect()
-        s = {n: np.array([r["v"] for r in sums if r["stat"] == n]) for n in {r["stat"] for r in sums}}
-        xi = s["xi"].reshape(k, k) + 1e-6
-        mean = s["x"] / np.maximum(s["n"], 1e-9)
-        var = np.maximum(s["xx"] / np.maximum(s["n"], 1e-9) - mean * mean, 1e-12)
-        model = Hmm(list(s["start"] / s["start"].sum()), (xi / xi.sum(1, keepdims=True)).tolist(), list(mean), list(np.sqrt(var)))
+    done: dict[int, tuple[float, Hmm]] = {}  # log-likelihood and the model that has it
+    for step in range(rounds + 1):
+        if not moving:
+            break
+        sums = rows.groupBy(*keys).applyInPandas(expect(dict(moving)), "m int, stat string, i int, v double").groupBy("m", "stat", "i").agg(F.sum("v").alias("v")).orderBy("m", "stat", "i").collect()
+        for m, model in list(moving.items()):
+            s = {n: np.array([r["v"] for r in sums if r["m"] == m and r["stat"] == n]) for n in ("start", "xi", "n", "x", "xx", "ll")}
+            ll, before = float(s["ll"][0]), done.get(m)
+            if before is None or ll > before[0]:
+                done[m] = (ll, model)
+            if step == rounds or before is not None and abs(ll - before[0]) < tol * (1 + abs(ll)):
+                del moving[m]
+                continue
+            xi = s["xi"].reshape(k, k) + 1e-6
+            mean = s["x"] / np.maximum(s["n"], 1e-9)
+            var = np.maximum(s["xx"] / np.maximum(s["n"], 1e-9) - mean * mean, 1e-12)
+            moving[m] = Hmm(list(s["start"] / s["start"].sum()), (xi / xi.sum(1, keepdims=True)).tolist(), list(mean), list(np.sqrt(var)))
+    model = max(done.values(), key=lambda d: d[0])[1]
     by = np.argsort(model.sd, kind="stable")
     return Hmm(list(np.array(model.start)[by]), np.array(model.transition)[np.ix_(by, by)].tolist(), list(np.array(model.mean)[by]), list(np.array(model.sd)[by]))
 

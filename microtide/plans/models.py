@@ -76,7 +76,7 @@ def hawkes_intensity(spark, d):
 @query()
 def hmm_regimes(spark, d):
     t = hourly(spark, d).withColumn("ret", F.log("close") - F.log(BAR.lag("close"))).withColumn("day", F.floor(F.col("bar_ts") / 86_400))
-    model = regimes.fit_hmm(t.where("ret is not null"), ["symbol", "day"], ["bar_ts"], "ret", k=3, rounds=3)
+    model = regimes.fit_hmm(t.where("ret is not null"), ["symbol", "day"], ["bar_ts"], "ret", k=3)
     return regimes.apply_hmm(t, model, ["symbol", "day"], ["bar_ts"], "ret")
 
 

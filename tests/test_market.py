@@ -124,6 +124,21 @@ def test_hmm_filter_uses_no_future_and_fit_orders_states(spark):
     assert fit.sd[0] < 0.5 < 2 < fit.sd[1] and regimes.Hmm.load(fit.save()) == fit
 
 
+def test_hmm_fit_runs_until_the_likelihood_stands(spark):
+    r = np.random.default_rng(4)
+    state = np.zeros(400, int)
+    for t in range(1, 400):
+        state[t] = state[t - 1] if r.random() < 0.95 else r.integers(0, 3)
+    x = r.normal(0, np.array([0.5, 1.0, 2.0])[state])
+    pdf = pd.DataFrame({"k": np.arange(400) // 200, "t": np.arange(400), "x": x})
+    ll = lambda m: sum(regimes.smoothed_counts(m, part)["ll"][0] for part in (x[:200], x[200:]))
+    frame = spark.createDataFrame(pdf)
+    full, short = regimes.fit_hmm(frame, ["k"], ["t"], "x"), regimes.fit_hmm(frame, ["k"], ["t"], "x", rounds=3)
+    assert ll(full) > ll(short) + 1
+    one = regimes.Hmm([1.0], [[1.0]], [0.0], [2.0])
+    assert regimes.smoothed_counts(one, x)["ll"][0] == pytest.approx((-0.5 * (x / 2) ** 2 - np.log(2)).sum())
+
+
 def test_tree_dump():
     text = "Tree=0\nsplit_feature=0 1\nthreshold=0.5 2\nleft_child=1 -1\nright_child=-3 -2\nleaf_value=1 2 3\n"
     got = regimes.score_trees(regimes.parse_trees(text), np.array([[0.0, 1.0], [0.0, 3.0], [1.0, 0.0]]))

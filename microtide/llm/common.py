@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +38,20 @@ def identity() -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set to a temporary one only where unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint folder that was set.
+
+    Where neither is set, a local master gets spark-warehouse/microtide-scratch; a cluster gets an
+    error, as its machines share no folder that could be guessed.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         jsc = spark.sparkContext._jsc.sc()
-        found = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else tempfile.mkdtemp(prefix="microtide-")
+        if jsc.getCheckpointDir().isDefined():
+            found = jsc.getCheckpointDir().get()
+        elif jsc.isLocal():
+            found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/microtide-scratch"
+        else:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
@@ -52,14 +61,22 @@ def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/microtide/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table of this application's shared folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark).rstrip('/')}/microtide")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def release(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more, and let go of the shuffle files of finished plans.
+
+    Spark deletes a shuffle's files once the driver's garbage collector has found its plan unused.
+    """
+    gc.collect()
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        jvm.System.gc()
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str], how: str = "left", salts: int = 64, limit: int = BROADCAST_ROWS) -> DataFrame:

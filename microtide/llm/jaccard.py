@@ -13,8 +13,11 @@ is at least 2 * t / (1 + t) of its tokens. Pairs found that share at least l pre
 the largest l that both have, are verified on the whole sets.
 
 Where many sets meet in one token, pairs aren't all made: all members are compared with the
-most central one, and only pairs of a probe and an entry that these links and all others leave
-in different components are made then, to pass the same two tests.
+most central one, the pivot. What these links and all others leave in different components is
+then compared by differences from the pivot: if x and y link and one of them doesn't link to p,
+the symmetric differences of x and p and of y and p overlap, the more so the further off both
+are. So the same prefix filter runs on the differences, which for near copies are small and
+hardly shared, and whose tokens are ordered by frequency within the pivot's members.
 """
 
 from __future__ import annotations
@@ -24,13 +27,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import ascii_lower, identity, materialize, table, words
+from microtide.llm.common import ascii_lower, identity, materialize, release, table, words
 
 SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
 #: Multi-match levels. A level may be SHORT_SHARE of a set's size up to SHORT_LEVEL, beyond that LEVEL_SHARE.
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 256, 1024, 4096)
-SHORT_LEVEL, SHORT_SHARE, LEVEL_SHARE = 64, 0.8, 0.05
+SHORT_LEVEL, SHORT_SHARE, LEVEL_SHARE = 64, 0.2, 0.05
 #: A token that more sets meet in is compared by way of a central member.
 STAR = 48
 
@@ -118,15 +121,58 @@ def _multi_match(pairs: DataFrame, levels: DataFrame, t: Fraction) -> DataFrame:
     return both.where(F.size(F.array_intersect("t_a", "t_b")) >= least).select("a", "b")
 
 
-def _overlaps(pairs: DataFrame, full: DataFrame, heavy: int = 500) -> DataFrame:
-    """pairs (a, b) with na, nb and the sets' overlap. An ``a`` of many pairs is spread over salts."""
+def _with_sets(pairs: DataFrame, full: DataFrame, heavy: int = 500) -> DataFrame:
+    """pairs (a, b, ...) with set_a and set_b. An ``a`` of many pairs is spread over salts."""
     deg = materialize(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > heavy))
     salts = F.coalesce(F.ceil(F.col("deg") / heavy).cast("int"), F.lit(1))
-    left = pairs.join(deg, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    left = pairs.join(deg, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), salts).cast("int")).drop("deg")
     right = full.join(deg, F.col("cid") == F.col("a"), "left").select("cid", "set", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     with_b = left.join(full.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(right.select(F.col("cid").alias("a"), "salt", F.col("set").alias("set_a")), ["a", "salt"])
-    return both.select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("o"))
+    return with_b.join(right.select(F.col("cid").alias("a"), "salt", F.col("set").alias("set_a")), ["a", "salt"]).drop("salt")
+
+
+def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """pairs (a, b) with na, nb and the sets' overlap."""
+    return _with_sets(pairs, full).select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("o"))
+
+
+def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b, r, n, far, size, half, least, diff) of the members b of pivots a: ``diff`` is the symmetric difference in order of frequency.
+
+    |x ^ y| = |dx| + |dy| - 2 |dx & dy| for the differences dx, dy from one pivot p, and x and y
+    link if |x ^ y| <= w (|x| + |y|) with w = (1 - t) / (1 + t). ``far`` members, which don't link
+    to p, have |d| > w (|d's set| + |p|). So a far y shares more than
+    (|dx| + w (|p| - |x|)) / 2 tokens of dx with any x that it links to: ``half`` tokens of dx
+    include one of them. If x is far too and |dy| >= |dx|, |x| <= |y| / t or the like leaves
+    out w (|x| + |y|) / 2 tokens at most, so ``least`` tokens do. Frequencies are those among
+    far members: the others are only compared with these.
+    """
+    up, low = t.numerator, t.denominator
+    n, p, size = F.size("set_b"), F.size("set_a"), F.size("diff")
+    both = _with_sets(stars, full).withColumn("diff", F.concat(F.array_except("set_b", "set_a"), F.array_except("set_a", "set_b")))
+    half = size - F.floor(((up + low) * size + (low - up) * (p - n)) / (2 * (up + low)))
+    least = F.least(half, F.floor((low - up) * n / (2 * up)) + 1)
+    made = materialize(both.select("a", "b", "r", n.alias("n"), (size * (up + low) > (low - up) * (n + p)).alias("far"), size.alias("size"), half.cast("int").alias("half"), least.cast("int").alias("least"), "diff"))
+    rows = made.select("a", "b", "far", F.explode("diff").alias("token"))
+    df = rows.where("far").groupBy("a", "token").agg(F.count(F.lit(1)).alias("df"))
+    # Tokens of no far member come first in order; only their number counts.
+    ordered = rows.join(df, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    alone = size - F.size("ordered")
+    return materialize(made.join(ordered, ["a", "b"]).select("a", "b", "r", "n", "far", "size", (F.col("half") - alone).alias("half"), (F.col("least") - alone).alias("least"), "ordered"))
+
+
+def _across(diffs: DataFrame, t: Fraction) -> DataFrame:
+    """Candidate pairs (a, b) of members of one pivot that are in different components, from ``_differences``."""
+    first = lambda k: F.explode(F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ordered"), F.col(k))))).alias("s")
+    own = lambda df, k: df.select("a", "b", "r", "n", "size", first(k)).select("a", "b", "r", "n", "size", "s.token", "s.df")
+    other = lambda df: df.select("a", "token", F.col("b").alias("y"), F.col("r").alias("ry"), F.col("n").alias("ny"), F.col("size").alias("sy"))
+    far, near = diffs.where("far"), diffs.where("not far")
+    apart = (F.col("r") != F.col("ry")) & (F.least("n", "ny") * t.denominator >= F.greatest("n", "ny") * t.numerator)
+    # A token of one far member meets no other far one.
+    one = own(far, "least").where("df > 1").join(other(own(far, "half").where("df > 1")), ["a", "token"]).where(apart & (F.col("sy") >= F.col("size")))
+    two = own(near, "half").join(other(own(far, "size")), ["a", "token"]).where(apart)
+    pair = [F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")]
+    return one.select(*pair).union(two.select(*pair)).distinct()
 
 
 def _linked(o: str, t: Fraction) -> Column:
@@ -166,10 +212,12 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESH
     n = F.col("n")
     prefix = F.slice("set", F.lit(1), (n - _need(n, t) + _cap(n)).cast("int"))
     made = materialize(_sets(docs.select("doc_id", "text"), shingle).select("doc_id", "n", "cid", prefix.alias("prefix")))
-    sets = made.select("doc_id", "n", "cid")
+    sets = materialize(made.select("doc_id", "n", "cid"))
     # The class of empty sets has no prefix and leaves no rows.
     reps = materialize(made.groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    release(made)
     levels = materialize(_levels(_prefix_rows(reps), t))
+    release(reps)
     probes, entries = _buckets(levels)
 
     at = ["level", "token"]
@@ -179,29 +227,35 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESH
     few = sizes.where(F.col("m") <= STAR).select(*at)
     few = probes.join(few, at).join(entries.select(*at, F.col("cid").alias("b"), F.col("n").alias("nb")), at).where(close & (F.col("cid") != F.col("b")))
     pair = [F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")]
-    many = sizes.where(F.col("m") > STAR).select(*at, "pivot")
-    big = materialize(entries.join(many, at).select(*at, "pivot", "cid", "n"))
+    big = materialize(entries.join(sizes.where(F.col("m") > STAR).select(*at, "pivot"), at).select(*at, "pivot", "cid"))
     star = big.where("cid != pivot").select("cid", F.col("pivot").alias("b")).distinct()
     todo = materialize(_multi_match(few.select(*pair).union(star.select(*pair)).distinct(), levels, t))
-    found = materialize(_overlaps(todo, _full_sets(docs, sets, todo, shingle)).where(_linked("o", t)).select("a", "b"))
+    release(levels, sizes)
+    full = _full_sets(docs, sets, todo, shingle)
+    found = materialize(_overlaps(todo, full).where(_linked("o", t)).select("a", "b"))
+    release(full, todo)
     roots = components(found)
 
-    # Pairs in large buckets that are in different components: one of them at least isn't in the pivot's.
+    # Large buckets with members in several components: their pairs by differences from the pivot.
     of = lambda v, r: roots.select(F.col("v").alias(v), F.col("root").alias(r))
-    named = lambda df: df.join(of("cid", "r"), "cid", "left").join(of("pivot", "p"), "pivot", "left").select(*at, "cid", "n", F.coalesce("r", "cid").alias("r"), (F.coalesce("r", "cid") != F.coalesce("p", "pivot")).alias("outer"))
-    member = materialize(named(big))
-    mixed = materialize(member.where("outer").select(*at).distinct())
-    ask = materialize(named(probes.join(many.join(mixed, at, "left_semi"), at)))
-    other = member.join(mixed, at, "left_semi").select(*at, F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), F.col("outer").alias("ob"))
-    apart = close & (F.col("r") != F.col("rb"))
-    rest = ask.where("outer").join(other, at).where(apart).select(*pair).union(ask.where("not outer").join(other.where("ob"), at).where(apart).select(*pair))
-    rest = materialize(_multi_match(rest.distinct(), levels, t))
-    more = _overlaps(rest, _full_sets(docs, sets, rest, shingle)).where(_linked("o", t)).select("a", "b")
+    member = materialize(big.join(of("cid", "r"), "cid", "left").join(of("pivot", "p"), "pivot", "left").select(*at, "pivot", "cid", F.coalesce("r", "cid").alias("r"), (F.coalesce("r", "cid") != F.coalesce("p", "pivot")).alias("outer")))
+    mixed = member.groupBy(*at).agg(F.max("outer").alias("mixed")).where("mixed").select(*at)
+    stars = materialize(member.join(mixed, at, "left_semi").where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b"), "r").distinct())
+    release(big, member)
+    if stars.isEmpty():
+        return sets, roots
+    full = _full_sets(docs, sets, stars, shingle)
+    diffs = _differences(stars, full, t)
+    rest = materialize(_across(diffs, t))
+    release(full, diffs)
+    full = _full_sets(docs, sets, rest, shingle)
+    more = _overlaps(rest, full).where(_linked("o", t)).select("a", "b")
     up = lambda c: F.coalesce(f"r_{c}", c).alias(c)
     between = materialize(more.join(of("a", "r_a"), "a", "left").join(of("b", "r_b"), "b", "left").select(up("a"), up("b")).distinct())
+    release(full, rest)
     if between.isEmpty():
         return sets, roots
-    tops = materialize(components(between))
+    tops = components(between)
     ends = roots.union(tops.join(roots, "v", "left_anti").select("v", F.col("v").alias("root")))
     top = tops.select(F.col("v").alias("root"), F.col("root").alias("top"))
     return sets, materialize(ends.join(top, "root", "left").select("v", F.coalesce("top", "root").alias("root")))
@@ -219,7 +273,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOL
     """Per row of ``docs``: doc_id, n_shingles, component_id (least doc_id reachable by links).
 
     A-Z are lower-cased; words are runs of non-white-space. A text with fewer words than a
-    shingle has has one shingle, all of them. Texts without words (null, empty) are linked with
+    shingle has one shingle, all of them. Texts without words (null, empty) are linked with
     nothing and are their own component; a null doc_id reaches the least id of its links; rows
     with equal doc_ids are reported each; an empty table gives no rows.
     """

@@ -137,7 +137,7 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, r, n, far, size, half, least, diff) of the members b of pivots a: ``diff`` is the symmetric difference in order of frequency.
+    """(a, b, r, n, far, size, half, least, alone, ordered) of the members b of pivots a: the symmetric difference in order of frequency.
 
     |x ^ y| = |dx| + |dy| - 2 |dx & dy| for the differences dx, dy from one pivot p, and x and y
     link if |x ^ y| <= w (|x| + |y|) with w = (1 - t) / (1 + t). ``far`` members, which don't link
@@ -155,23 +155,30 @@ def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
     made = materialize(both.select("a", "b", "r", n.alias("n"), (size * (up + low) > (low - up) * (n + p)).alias("far"), size.alias("size"), half.cast("int").alias("half"), least.cast("int").alias("least"), "diff"))
     rows = made.select("a", "b", "far", F.explode("diff").alias("token"))
     df = rows.where("far").groupBy("a", "token").agg(F.count(F.lit(1)).alias("df"))
-    # Tokens of no far member come first in order; only their number counts.
+    # Tokens of no far member come first in order; only their number, ``alone``, counts.
     ordered = rows.join(df, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
     alone = size - F.size("ordered")
-    return materialize(made.join(ordered, ["a", "b"]).select("a", "b", "r", "n", "far", "size", (F.col("half") - alone).alias("half"), (F.col("least") - alone).alias("least"), "ordered"))
+    return materialize(made.join(ordered, ["a", "b"]).select("a", "b", "r", "n", "far", "size", "half", "least", alone.alias("alone"), "ordered"))
 
 
 def _across(diffs: DataFrame, t: Fraction) -> DataFrame:
-    """Candidate pairs (a, b) of members of one pivot that are in different components, from ``_differences``."""
-    first = lambda k: F.explode(F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ordered"), F.col(k))))).alias("s")
-    own = lambda df, k: df.select("a", "b", "r", "n", "size", first(k)).select("a", "b", "r", "n", "size", "s.token", "s.df")
-    other = lambda df: df.select("a", "token", F.col("b").alias("y"), F.col("r").alias("ry"), F.col("n").alias("ny"), F.col("size").alias("sy"))
+    """Candidate pairs (a, b) of members of one pivot that are in different components, from ``_differences``.
+
+    The first common token of two differences that share c, at places i and j, has
+    i <= |dx| - c and j <= |dy| - c: most pairs that meet later in order fail that.
+    """
+    up, low = t.numerator, t.denominator
+    own = lambda df, k: df.select("a", "b", "r", "n", "size", "alone", F.posexplode(F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ordered"), F.col(k) - F.col("alone"))))).alias("at", "s")).select("a", F.col("s.token").alias("token"), F.col("s.df").alias("df"), "b", "r", "n", "size", (F.col("at") + F.col("alone")).alias("at"))
+    other = lambda df: df.select("a", "token", *[F.col(c).alias(f"{c}_y") for c in ("b", "r", "n", "size", "at")])
     far, near = diffs.where("far"), diffs.where("not far")
-    apart = (F.col("r") != F.col("ry")) & (F.least("n", "ny") * t.denominator >= F.greatest("n", "ny") * t.numerator)
+    apart = (F.col("r") != F.col("r_y")) & (F.least("n", "n_y") * low >= F.greatest("n", "n_y") * up)
+    # 2 (up + low) times the least number of tokens that the differences of linked sets share.
+    share = (up + low) * (F.col("size") + F.col("size_y")) - (low - up) * (F.col("n") + F.col("n_y"))
+    room = 2 * (up + low) * F.least(F.col("size") - F.col("at"), F.col("size_y") - F.col("at_y"))
     # A token of one far member meets no other far one.
-    one = own(far, "least").where("df > 1").join(other(own(far, "half").where("df > 1")), ["a", "token"]).where(apart & (F.col("sy") >= F.col("size")))
-    two = own(near, "half").join(other(own(far, "size")), ["a", "token"]).where(apart)
-    pair = [F.least("b", "y").alias("a"), F.greatest("b", "y").alias("b")]
+    one = own(far, "least").where("df > 1").join(other(own(far, "half").where("df > 1")), ["a", "token"]).where(apart & (F.col("size_y") >= F.col("size")) & (room >= share))
+    two = own(near, "half").join(other(own(far, "size")), ["a", "token"]).where(apart & (room >= share))
+    pair = [F.least("b", "b_y").alias("a"), F.greatest("b", "b_y").alias("b")]
     return one.select(*pair).union(two.select(*pair)).distinct()
 
 

@@ -3,10 +3,11 @@
 Native DataFrame functions only. A test item with n shingles is contained in a document if at
 least ``threshold`` of them are found there, so any n - ceil(threshold * n) + 1 of its shingles
 include one that such a document has. The item's sketch is that many of its least hash values:
-its bottom-k MinHash, with k by its size. Items are partitioned by size; per partition the
-largest hash of any sketch bounds the documents' hashes worth looking up (for longer items
-this is a small part of all), whatever the documents' length. A sketch hit is a candidate and
-is verified on all shingles, so no pair is lost and none is reported on hashes of a sketch.
+its bottom-k MinHash, with k by its size. Items are partitioned by size, and a partition is
+searched on its own: its largest sketch hash bounds the documents' hashes that are looked up in
+it (for longer items this is a small part of all), whatever the documents' length. A sketch hit
+is a candidate and is verified on all shingles, so no pair is lost and none is reported on
+hashes of a sketch.
 """
 
 from __future__ import annotations
@@ -40,10 +41,17 @@ def items(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return rows.select("item_id", F.least(F.size("w"), F.lit(shingle)).alias("k"), "w")
 
 
-def _shingled(w: Column, k: int, top: int | None = None) -> Column:
-    """Array of (k, hash) of the k-word shingles, those of a hash up to ``top`` only where it is given."""
-    hashes = _hashes(w, k) if top is None else F.filter(_hashes(w, k), lambda x: x <= F.lit(top))
-    return F.transform(hashes, lambda x: F.struct(F.lit(k).alias("k"), x.alias("hash")))
+def _shingled(w: Column, k: int) -> Column:
+    """Array of (k, hash) of the k-word shingles."""
+    return F.transform(_hashes(w, k), lambda x: F.struct(F.lit(k).alias("k"), x.alias("hash")))
+
+
+def _looked_up(hashes: Column, k: int, tops: dict[int, int]) -> Column:
+    """Array of (k, part, hash): per size partition the hashes up to its largest one."""
+    def of(part: int, top: int) -> Column:
+        return F.transform(F.filter(hashes, lambda x: x <= F.lit(top)), lambda x: F.struct(F.lit(k).alias("k"), F.lit(part).alias("part"), x.alias("hash")))
+
+    return F.concat(*[of(part, top) for part, top in sorted(tops.items())])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESHOLD) -> DataFrame:
@@ -61,23 +69,27 @@ def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshol
     per_item = materialize(per_item.select("item_id", "s.k", "s.hash").distinct())
     ks = sorted(r[0] for r in per_item.select("k").distinct().collect())  # of 1..shingle
     if not ks:
-        return docs.select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("item_id", "n_shingles", "n_shared")]).limit(0)
+        return docs.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), *[F.lit(None).cast("long").alias(c) for c in ("n_shingles", "n_shared")]).limit(0)
     sized = per_item.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("hash", "k"))).alias("all"))
     take = F.col("n") - F.floor((F.col("n") * up + low - 1) / low).cast("long") + 1
     sketch = sized.select("item_id", "n", F.floor(F.log2("n")).cast("int").alias("part"), F.explode(F.slice("all", F.lit(1), take.cast("int"))).alias("s"))
     sketch = materialize(sketch.select("item_id", "n", "part", F.col("s.k").alias("k"), F.col("s.hash").alias("hash")))
     # At most 32 partitions of sizes: the largest hash of each, with the lengths of its shingles.
-    bounds = {r["k"]: r["top"] for r in sketch.groupBy("k", "part").agg(F.max("hash").alias("top")).groupBy("k").agg(F.max("top").alias("top")).collect()}
+    tops: dict[int, dict[int, int]] = {}
+    for r in sketch.groupBy("k", "part").agg(F.max("hash").alias("top")).collect():
+        tops.setdefault(r["k"], {})[r["part"]] = r["top"]
 
     of = docs.select("doc_id", normal_words(F.col("text")).alias("__w"))
-    low_hash = F.flatten(F.array(*[_shingled(F.col("__w"), k, top) for k, top in sorted(bounds.items())]))
-    seen = of.select("doc_id", F.explode(low_hash).alias("s")).select("doc_id", "s.k", "s.hash")
-    candidates = materialize(seen.join(sketch.select("item_id", "k", "hash"), ["k", "hash"]).select("doc_id", "item_id").distinct())
-
-    some = of.join(candidates.select("doc_id").distinct().withColumnRenamed("doc_id", "__d"), F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    have = some.select("doc_id", F.explode(F.flatten(F.array(*[_shingled(F.col("__w"), k) for k in ks]))).alias("s")).select("doc_id", "s.k", "s.hash")
-    exact = have.join(per_item, ["k", "hash"]).join(candidates.select(F.col("doc_id").alias("__d"), F.col("item_id").alias("__i")), F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("item_id").eqNullSafe(F.col("__i")), "left_semi")
-    shared = exact.distinct().groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
+    hashed = of.select("doc_id", *[_hashes(F.col("__w"), k).alias(f"__h{k}") for k in sorted(tops)])
+    seen = hashed.select("doc_id", F.explode(F.concat(*[_looked_up(F.col(f"__h{k}"), k, tops[k]) for k in sorted(tops)])).alias("s")).select("doc_id", "s.k", "s.part", "s.hash")
+    candidates = materialize(seen.join(sketch.select("item_id", "k", "part", "hash"), ["k", "part", "hash"]).select("doc_id", "item_id").distinct())
+
+    # The shingles of each candidate's item that its document has.
+    same = lambda c, d: F.col(c).eqNullSafe(F.col(d))
+    some = of.join(candidates.select(F.col("doc_id").alias("__d")).distinct(), same("doc_id", "__d"), "left_semi")
+    have = some.select(F.col("doc_id").alias("__d"), F.explode(F.concat(*[_shingled(F.col("__w"), k) for k in ks])).alias("s")).select("__d", F.col("s.k").alias("__k"), F.col("s.hash").alias("__h"))
+    asked = candidates.join(per_item.withColumnRenamed("item_id", "__i"), same("item_id", "__i")).drop("__i")
+    shared = asked.join(have, same("doc_id", "__d") & (F.col("k") == F.col("__k")) & (F.col("hash") == F.col("__h")), "left_semi").groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"))
     n = sized.select(F.col("item_id").alias("__i"), F.col("n").alias("n_shingles"))
     out = shared.join(n, F.col("item_id").eqNullSafe(F.col("__i"))).where(F.col("n_shared") * low >= F.col("n_shingles") * up)
     return out.select("doc_id", "item_id", "n_shingles", "n_shared")

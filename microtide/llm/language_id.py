@@ -77,7 +77,9 @@ def _frequencies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n += 1
                 langs[lang] = langs.get(lang, 0) + 1
     some = np.flatnonzero(df)
-    yield pd.DataFrame({"lang": [None] * len(some), "bucket": some.astype(np.int32), "c": df[some]})
+    if not n:
+        return  # Arrow has no type for the columns of no rows
+    yield pd.DataFrame({"lang": pd.Series([None] * len(some), dtype=object), "bucket": some.astype(np.int32), "c": df[some]})
     yield pd.DataFrame({"lang": list(langs), "bucket": np.full(len(langs), -1, np.int32), "c": np.array(list(langs.values()), np.int64)})
 
 
@@ -91,7 +93,8 @@ def _vectors(idf) -> object:
                     x = _tfidf(got, idf.value)
                     at = np.flatnonzero(x)
                     rows.append((lang, order, at.astype(np.int32), x[at].astype(np.float32)))
-            yield pd.DataFrame(rows, columns=["lang", "order", "at", "x"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["lang", "order", "at", "x"])
 
     return run
 

@@ -95,7 +95,7 @@ class Rollup:
         if self._has(f"batch={batch}") or self._folded(batch):
             return False
         sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        sums.repartition(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Rollup:
         """Fold all committed batches into a snapshot, whose mark is written last."""
         ids, folder = self.committed(), f"{self.path}/snapshot={name}"
         old = [self.spark.read.parquet(f"{self.path}/{s}/batches") for s in self._snapshots()[-1:]]
-        self.totals().coalesce(1).write.parquet(f"{folder}/totals")
+        self.totals().repartition(1).write.parquet(f"{folder}/totals")
         names = self.spark.createDataFrame([(b,) for b in ids], "batch string")
         for o in old:
             names = names.union(o).distinct()

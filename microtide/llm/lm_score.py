@@ -1,32 +1,40 @@
 """Language-model scores: a unigram word model, and prediction by partial matching over bytes.
 
-Word counts are one aggregation over all training words. Scoring looks up words with at least
-1/HOT of all tokens (so HOT of them at most) in a broadcast table; rarer words, none of which
-is a hot key, meet their counts in a shuffled join.
-
-The byte model is a trie of contexts of up to two bytes with counts from all training texts.
-A symbol unseen in a context escapes to the next shorter one with the probability of method C
+The byte model is a trie of contexts of up to ORDER bytes with counts from all training texts. A
+symbol unseen in a context escapes to the next shorter one with the probability of method C
 (distinct symbols / (total + distinct)), and there the symbols seen in the longer context are
-excluded. As 256**3 paths bound the trie, its counts are added up by Spark, broadcast and
-unrolled once per worker into a table of log-probabilities.
+excluded. The trie has no fixed bound, so it stays a table, keyed by context:
+
+1. texts are dealt into parts of about PART_BYTES bytes, in the order they are read;
+2. every part gives its distinct words and paths (context and symbol) with their training counts;
+3. these add up to word counts and, over all shorter contexts, to the trie;
+4. a part's words and contexts, each once, are joined with them by shuffle (shorter contexts only
+   where they can be escaped to: for texts that weren't learned from);
+5. a part's texts meet its own piece of the model and are scored, with arrays for what was seen.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import ascii_lower, materialize, table, words
+from microtide.llm.common import materialize, release, table
 
-HOT = 20_000
+#: Bytes of context; a path of at most 7 bytes fits a long beside the order.
+ORDER = 5
 #: Bytes that UTF-8 never has: before a text's first byte, and the symbol after its last.
 PAD, END = 0xFE, 0xFF
-CHUNK = 1 << 22
+PART_BYTES, CHUNK = 8 << 20, 2 << 20
+#: A node is its order in the top byte and its context's bytes below.
+TOP = 56
 
 
 def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
@@ -34,133 +42,156 @@ def held_out(doc_id: Column, mod: int = 7, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod == rest, F.lit(False))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over the texts of ``docs``; the end of a text is the word ''."""
-    tokens = F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit("")))
-    return docs.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("c"))
-
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds part: the task and how many PART_BYTES of text came before."""
+    first, done = TaskContext.get().partitionId() << 32, 0
+    for b in batches:
+        upto = done + np.cumsum(pc.binary_length(b.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        parts = first + np.concatenate([[done], upto[:-1]]) // PART_BYTES if len(upto) else np.zeros(0, np.int64)
+        done = int(upto[-1]) if len(upto) else done
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(parts, pa.int64())], [*b.schema.names, "part"])
+
+
+def _lowered(column) -> list[bytes]:
+    return [t.lower() for t in column.cast(pa.binary()).to_pylist()]
+
+
+def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes."""
+    at = 0
+    while at < len(texts):
+        upto, size = at + 1, len(texts[at])
+        while upto < len(texts) and size + len(texts[upto]) <= CHUNK:
+            size += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def _paths(texts: list[bytes], order: int) -> np.ndarray:
+    """Per place the context and symbol in one long; places between texts end in PAD."""
+    s = np.frombuffer(b"".join(bytes((PAD,)) * order + t + bytes((END,)) for t in texts), np.uint8).astype(np.int64)
+    out = s[: len(s) - order].copy()
+    for k in range(1, order + 1):
+        out <<= 8
+        out |= s[k : len(s) - order + k]
+    return out
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    k, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+
+
+def _seen(order: int) -> object:
+    """Per part: its distinct paths and words, their training counts, and whether a text that isn't learned from has them."""
+    schema = pa.schema([("part", pa.int64()), ("path", pa.int64()), ("word", pa.binary()), ("c", pa.int64()), ("other", pa.bool_())])
+
+    def rows(part, of: dict[bool, list]) -> Iterator[pa.RecordBatch]:
+        words: dict[bool, Counter] = {}
+        paths = {}
+        for learn, texts in of.items():
+            words[learn] = Counter(w for t in texts for w in t.split())
+            words[learn][b""] = len(texts)
+            keys, counts = [], []
+            for a, b in _chunks(texts):
+                k, c = np.unique(_paths(texts[a:b], order), return_counts=True)
+                keys.append(k[(k & 255) != PAD])
+                counts.append(c[(k & 255) != PAD])
+            paths[learn] = _added(keys, counts)
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        learned, other = paths.get(True, none), paths.get(False, none)
+        k, c = _added([learned[0], other[0]], [learned[1], np.zeros(len(other[0]), np.int64)])
+        yield pa.record_batch([np.full(len(k), part), k, pa.nulls(len(k), pa.binary()), c, np.isin(k, other[0])], schema=schema)
+        known = words.get(True, Counter())
+        all_words = list(known.keys() | words.get(False, Counter()).keys())
+        c = [known.get(w, 0) for w in all_words]
+        yield pa.record_batch([np.full(len(c), part), pa.nulls(len(c), pa.int64()), pa.array(all_words, pa.binary()), c, np.zeros(len(c), bool)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, of = None, {}
+        for b in batches:
+            for part, learn, text in zip(b.column("part").to_pylist(), b.column("learn").to_pylist(), _lowered(b.column("text")), strict=True):
+                if part != now and of:
+                    yield from rows(now, of)
+                    of = {}
+                now = part
+                of.setdefault(learn, []).append(text)
+        if of:
+            yield from rows(now, of)
 
-def unigram(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """(doc_id, h, n_tokens, n_known, train_tokens, base_score) per doc_id and hash h of the text.
+    return run
 
-    Every row has one end token, so the ends count the equal rows that were added up.
-    """
-    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n, v = total["n"], total["v"]
-    known = [F.col("c").isNotNull().cast("long").alias("known"), F.log10(F.coalesce("c", F.lit(0)) + 1.0).alias("lg")]
-    hot = counts.where(F.col("c") * HOT >= n)
-    tokens = docs.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.concat(words(ascii_lower(F.col("text"))), F.array(F.lit("")))).alias("word"))
-    looked = tokens.join(F.broadcast(hot), "word", "left")
-    sums = [F.sum("known").alias("known"), F.sum("lg").alias("lg"), F.sum("end").alias("copies"), F.count(F.lit(1)).alias("n")]
-    end = (F.col("word") == "").cast("long").alias("end")
-    often = looked.where((F.col("c").isNotNull()) | (F.col("word") == "")).select("doc_id", "h", *known, end).groupBy("doc_id", "h").agg(*sums)
-    rare = looked.where(F.col("c").isNull() & (F.col("word") != "")).drop("c").join(counts.where(F.col("c") * HOT < n), "word", "left").select("doc_id", "h", *known, end).groupBy("doc_id", "h").agg(*sums)
-    both = often.unionByName(rare).groupBy("doc_id", "h").agg(*[F.sum(c).alias(c) for c in ("known", "lg", "copies", "n")])
-    per = lambda c: (F.col(c) / F.col("copies"))
-    n_tokens = per("n").cast("long")
-    return both.select("doc_id", "h", n_tokens.alias("n_tokens"), per("known").cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (per("lg") - n_tokens * F.lit(math.log10(n + (v + 1)))).alias("base_score"))
-
-
-def _symbols(texts: list[bytes]) -> np.ndarray:
-    """PAD PAD text END of every text, one after another."""
-    return np.frombuffer(b"".join(bytes((PAD, PAD)) + t + bytes((END,)) for t in texts), np.uint8)
-
-
-def _paths(symbols: np.ndarray) -> np.ndarray:
-    s = symbols.astype(np.int32)
-    return (s[:-2] << 16) | (s[1:-1] << 8) | s[2:]
-
-
-def _lower(texts: pd.Series) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
-
-
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
-    """Symbols of whole texts, about CHUNK at a time."""
-    held, size = [], 0
-    for frame in frames:
-        for t in _lower(frame["text"]):
-            held.append(t)
-            size += len(t) + 3
-            if size >= CHUNK:
-                yield _symbols(held)
-                held, size = [], 0
-    if held:
-        yield _symbols(held)
-
-
-def _count_paths(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of context and symbol within a partition; texts end in END, so PAD is never a symbol."""
-    total = np.zeros(1 << 24, np.uint32)
-    for symbols in _blocks(frames):
-        got = np.bincount(_paths(symbols), minlength=1 << 24)
-        np.add(total, got, out=total, casting="unsafe")
-    paths = np.flatnonzero(total)
-    paths = paths[(paths & 255) != PAD]
-    for i in range(0, len(paths), 100_000):
-        part = paths[i : i + 100_000]
-        yield pd.DataFrame({"path": part.astype(np.int32), "c": total[part].astype(np.int64)})
-
-
-def path_counts(docs: DataFrame) -> DataFrame:
-    """(path, c) of the trie: path is two context bytes and the symbol, in 24 bits."""
-    return docs.select("text").mapInPandas(_count_paths, "path int, c long").groupBy("path").agg(F.sum("c").alias("c"))
-
-
-def log_table(paths: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """log10 P(symbol | two bytes before), by escapes and exclusion, for all 256**3 paths."""
-    order2 = np.zeros(1 << 24, np.float64)
-    order2[paths] = counts
-    order2 = order2.reshape(256, 256, 256)
-    order1 = order2.sum(0)
-    order0 = order1.sum(0)
-    out = np.empty((256, 256, 256), np.float32)
-    tiny = 1e-300
-    for last in range(256):
-        free = np.ones((256, 256), bool)
-        reach = np.ones((256, 1))
-        p = np.zeros((256, 256))
-        for seen in (order2[:, last, :], order1[last][None, :], order0[None, :]):
-            c = np.where(free, seen, 0.0)
-            kinds, total = (c > 0).sum(1, keepdims=True), c.sum(1, keepdims=True)
-            whole = np.where(total > 0, total + kinds, 1.0)
-            p = np.where(c > 0, reach * c / whole, p)
-            reach = np.where(total > 0, reach * kinds / whole, reach)
-            free = free & (c == 0)
-        left = free.sum(1, keepdims=True)
-        p = np.where(free, reach / np.maximum(left, 1), p)
-        out[:, last, :] = np.log10(np.maximum(p, tiny))
-    return out.reshape(-1)
-
-
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def _score(model) -> object:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = id(model)
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = log_table(*model.value)
-        log_p = _TABLES[key]
-        for frame in frames:
-            texts = _lower(frame["text"])
-            scores, at = np.zeros(len(texts)), 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
-                    size += len(texts[upto]) + 3
-                    upto += 1
-                got = log_p[_paths(_symbols(texts[at:upto]))].astype(np.float64)
-                # Text k has len + 1 paths that end in its symbols; the two after those end in PAD.
-                sizes = np.array([len(t) + 3 for t in texts[at:upto]])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                sums = np.concatenate([[0.0], np.cumsum(got)])
-                scores[at:upto] = sums[starts + sizes - 2] - sums[starts]
-                at = upto
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "h": frame["h"], "held_out": frame["held_out"], "score": scores})
 
-    return run
+def trie(paths: DataFrame, order: int) -> DataFrame:
+    """(node, next) from (path, c) of the longest contexts: next has count * 256 + symbol per symbol seen in that context or a longer one of it."""
+    mask = lambda k: F.lit((1 << 8 * (k + 1)) - 1)
+    each = F.explode(F.array(*[F.struct(F.lit(k << TOP).alias("top"), F.col("path").bitwiseAND(mask(k)).alias("p")) for k in range(order + 1)]))
+    added = paths.select(each.alias("e"), "c").groupBy("e.top", "e.p").agg(F.sum("c").alias("c"))
+    # At most 256 symbols a node.
+    node = F.col("top").bitwiseOR(F.shiftright("p", 8)).alias("node")
+    return added.select(node, (F.col("c") * 256 + F.col("p").bitwiseAND(F.lit(255))).alias("n")).groupBy("node").agg(F.sort_array(F.collect_list("n")).alias("next"))
+
+
+class Model:
+    """A part's piece of the trie: sorted nodes, and their symbols and counts one after another."""
+
+    def __init__(self, nodes: np.ndarray, sizes: np.ndarray, packed: np.ndarray, order: int):
+        by = np.argsort(nodes, kind="stable")
+        ends = np.cumsum(sizes)
+        self.order, self.nodes = order, nodes[by]
+        self.spans = np.stack([ends - sizes, ends], 1)[by]
+        self.symbols, self.counts = packed & 255, packed >> 8
+        # Paths of the longest contexts, with their probabilities.
+        of = np.repeat(np.arange(len(nodes)), sizes)
+        total = np.bincount(of, self.counts, len(nodes)) + sizes
+        long = (nodes >> TOP)[of] == order
+        keys = ((nodes[of] & ((1 << TOP) - 1)) << 8 | self.symbols)[long]
+        sort = np.argsort(keys)
+        self.keys, self.log_p = keys[sort], np.log10(self.counts[long] / total[of[long]])[sort]
+        self.escaped: dict[int, float] = {}
+
+    def _escape(self, path: int) -> float:
+        """log10 P of a symbol that its longest context hasn't seen, by escapes and exclusion."""
+        symbol, context, p, barred = path & 255, path >> 8, 1.0, np.zeros(256, bool)
+        for k in range(self.order, -1, -1):
+            node = k << TOP | context & ((1 << 8 * k) - 1)
+            i = int(np.searchsorted(self.nodes, node))
+            if i == len(self.nodes) or self.nodes[i] != node:
+                continue
+            a, b = self.spans[i]
+            open_ = ~barred[self.symbols[a:b]]
+            s, c = self.symbols[a:b][open_], self.counts[a:b][open_]
+            if not len(s):
+                continue
+            whole = c.sum() + len(s)
+            hit = np.flatnonzero(s == symbol)
+            if len(hit):
+                return math.log10(p * c[hit[0]] / whole)
+            p *= len(s) / whole
+            barred[s] = True
+        return math.log10(p / (256 - barred.sum()))
+
+    def scores(self, texts: list[bytes]) -> list[float]:
+        """log10 probability of every text with its end."""
+        out: list[float] = []
+        for a, b in _chunks(texts):
+            paths = _paths(texts[a:b], self.order)
+            at = np.minimum(np.searchsorted(self.keys, paths), max(len(self.keys) - 1, 0))
+            hit = self.keys[at] == paths if len(self.keys) else np.zeros(len(paths), bool)
+            got = np.where(hit, self.log_p[at] if len(self.keys) else 0.0, 0.0)
+            missed = np.flatnonzero(~hit & ((paths & 255) != PAD))
+            for key in np.unique(paths[missed]).tolist():
+                if key not in self.escaped:
+                    self.escaped[key] = self._escape(key)
+            got[missed] = [self.escaped[k] for k in paths[missed].tolist()]
+            got[(paths & 255) == PAD] = 0
+            # A text has len + 1 places, those up to the next one's first end in PAD.
+            sizes = np.array([len(t) + 1 + self.order for t in texts[a:b]])
+            sums = np.concatenate([[0.0], np.cumsum(got)])
+            ends = np.cumsum(sizes)
+            out += (sums[np.minimum(ends, len(got))] - sums[ends - sizes]).tolist()
+        return out
 
 
 def adaptive_score(text: bytes, order: int = 2) -> float:
@@ -188,12 +219,33 @@ def adaptive_score(text: bytes, order: int = 2) -> float:
     return total
 
 
-def _adaptive(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "h": frame["h"], "held_out": frame["held_out"], "score": [adaptive_score(t) for t in _lower(frame["text"])]})
+def _scored(n: int, v: int, order: int, mode: str, fields: pa.Schema) -> object:
+    def run(texts: pa.Table, model: pa.Table) -> pa.Table:
+        words = model.filter(pc.is_valid(model.column("word"))).combine_chunks()
+        count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True))
+        lowered = _lowered(texts.column("text"))
+        n_tokens, n_known, base = [], [], []
+        for t in lowered:
+            c = np.array([count.get(w, 0) for w in (*t.split(), b"")], np.int64)
+            n_tokens.append(len(c))
+            n_known.append(int((c > 0).sum()))
+            base.append(float(np.log10(c + 1.0).sum() - len(c) * math.log10(n + v + 1)))
+        if mode == "adaptive":
+            scores = [adaptive_score(t, order) for t in lowered]
+        else:
+            nodes = model.filter(pc.is_valid(model.column("node"))).combine_chunks()
+            lists = nodes.column("next")
+            flat = pc.list_flatten(lists)
+            sizes = pc.list_value_length(lists)
+            number = lambda x: x.to_numpy().astype(np.int64)
+            scores = Model(number(nodes.column("node")), number(sizes), number(flat), order).scores(lowered)
+        ids = texts.column("doc_id")
+        return pa.table([ids, texts.column("held_out"), n_tokens, n_known, [n] * len(ids), base, scores], schema=fields)
+
+    return run
 
 
-def score(docs: DataFrame, train: Column | None = None, mode: str = "pretrained") -> DataFrame:
+def score(docs: DataFrame, train: Column | None = None, mode: str = "pretrained", order: int = ORDER) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``train`` holds (default: not held_out). A-Z are lower-cased.
@@ -202,21 +254,32 @@ def score(docs: DataFrame, train: Column | None = None, mode: str = "pretrained"
     each text by itself, learning as it goes.
     """
     held = held_out(F.col("doc_id"))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    learn = docs.where(~held if train is None else train).select("text")
-    counts = materialize(word_counts(learn))
-    base = unigram(docs, counts)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, held_out boolean, score double"
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), held.alias("held_out"), "text")
-    if mode == "adaptive":
-        scored = rows.mapInPandas(_adaptive, schema)
-    else:
-        trie = path_counts(learn).toPandas()  # at most 256**3 paths of 12 bytes, whatever the input
-        model = docs.sparkSession.sparkContext.broadcast((trie["path"].to_numpy(np.int64), trie["c"].to_numpy(np.float64)))
-        scored = rows.mapInPandas(_score(model), schema)
-    base = base.withColumnRenamed("doc_id", "__d").withColumnRenamed("h", "__h")
-    out = scored.join(base, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("h") == F.col("__h")))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    learn = F.coalesce(~held if train is None else train, F.lit(False))
+    rows = docs.select("doc_id", held.alias("held_out"), learn.alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    texts = materialize(rows.mapInArrow(_dealt, f"doc_id {kind}, held_out boolean, learn boolean, text string, part long"))
+    seen = materialize(texts.select("part", "learn", "text").mapInArrow(_seen(order), "part long, path long, word binary, c long, other boolean"))
+    words = materialize(seen.where("word is not null and c > 0").groupBy("word").agg(F.sum("c").alias("c")))
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+    asked = seen.where("word is not null").select("part", "word").join(words, "word").select("part", "word", "c", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<long>").alias("next"))
+    if mode != "adaptive":
+        paths = seen.where("path is not null")
+        made = materialize(trie(paths.where("c > 0").groupBy("path").agg(F.sum("c").alias("c")), order))
+        node = lambda k: (F.shiftright("path", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))).bitwiseOR(F.lit(k << TOP))
+        shorter = F.when(F.col("other"), F.array(*[node(k) for k in range(order + 1)])).otherwise(F.array(node(order)))
+        needs = paths.select("part", F.explode(shorter).alias("node")).distinct()
+        asked = asked.unionByName(needs.join(made, "node").select("part", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "node", "next"))
+    out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    fields = pa.schema([(texts.schema["doc_id"].name, _arrow(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    groups = texts.select("part", "doc_id", "held_out", "text").groupBy("part").cogroup(asked.groupBy("part"))
+    done = materialize(groups.applyInArrow(_scored(total["n"], total["v"], order, mode, fields), out))
+    release(texts, seen, words, *([made] if mode != "adaptive" else []))
+    return done
+
+
+def _arrow(kind: str) -> pa.DataType:
+    """The Arrow type of an id column."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

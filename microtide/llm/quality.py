@@ -2,8 +2,12 @@
 
 Native DataFrame functions only. The minimum covariance determinant (MCD) of each language and
 source is found by concentration steps on a narrow table of transformed statistics: each step
-is one aggregation over (group, distance bin), so that the moments of the h nearest rows come
-out of the same pass that ranks them. All moments are sums of integers: runs agree bit by bit.
+is one aggregation over (group, start, distance bin), so that the moments of the h nearest rows
+come out of the same pass that ranks them. Steps start from medians and quartiles and from
+seeded subsets, go on until no determinant changes, and the start of least determinant is kept.
+All moments are sums of integers: runs agree bit by bit. The same is done for all rows
+together, and each group's estimate is drawn towards that one with the weight of PRIOR rows:
+a group of any size is judged in the same way.
 """
 
 from __future__ import annotations
@@ -13,17 +17,21 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microtide.llm.common import SPACES, lookup_join, materialize, table, words
+from microtide.llm.common import SPACES, lookup_join, materialize, release, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics, in units of 1/GRID, clipped to +-LIMIT units.
 STATS = ("length", "word_length", "symbols", "dup_lines", "repeats")
 GRID = 1000
 LIMIT = 20 * GRID
-#: Share of a group's rows that the estimate rests on, steps, and rows a group needs for its own.
+#: Share of a group's rows that the estimate rests on, steps at most, and the relative change of a determinant that ends them.
 H_SHARE = 0.75
-STEPS = 4
-MIN_GROUP = 60
+STEPS = 10
+STAND = 1e-2
+#: Besides the diagonal start, as many starts from one row in SUBSET of each group.
+SUBSETS, SUBSET = 2, 8
+#: The estimate of all rows counts as much as so many rows of a group.
+PRIOR = 30
 #: Standard deviation added to each statistic's own: a group that (nearly) never varies doesn't
 #: reject small change, such as one line said twice.
 FLOORS = (0.6, 0.3, 0.15, 0.6, 0.6)
@@ -79,63 +87,93 @@ def _transformed() -> list[Column]:
     return [F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.round(x * GRID))).cast("long").alias(f"x{i}") for i, x in enumerate(made)]
 
 
-def _estimate_columns(m: list[Column], s: dict[tuple[int, int], Column]) -> list[Column]:
-    """Means and the rows of the inverse Cholesky factor's recursion: columns m0.. and l00.. of cov = L L'."""
-    return [x.alias(f"m{i}") for i, x in enumerate(m)] + [x.alias(f"s{i}{j}") for (i, j), x in s.items()]
-
-
 def _cholesky(df: DataFrame) -> DataFrame:
-    """Columns s_ij (covariance, floored on the diagonal) to l_ij, one column after another."""
-    for i, j in PAIRS:
-        rest = F.col(f"s{i}{j}")
-        if i == j:
-            rest = rest + F.lit((FLOORS[i] * GRID) ** 2)
-        for k in range(j):
-            rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1.0))) if i == j else rest / F.col(f"l{j}{j}"))
-    return df.drop(*[f"s{i}{j}" for i, j in PAIRS])
+    """Adds l_ij, the factor L of cov = L L' (s_ij floored on the diagonal), and det, the logarithm of its determinant."""
+    made = []
+    for j in range(P):
+        for i in range(j, P):
+            rest = " - ".join([f"s{i}{j}" + f" + {(FLOORS[i] * GRID) ** 2}D" * (i == j)] + [f"l{i}{k} * l{j}{k}" for k in range(j)])
+            made.append(f"sqrt(greatest({rest}, 1D)) AS l{i}{j}" if i == j else f"({rest}) / l{j}{j} AS l{i}{j}")
+    return df.selectExpr("*", *made, " + ".join(f"2 * ln(l{i}{i})" for i in range(P)) + " AS det")
 
 
 def _distance(df: DataFrame) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance, by forward substitution."""
-    for i in range(P):
-        rest = F.col(f"x{i}") - F.col(f"m{i}")
-        for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        df = df.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    total = F.col("y0") * F.col("y0")
-    for i in range(1, P):
-        total = total + F.col(f"y{i}") * F.col(f"y{i}")
-    return df.withColumn("d2", total).drop(*[f"y{i}" for i in range(P)])
+    made = [f"({' - '.join([f'x{i} - m{i}'] + [f'l{i}{j} * y{j}' for j in range(i)])}) / l{i}{i} AS y{i}" for i in range(P)]
+    return df.selectExpr("*", *made, " + ".join(f"y{i} * y{i}" for i in range(P)) + " AS d2").drop(*[f"y{i}" for i in range(P)])
 
 
 GROUP = ["g_lang", "g_source"]
+#: The group of all rows; those of a language and source are marked by a leading "=".
+EVERYONE = "*"
+
+
+SUMS = [f"a{i}" for i in range(P)] + [f"b{i}{j}" for i, j in PAIRS]
+
+
+def _moments(rows: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """c, and the sums a_i and b_ij of coordinates and their products."""
+    x = [f"sum(x{i}) AS a{i}" for i in range(P)] + [f"sum(x{i} * x{j}) AS b{i}{j}" for i, j in PAIRS]
+    return rows.groupBy(*by).agg(*map(F.expr, ["count(1) AS c", *x, *more]))
 
 
-def _start(vectors: DataFrame) -> DataFrame:
-    """Medians and squared normal-consistent interquartile ranges: a diagonal robust start.
+def _estimate(sums: DataFrame, by: list[str], scale: float) -> DataFrame:
+    """Estimates from sums, which are added up as exact decimals; n (rows of the group) and was (the determinant before) are carried on."""
+    got = sums.groupBy(*by).agg(*map(F.expr, ["first(n) AS n", "first(was) AS was", "double(sum(c)) AS c", *[f"double(sum(CAST({c} AS DECIMAL(38, 0)))) AS {c}" for c in SUMS]]))
+    means = [f"a{i} / c AS m{i}" for i in range(P)]
+    covs = [f"(b{i}{j} / c - (a{i} / c) * (a{j} / c)) * {scale!r}D AS s{i}{j}" for i, j in PAIRS]
+    return _cholesky(got.selectExpr(*by, "n", "was", *means, *covs))
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """Estimates per group and start. Start 0: medians and squared normal-consistent interquartile ranges; others: seeded subsets.
 
     The exact percentiles count distinct grid values, of which a statistic has 40,001 at most.
+    A group of which a subset has no row lacks that start.
     """
-    got = vectors.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *[F.percentile(f"x{i}", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias(f"q{i}") for i in range(P)])
-    mid = [F.get(f"q{i}", F.lit(1)) for i in range(P)]
-    var = {(i, j): F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) if i == j else F.lit(0.0) for i, j in PAIRS}
-    return _cholesky(got.select(*GROUP, "n", *_estimate_columns(mid, var)))
+    got = materialize(vectors.groupBy(*GROUP).agg(*map(F.expr, ["count(1) AS n", *[f"percentile(x{i}, array(0.25, 0.5, 0.75)) AS q{i}" for i in range(P)]])))
+    var = [f"pow((q{i}[2] - q{i}[0]) / 1.349, 2) AS s{i}{j}" if i == j else f"0D AS s{i}{j}" for i, j in PAIRS]
+    first = _cholesky(got.selectExpr(*GROUP, "0 AS start", "n", "double(null) AS was", *[f"q{i}[1] AS m{i}" for i in range(P)], *var))
+    drawn = F.filter(F.array(*[F.when(F.pmod(F.xxhash64(F.lit(k), "doc_id"), F.lit(SUBSET)) == 0, F.lit(k)) for k in range(1, SUBSETS + 1)]), lambda k: k.isNotNull())
+    by = [*GROUP, "start"]
+    some = _moments(vectors.withColumn("start", F.explode(drawn)), by).join(got.select(*GROUP, "n"), GROUP)
+    return first.unionByName(_estimate(some.selectExpr("*", "double(null) AS was"), by, 1.0))
 
 
 def _concentrate(vectors: DataFrame, now: DataFrame, h_share: float) -> DataFrame:
     """One concentration step: moments of the nearest rows, whole bins until h of them are in."""
-    dealt = _distance(lookup_join(vectors, now, GROUP, ["doc_id"], "inner"))
-    bins = dealt.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * BINS).cast("int"))
-    sums = [F.sum(f"x{i}").alias(f"a{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}{j}") for i, j in PAIRS]
-    bins = bins.groupBy(*GROUP, "bin").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), *sums)
-    nearer = Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    by = [*GROUP, "start"]
+    before = now.drop("was", *[f"s{i}{j}" for i, j in PAIRS]).withColumnRenamed("det", "was")
+    dealt = _distance(lookup_join(vectors.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(SUBSETS)))), before, by, ["doc_id"], "inner"))
+    bins = _moments(dealt.selectExpr("*", f"int(floor(ln(d2 + 1e-6D) * {BINS})) AS bin"), [*by, "bin"], "first(n) AS n", "first(was) AS was")
+    nearer = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("closer", F.coalesce(F.sum("c").over(nearer), F.lit(0))).where(F.col("closer") < F.ceil(F.col("n") * h_share))
-    exact = lambda c: F.sum(F.col(c).cast("decimal(38,0)")).cast("double").alias(c)
-    got = bins.groupBy(*GROUP).agg(F.first("n").alias("n"), F.sum("c").cast("double").alias("c"), *[exact(f"a{i}") for i in range(P)], *[exact(f"b{i}{j}") for i, j in PAIRS])
-    mean = [F.col(f"a{i}") / F.col("c") for i in range(P)]
-    cov = {(i, j): (F.col(f"b{i}{j}") / F.col("c") - mean[i] * mean[j]) * F.lit(_consistency(h_share)) for i, j in PAIRS}
-    return _cholesky(got.select(*GROUP, "n", *_estimate_columns(mean, cov)))
+    return _estimate(bins, by, _consistency(h_share))
+
+
+def estimate(vectors: DataFrame, h_share: float = H_SHARE, steps: int = STEPS) -> DataFrame:
+    """(g_lang, g_source, n, m_i, s_ij, l_ij, det) per group of ``vectors`` (doc_id, g_lang, g_source, x_i): the start of least determinant after its last step."""
+    now = materialize(_starts(vectors))
+    for _ in range(steps):
+        last, now = now, materialize(_concentrate(vectors, now, h_share))
+        release(last)
+        moved = now.agg(F.max(F.abs(F.col("det") - F.col("was"))).alias("m")).first()["m"]
+        if moved is None or moved <= STAND:
+            break
+    columns = [c for c in now.columns if c not in (*GROUP, "start", "was")]
+    best = now.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("e"))
+    return best.select(*GROUP, "e.*")
+
+
+def _shrunk(found: DataFrame, prior: float) -> DataFrame:
+    """Every group's estimate and that of all rows, weighted by the group's rows and ``prior``."""
+    found = materialize(found)
+    whole = found.where(F.col("g_lang") == EVERYONE).first()
+    factor = [f"l{i}{j}" for i, j in PAIRS]
+    if whole is None:
+        return found.select(*GROUP, *[f"m{i}" for i in range(P)], *factor)
+    drawn = [f"(n * {c} + {prior} * {whole[c]!r}D) / (n + {prior}) AS {c}" for c in [f"m{i}" for i in range(P)] + [f"s{i}{j}" for i, j in PAIRS]]
+    return _cholesky(found.where(F.col("g_lang") != EVERYONE).selectExpr(*GROUP, *drawn)).select(*GROUP, *[f"m{i}" for i in range(P)], *factor)
 
 
 def _chi2_cdf(x: float, k: int) -> float:
@@ -157,14 +195,13 @@ def _consistency(h: float) -> float:
     return h / _chi2_cdf(low, P + 2)
 
 
-def judge(docs: DataFrame, h_share: float = H_SHARE, steps: int = STEPS, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, h_share: float = H_SHARE, steps: int = STEPS, prior: float = PRIOR, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, h (hash of text), statistics, base_failed, distance2 and kept, per row of ``docs``.
 
-    Estimates rest on rows that pass the base rules. A language and source with fewer than
-    ``min_group`` of them is pooled with its language's other small ones, and small pools with
-    each other; a last pool still smaller judges by the base rules alone (distance2 null, kept). Null language or source is a value
-    like others; null text has no words and fails; an empty table gives no rows. A repeated row
-    counts as often as it is there.
+    Estimates rest on rows that pass the base rules; of these, those beyond ``cutoff`` of their
+    language's and source's estimate aren't kept. distance2 is null for rows that fail the base
+    rules. Null language or source is a value like others; null text has no words and fails; an
+    empty table gives no rows. A repeated row counts as often as it is there.
     """
     base = base_stats(docs.select("doc_id", "text", F.col("lang").alias("g_lang"), F.col("source").alias("g_source")))
     ok = ~F.col("base_failed")
@@ -172,15 +209,11 @@ def judge(docs: DataFrame, h_share: float = H_SHARE, steps: int = STEPS, min_gro
     base = materialize(base)
     marked = lambda c: F.concat(F.lit("="), F.coalesce(c, F.lit("")), F.when(F.col(c).isNull(), F.lit("0")).otherwise(F.lit("1")))
     base = base.withColumns({c: marked(c) for c in GROUP})
-    for pool in GROUP[::-1]:
-        sizes = materialize(base.where(ok).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("own")))
-        small = F.coalesce(F.col("own"), F.lit(0)) < min_group
-        base = lookup_join(base, sizes, GROUP, ["doc_id"]).withColumn(pool, F.when(small, F.lit("*")).otherwise(F.col(pool))).drop("own")
-    vectors = base.where(ok).select("doc_id", *GROUP, *[f"x{i}" for i in range(P)])
-    now = materialize(_start(vectors).where(F.col("n") >= min_group))
-    for _ in range(steps):
-        now = materialize(_concentrate(vectors, now, h_share))
-    out = _distance(lookup_join(base, now.drop("n"), GROUP, ["doc_id"]))
+    x = [f"x{i}" for i in range(P)]
+    both = F.explode(F.array(F.struct(*GROUP), F.struct(F.lit(EVERYONE).alias("g_lang"), F.lit(EVERYONE).alias("g_source"))))
+    vectors = base.where(ok).select("doc_id", both.alias("g"), *x).select("doc_id", "g.*", *x)
+    now = materialize(_shrunk(estimate(vectors, h_share, steps), prior))
+    out = _distance(lookup_join(base, now, GROUP, ["doc_id"]))
     kept = ok & F.coalesce(F.col("d2") <= cutoff, F.lit(True))
     return out.select("doc_id", "h", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("d2", 6).alias("distance2"), kept.alias("kept"))
 

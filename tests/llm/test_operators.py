@@ -5,10 +5,12 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from microtide.llm import decontaminate, html_extract, jaccard, language_id, lm_score, mixing, pii, quality, secrets, token_counts
@@ -38,7 +40,7 @@ def mixed_rows():
 
 
 def test_quality_base_and_verdict(spark, mixed_rows):
-    got = quality.judge(documents(spark, mixed_rows), min_group=20).collect()
+    got = quality.judge(documents(spark, mixed_rows)).collect()
     assert len(got) == len(mixed_rows)
     want = collections.Counter()
     for doc_id, text, *_ in mixed_rows:
@@ -52,40 +54,70 @@ def test_quality_base_and_verdict(spark, mixed_rows):
     assert all(verdict[i] for i in range(160))
     assert not any(r.kept for r in got if r.base_failed)
     assert quality.judge(documents(spark, [])).count() == 0
-    kept = quality.keep(documents(spark, mixed_rows), min_group=20)
+    kept = quality.keep(documents(spark, mixed_rows))
     assert kept.columns == [f.split()[0] for f in SCHEMA.split(", ")]
     assert kept.count() == sum(r.kept for r in got)
 
 
 def test_quality_distances_match_numpy(spark):
     r = np.random.default_rng(3)
-    rows = [(i, " ".join("x" * int(k) for k in r.integers(2, 9, int(r.integers(60, 300)))) + " #" * int(r.integers(0, 3)), "en", "s") for i in range(150)]
-    rows += [(500 + i, "ab " * 3 + "#$% %$# " + " ".join(f"w{i}{j} ###" for j in range(60)), "en", "s") for i in range(6)]
-    docs = documents(spark, rows)
-    got = {x.doc_id: x for x in quality.judge(docs, min_group=10).collect()}
-    base = [x for x in got.values() if not x.base_failed]
+    word = lambda: "".join(r.choice(list("abcdefghijklmnop"), int(r.integers(2, 9))))
+    rows = [(i, " ".join(word() for _ in range(int(r.integers(60, 300)))) + " #" * int(r.integers(0, 3)), "en", "s" if i % 5 else None) for i in range(150)]
+    rows += [(500 + i, "#$% %$# " + " ".join(f"{word()} ###" for _ in range(60)), "en", "s") for i in range(6)]
+    got = {x.doc_id: x for x in quality.judge(documents(spark, rows)).collect()}
+    assert not any(x.base_failed for x in got.values())
+    base = list(got.values())
+    of = {d: s for d, _, _, s in rows}
     n, c = (np.array([getattr(x, k) for x in base], float) for k in ("n_words", "word_chars"))
     sy, du, re_ = (np.array([getattr(x, k) for x in base], float) for k in ("n_symbols", "n_dup_lines", "n_repeat_words"))
     x = np.stack([np.log1p(n), 4 * np.log(c / n), 4 * np.arcsin(np.sqrt(np.minimum(1, sy / c))), 2 * np.log1p(du), 4 * np.arcsin(np.sqrt(np.minimum(1, re_ / n)))], 1)
     x = np.round(x * quality.GRID)
     floor = np.diag((np.array(quality.FLOORS) * quality.GRID) ** 2)
-    q = np.percentile(x, [25, 50, 75], axis=0)
-    mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2)
-    dist = lambda: np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov + floor), x - mean)
-    for _ in range(quality.STEPS):
-        d = dist()
-        bins = np.floor(np.log(d + 1e-6) * quality.BINS)
-        order = sorted(set(bins))
-        before, inside = 0, []
-        for b in order:
-            if before < math.ceil(len(x) * quality.H_SHARE):
-                inside.append(b)
-            before += int((bins == b).sum())
-        part = x[np.isin(bins, inside)]
-        mean, cov = part.mean(0), np.cov(part.T, bias=True) * quality._consistency(quality.H_SHARE)
-    for row, d in zip(base, dist(), strict=True):
-        assert row.distance2 == pytest.approx(d, rel=1e-6, abs=1e-5)
-    assert min(got[500 + i].distance2 for i in range(6)) > max(x.distance2 for x in base if x.doc_id < 500)
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+    seeded = lambda k, d: signed(xxhash.xxh64_intdigest(struct.pack("<q", d), xxhash.xxh64_intdigest(struct.pack("<i", k), 42))) % quality.SUBSET == 0
+    dist = lambda x, m, s: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(s + floor), x - m)
+
+    def mcd(at):
+        """Means and covariances of the rows at these places, from every start to its standstill."""
+        x_, ids = x[at], [base[i].doc_id for i in at]
+        q = np.percentile(x_, [25, 50, 75], axis=0)
+        starts = [(q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2))]
+        for k in range(1, quality.SUBSETS + 1):
+            part = x_[[seeded(k, d) for d in ids]]
+            if len(part):
+                starts.append((part.mean(0), np.cov(part.T, bias=True).reshape(5, 5)))
+        logdet = lambda s: np.linalg.slogdet(s + floor)[1]
+        for _ in range(quality.STEPS):
+            was = [logdet(s) for _, s in starts]
+            new = []
+            for m, s in starts:
+                bins = np.floor(np.log(dist(x_, m, s) + 1e-6) * quality.BINS)
+                before, inside = 0, []
+                for b in sorted(set(bins)):
+                    if before < math.ceil(len(x_) * quality.H_SHARE):
+                        inside.append(b)
+                    before += int((bins == b).sum())
+                part = x_[np.isin(bins, inside)]
+                new.append((part.mean(0), np.cov(part.T, bias=True).reshape(5, 5) * quality._consistency(quality.H_SHARE)))
+            starts = new
+            if max(abs(logdet(s) - w) for (_, s), w in zip(starts, was, strict=True)) <= quality.STAND:
+                break
+        return min(starts, key=lambda e: logdet(e[1]))
+
+    m_all, s_all = mcd(range(len(x)))
+    for source in ("s", None):
+        at = [i for i, b in enumerate(base) if of[b.doc_id] == source]
+        m, s = mcd(at)
+        own = len(at) / (len(at) + quality.PRIOR)
+        for i, d in zip(at, dist(x[at], own * m + (1 - own) * m_all, own * s + (1 - own) * s_all), strict=True):
+            assert base[i].distance2 == pytest.approx(d, rel=1e-5, abs=1e-5)
+    assert min(got[500 + i].distance2 for i in range(6)) > quality.CUTOFF > max(x.distance2 for x in base if x.doc_id < 500)
+
+
+def test_quality_judges_small_groups_too(spark, mixed_rows):
+    odd = (900, " ".join(f"w{i}###" for i in range(80)), "xx", "own")
+    got = {x.doc_id: x for x in quality.judge(documents(spark, [*mixed_rows, odd, (901, mixed_rows[3][1], "yy", "own")])).collect()}
+    assert got[900].distance2 > got[901].distance2 and got[901].kept and not got[900].kept
 
 
 def test_mixing_matches_plain_water_filling(spark, mixed_rows):
@@ -392,25 +424,19 @@ def test_lm_base_and_model(spark, mixed_rows):
     assert lm_score.score(documents(spark, [])).count() == 0
 
 
-def test_ppm_is_a_distribution_with_exclusion(spark):
-    texts = ["abracadabra", "abrupt", "cab", ""]
-    symbols = lm_score._symbols([t.encode() for t in texts])
-    paths, counts = np.unique(lm_score._paths(symbols), return_counts=True)
-    ok = (paths & 255) != lm_score.PAD
-    table = lm_score.log_table(paths[ok], counts[ok]).reshape(256, 256, 256)
-    for a, b in ((97, 98), (0, 0), (lm_score.PAD, lm_score.PAD), (120, 97)):
-        assert (10.0 ** table[a, b].astype(float)).sum() == pytest.approx(1, abs=1e-4)
+def ppm(texts, order):
+    """P(symbol | what comes before it) by method C with exclusion, from dictionaries."""
     trie = collections.defaultdict(collections.Counter)
     for t in texts:
-        s = bytes((lm_score.PAD,)) * 2 + t.encode() + bytes((lm_score.END,))
-        for i in range(2, len(s)):
-            for k in range(3):
+        s = bytes((lm_score.PAD,)) * order + t + bytes((lm_score.END,))
+        for i in range(order, len(s)):
+            for k in range(order + 1):
                 trie[s[i - k : i]][s[i]] += 1
 
     def p(context, symbol):
         out, barred = 1.0, set()
-        for k in (2, 1, 0):
-            seen = {s: c for s, c in trie[context[2 - k :]].items() if s not in barred}
+        for k in range(order, -1, -1):
+            seen = {s: c for s, c in trie[context[order - k :]].items() if s not in barred}
             if symbol in seen:
                 return out * seen[symbol] / (sum(seen.values()) + len(seen))
             if seen:
@@ -418,11 +444,28 @@ def test_ppm_is_a_distribution_with_exclusion(spark):
                 barred |= set(seen)
         return out / (256 - len(barred))
 
-    for t in ("abra", "zab", "cabbab", ""):
-        s = bytes((lm_score.PAD,)) * 2 + t.encode() + bytes((lm_score.END,))
-        want = sum(math.log10(p(s[i - 2 : i], s[i])) for i in range(2, len(s)))
-        got = sum(float(table[s[i - 2], s[i - 1], s[i]]) for i in range(2, len(s)))
-        assert got == pytest.approx(want, abs=1e-3)
+    return p
+
+
+def test_ppm_against_dictionaries(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice(["abra", "cad", "é ", "X😀", " "]) for _ in range(r.randint(0, 40))), "en", "s") for i in range(80)]
+    rows += [(500 + i, "zebra qux" * i, "en", "s") for i in range(20)] + [(None, None, None, None)]
+    monkeypatch.setattr(lm_score, "PART_BYTES", 300)
+    for order in (3, lm_score.ORDER):
+        got = lm_score.score(documents(spark, rows), order=order).collect()
+        assert len(got) == len(rows)
+        low = lambda t: (t or "").encode().lower()
+        p = ppm([low(t) for d, t, *_ in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2], order)
+        assert sum(p(b"\xfeabrab"[:order], s) for s in range(256)) == pytest.approx(1)
+        text = {d: t for d, t, *_ in rows}
+        for x in got:
+            s = bytes((lm_score.PAD,)) * order + low(text[x.doc_id]) + bytes((lm_score.END,))
+            assert x.score == pytest.approx(sum(math.log10(p(s[i - order : i], s[i])) for i in range(order, len(s)))), x.doc_id
+    alone = lm_score.score(documents(spark, [(1, "ab", "en", "s")]), train=F.lit(False)).first()
+    assert alone.score == pytest.approx(-3 * math.log10(256)) and alone.base_score == 0 and alone.n_known == 0
+    coded = lm_score.score(documents(spark, [(1, "ab" * 40, "en", "s"), (2, "", "en", "s")]), mode="adaptive", order=2).collect()
+    assert {x.doc_id: x.score for x in coded} == {1: lm_score.adaptive_score(b"ab" * 40), 2: lm_score.adaptive_score(b"")}
     assert lm_score.adaptive_score(b"abababababab") > lm_score.adaptive_score(b"abcdefghijkl")
 
 

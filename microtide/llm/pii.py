@@ -1,16 +1,17 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with a CRF, in numpy.
 
-The tagger is trained from labelled spans (those of the patterns in a bounded sample of
-windows, and labelled variants written from them that the patterns don't cover, such as
-phone numbers without the plus sign). It reads every stretch of a text that could hold a
-span: all four kinds need a digit or an at sign, so a stretch is everything within MARGIN
-characters of one. A stretch is read in overlapping windows; the emissions of all windows
-are averaged per character, weighted by the distance from the window's edge, and one CRF
-decoding runs over the whole stretch.
+The tagger is trained from labelled spans: those of the patterns in a bounded sample of texts,
+and variants written from them that no pattern matches (addresses spelt out, defanged hosts,
+numbers with other separators, phone numbers without a plus sign). It reads every whole text in
+overlapping windows; the emissions of all windows are averaged per character, weighted by the
+distance from the window's edge. Where O leads by more than LEAD it stands; every stretch
+between is decoded by the CRF at once, over the windows it lies in. What has the form of a
+pattern was judged by that pattern, and isn't added.
 """
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -31,10 +32,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ANCHOR = re.compile(r"[0-9@]+")
 
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
-MARGIN, WINDOW, STRIDE = 32, 96, 64
-EMBED, HIDDEN = 10, 16
-#: Windows trained on, steps, windows a step, learning rate, and the least mean probability of a span.
-SAMPLE, STEPS, BATCH, RATE, SURE = 3000, 160, 48, 0.01, 0.97
+#: Windows of texts and of training pieces.
+WINDOW, STRIDE, PIECE = 256, 224, 96
+EMBED, HIDDEN = 10, 12
+#: Distinct texts trained on (at most twice as many), spans of a text that are used, steps, pieces a step, learning rate.
+SAMPLE, SPANS, STEPS, BATCH, RATE = 3000, 4, 320, 64, 0.01
+#: Lead of O that needs no decoding, characters around others that are decoded, and the least mean probability of a span.
+LEAD, AROUND, SURE = 0.5, 8, 0.3
 _CLASSES = "@.-+()_% ,:/=\"'*#$&|\n"
 
 
@@ -89,26 +93,14 @@ def classes(text: str) -> np.ndarray:
 N_CLASSES = 5 + len(_CLASSES)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Maximal ranges within MARGIN characters of a digit or an at sign."""
-    out: list[tuple[int, int]] = []
-    for m in ANCHOR.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
-def windows(a: int, b: int) -> list[int]:
-    """Starts of the windows that cover a stretch."""
-    return list(range(a, max(a + 1, b - WINDOW + STRIDE), STRIDE))
+def windows(length: int, window: int = WINDOW, stride: int = STRIDE) -> list[int]:
+    """Starts of the windows that cover a text."""
+    return list(range(0, max(1, length - window + stride), stride))
 
 
-def _cut(x: np.ndarray, start: int) -> np.ndarray:
-    out = np.zeros(WINDOW, np.int8)
-    part = x[start : start + WINDOW]
+def _cut(x: np.ndarray, start: int, window: int = PIECE) -> np.ndarray:
+    out = np.zeros(window, np.int8)
+    part = x[start : start + window]
     out[: len(part)] = part
     return out
 
@@ -238,76 +230,145 @@ class Tagger:
         return tags
 
 
-_EDGE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
+_EDGE = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+
+
+class Reader:
+    """A trained tagger's emissions, fast: embeddings are folded into a table of gate inputs, and all gates are one tanh."""
+
+    def __init__(self, tagger: Tagger):
+        half = np.concatenate([np.full(3 * HIDDEN, 0.5), np.ones(HIDDEN)]).astype(np.float32)  # sigmoid(x) = tanh(x / 2) / 2 + 1 / 2
+        self.tagger, p = tagger, tagger.p
+        self.table = {d: ((p["e"] @ p["w" + d][:EMBED] + p["c" + d]) * half).astype(np.float32) for d in "fb"}
+        self.inner = {d: np.ascontiguousarray((p["w" + d][EMBED:] * half).astype(np.float32)) for d in "fb"}
+
+    def emit(self, ids: np.ndarray) -> np.ndarray:
+        """Tag scores (T, B, TAGS) of windows (T, B)."""
+        n_t, n_b = ids.shape
+        out = np.empty((n_t, n_b, 2 * HIDDEN), np.float32)
+        for at, d in enumerate("fb"):
+            table, inner = self.table[d], self.inner[d]
+            h, c = np.zeros((n_b, HIDDEN), np.float32), np.zeros((n_b, HIDDEN), np.float32)
+            for t in range(n_t) if d == "f" else range(n_t - 1, -1, -1):
+                g = h @ inner
+                g += table[ids[t]]
+                np.tanh(g, out=g)
+                s = g[:, : 3 * HIDDEN]
+                s *= 0.5
+                s += 0.5
+                c *= g[:, HIDDEN : 2 * HIDDEN]
+                c += g[:, :HIDDEN] * g[:, 3 * HIDDEN :]
+                h = np.tanh(c)
+                h *= g[:, 2 * HIDDEN : 3 * HIDDEN]
+                out[t, :, at * HIDDEN : (at + 1) * HIDDEN] = h
+        return out @ self.tagger.p["o"] + self.tagger.p["ob"]
+
+    def spans(self, total: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(kind, start, end, sureness) from a text's weighted sums of emissions (T, TAGS) and weights (T, 1)."""
+        by_tag = np.ascontiguousarray(total.T)
+        open_ = np.flatnonzero(by_tag[1:].max(0) - by_tag[0] > -LEAD * weight[:, 0])
+        if not len(open_):
+            return []
+        cuts = np.flatnonzero(np.diff(open_) > 2 * AROUND)
+        found = []
+        for a, b in zip(open_[np.concatenate([[0], cuts + 1])], open_[np.concatenate([cuts, [len(open_) - 1]])], strict=True):
+            a, b = max(0, int(a) - AROUND), min(len(total), int(b) + 1 + AROUND)
+            part = total[a:b] / weight[a:b]
+            tags = self.tagger.decode(part)
+            p = np.exp(part - part.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            i = 0
+            while i < len(tags):
+                j = i + 1
+                if tags[i] % 2 == 1:
+                    while j < len(tags) and tags[j] == tags[i] + 1:
+                        j += 1
+                    found.append(((int(tags[i]) - 1) // 2, a + i, a + j, float(p[np.arange(i, j), tags[i:j]].mean())))
+                i = j
+        return found
 
 
 def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[list[tuple[int, int, int, float]]]:
-    """(kind, start, end, sureness) of the tagged spans of each text."""
-    jobs = [(k, a, b, start) for k, t in enumerate(texts) for a, b in stretches(t) for start in windows(a, b)]
-    ids: dict[int, np.ndarray] = {}
+    """(kind, start, end, sureness) of the tagged spans of each text, read as a whole."""
+    reader = Reader(tagger)
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
-    now, total, weight = None, None, None
-
-    def close() -> None:
-        k, a, b = now
-        em = total / weight[:, None]
-        tags = tagger.decode(em)
-        p = np.exp(em - em.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        i = 0
-        while i < len(tags):
-            if tags[i] % 2 == 1:
-                j = i + 1
-                while j < len(tags) and tags[j] == tags[i] + 1:
-                    j += 1
-                found[k].append(((tags[i] - 1) // 2, a + i, a + j, float(p[np.arange(i, j), tags[i:j]].mean())))
-                i = j
-            else:
-                i += 1
-
-    for at in range(0, len(jobs), batch):
-        part = jobs[at : at + batch]
-        for k, *_ in part:
-            if k not in ids:
-                ids[k] = classes(texts[k])
-        em, _ = tagger.emit(np.array([_cut(ids[k][:b], s) for k, a, b, s in part]))
-        for n, (k, a, b, s) in enumerate(part):
-            if now != (k, a, b):
-                if now is not None:
-                    close()
-                    if now[0] != k:
-                        ids.pop(now[0], None)
-                now, total, weight = (k, a, b), np.zeros((b - a, TAGS), np.float32), np.zeros(b - a, np.float32)
-            size = min(WINDOW, b - s)
-            total[s - a : s - a + size] += em[:size, n] * _EDGE[:size, None]
-            weight[s - a : s - a + size] += _EDGE[:size]
-    if now is not None:
-        close()
+    jobs: list[tuple[int, int]] = []
+    ids: dict[int, np.ndarray] = {}
+    held: dict[int, list] = {}  # text: summed emissions, weights, windows to come
+
+    def flush() -> None:
+        em = reader.emit(np.array([_cut(ids[k], s, WINDOW) for k, s in jobs]).T)
+        for n, (k, s) in enumerate(jobs):
+            size = min(WINDOW, len(ids[k]) - s)
+            total, weight, left = held[k]
+            total[s : s + size] += em[:size, n] * _EDGE[:size]
+            weight[s : s + size] += _EDGE[:size]
+            held[k][2] = left - 1
+            if left == 1:
+                found[k] = reader.spans(total, weight)
+                del held[k], ids[k]
+        jobs.clear()
+
+    for k, t in enumerate(texts):
+        if not t:
+            continue
+        ids[k] = classes(t)
+        starts = windows(len(t))
+        held[k] = [np.zeros((len(t), TAGS), np.float32), np.zeros((len(t), 1), np.float32), len(starts)]
+        for s in starts:
+            jobs.append((k, s))
+            if len(jobs) == batch:
+                flush()
+    if jobs:
+        flush()
     return found
 
 
-def _plausible(kind: int, part: str) -> bool:
-    digits = sum("0" <= c <= "9" for c in part)
-    return ("@" in part and len(part) >= 6, digits >= 4 and part.count(".") == 3, 13 <= digits <= 19, 9 <= digits <= 15)[kind]
-
-
-def labelled(text: str) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Labelled examples of a text: short pieces around its spans, and variants of them."""
-    spans = base_spans(text)
-    out = []
-    for a, b in stretches(text)[:4]:
-        own = [(k, s - a, e - a) for k, s, e in spans if a <= s and e <= b]
-        piece = text[a:b]
-        out.append((piece, own))
-        if len(own) == 1 and own[0][0] == 3:
-            k, s, e = own[0]
-            bare = piece[s:e].lstrip("+0123456789").lstrip(" ")
-            if sum(c.isdigit() for c in bare) >= 9:
-                out.append((piece[:s] + bare + piece[e:], [(k, s, s + len(bare))]))
-        if len(own) == 1 and own[0][0] == 0:
-            k, s, e = own[0]
-            spaced = piece[s:e].replace("@", " @ ")
-            out.append((piece[:s] + spaced + piece[e:], [(k, s, s + len(spaced))]))
+#: Spans that the patterns themselves decide on.
+FORMS = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), CARD, PHONE)
+
+
+def variants(kind: int, span: str) -> list[str]:
+    """Writings of a span that no pattern matches."""
+    if kind == 0:
+        name, _, host = span.partition("@")
+        return [f"{name} at {host.replace('.', ' dot ')}", f"{name} (at) {host.replace('.', ' (dot) ')}", f"{name}[at]{host}", f"{name} @ {host}"]
+    if kind == 1:
+        return [span.replace(".", "[.]"), span.replace(".", " . "), span.replace(".", "(.)")]
+    digits = re.sub(r"[^0-9]", "", span)
+    if kind == 2:
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return [x.join(groups) for x in ("_", ".", "/", " - ")]
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"]
+
+
+def labelled(text: str, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """Labelled pieces of a text, drawn by the seed from all of it: around spans, the same with variants, around other digits, and plain ones."""
+    r, spans, out = random.Random(seed), base_spans(text), []
+
+    def piece(s: int, e: int) -> tuple[int, int] | None:
+        a, b = max(0, s - r.randint(2, 45)), min(len(text), e + r.randint(2, 45))
+        return None if any(x < a < y or x < b < y for _, x, y in spans) else (a, b)
+
+    for k, s, e in r.sample(spans, min(SPANS, len(spans))):
+        at = piece(s, e)
+        if at is None:
+            continue
+        a, b = at
+        own = [(i, x - a, y - a) for i, x, y in spans if a <= x and y <= b]
+        out.append((text[a:b], own))
+        for v in r.sample(variants(k, text[s:e]), 2):
+            moved = len(v) - (e - s)
+            out.append((text[a:s] + v + text[e:b], [(i, x + moved * (x >= e - a), y + moved * (y >= e - a)) for i, x, y in own]))
+    # Long numbers and at signs that no pattern matches may be personal data written otherwise: no counter-examples.
+    few = lambda at: sum("0" <= c <= "9" for c in text[max(0, at - 16) : at + 16]) <= 5
+    marks = [m.start() for m in ANCHOR.finditer(text) if "@" not in m[0] and few(m.start())]
+    for s in [*r.sample(marks, min(1, len(marks))), r.randrange(len(text))]:
+        at = piece(s, s)
+        if at:
+            a, b = at
+            out.append((text[a:b], [(i, x - a, y - a) for i, x, y in spans if a <= x and y <= b]))
     return out
 
 
@@ -324,11 +385,12 @@ def _examples(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for order, text in zip(frame["order"], frame["text"], strict=True):
-            for i, (piece, spans) in enumerate(labelled(text)):
+            for i, (piece, spans) in enumerate(labelled(text, order)):
                 x, y = classes(piece), _tags(len(piece), spans)
-                for start in windows(0, len(piece)):
+                for start in windows(len(piece), PIECE, PIECE - 32):
                     rows.append((order, i, start, _cut(x, start).tobytes(), _cut(y, start).tobytes()))
-        yield pd.DataFrame(rows, columns=["order", "i", "start", "x", "y"])
+        if rows:
+            yield pd.DataFrame(rows, columns=["order", "i", "start", "x", "y"])
 
 
 def _fit(frame: pd.DataFrame) -> pd.DataFrame:
@@ -341,13 +403,15 @@ def _fit(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Tagger | None:
-    """A tagger from at most about ``sample`` texts (in expectation) that hold an anchor; None without any."""
+    """A tagger from about ``sample`` distinct texts that hold a digit or an at sign, twice as many at most; None without any."""
     texts = docs.select("text").where(F.col("text").rlike("[0-9@]"))
     n = texts.count()
     if not n:
         return None
     order = F.xxhash64("text")
     chosen = texts.where(F.pmod(order, F.lit(1 << 30)) < F.lit(min(1.0, sample / n) * (1 << 30))).select(order.alias("order"), "text")
+    # Copies of a text count once in the sample, however many there are.
+    chosen = chosen.groupBy("order").agg(F.min("text").alias("text")).orderBy("order").limit(2 * sample)
     examples = chosen.mapInPandas(_examples, "order long, i int, start int, x binary, y binary").withColumn("all", F.lit("all"))
     rows = examples.groupBy("all").applyInPandas(_fit, "name string, shape array<int>, value binary").collect()
     if not rows:
@@ -366,7 +430,7 @@ def _find(model) -> object:
             extra = tag_texts(tagger, texts) if tagger else [[] for _ in texts]
             listed, counts, shas = [], [], []
             for text, own, more in zip(texts, base, extra, strict=True):
-                add = [(k, s, e) for k, s, e, sure in more if sure >= SURE and _plausible(k, text[s:e]) and not any(s < y and x < e for _, x, y in own)]
+                add = [(k, s, e) for k, s, e, sure in more if sure >= SURE and not FORMS[k].fullmatch(text[s:e]) and not any(s < y and x < e for _, x, y in own)]
                 listed.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(own + add)))
                 shas.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(own)))
                 counts.append([sum(k == x for k, _, _ in own) for x in range(len(KINDS))])
@@ -377,14 +441,15 @@ def _find(model) -> object:
     return run
 
 
-def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def find(docs: DataFrame, sample: int = SAMPLE, learn: DataFrame | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Counts and digest are of the patterns' spans; ``spans`` has the tagger's as well, where
-    they don't overlap one of those. Null and empty texts have none and the digest of the empty
-    string; repeated rows are reported each; an empty table gives no rows.
+    Counts and digest are of the patterns' spans; ``spans`` has the tagger's as well, where they
+    don't overlap one of those. The tagger learns from the texts of ``learn``, by default
+    ``docs``. Null and empty texts have no spans and the digest of the empty string; repeated
+    rows are reported each; an empty table gives no rows.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, sample))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs if learn is None else learn, sample))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base string, spans string, " + ", ".join(f"n_{k} long" for k in KINDS)
     out = docs.select("doc_id", "text").mapInPandas(_find(model), schema)
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")

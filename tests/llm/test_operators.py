@@ -352,6 +352,59 @@ def test_tagger_gradients_and_learning():
     assert sum([x[:3] for x in f] == w for f, w in zip(found, want, strict=True)) >= 0.9 * len(want)
 
 
+def planted(r, kind):
+    number = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+    if kind == 0:
+        return "".join(r.choice("abcdefghij") for _ in range(r.randint(3, 8))) + number(2) + f"@mail{r.randint(1, 9)}." + r.choice(["example.com", "test.org", "host.net"])
+    if kind == 1:
+        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+    if kind == 2:
+        digits = r.choice("45") + number(14)
+        return digits + next(d for d in "0123456789" if pii.luhn(digits + d))
+    return f"+1 ({number(3)}) {number(3)}-{number(4)}"
+
+
+def test_pii_tagger_finds_what_patterns_cannot(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghijklmnoprstu") for _ in range(r.randint(2, 9)))
+    prose = lambda k: " ".join(word() if r.random() > 0.02 else str(r.randint(1, 99999)) for _ in range(k))
+    rows = [(i, f"{prose(r.randint(5, 60))} {planted(r, i % 4)} {prose(r.randint(5, 60))}", "en", "s") for i in range(700)]
+    rows += [(1000 + i, prose(80), "en", "s") for i in range(200)]
+    learn, rows, truth = documents(spark, rows), rows[-100:], {}
+    for i in range(240):  # one far from the start, across the edges of windows
+        span = r.choice(pii.variants(i % 4, planted(r, i % 4)))
+        before = prose(r.randint(20, 120))
+        truth[5000 + i] = (i % 4, len(before) + 1, len(before) + 1 + len(span))
+        rows.append((5000 + i, f"{before} {span} {prose(30)}", "en", "s"))
+    got = {x.doc_id: x for x in pii.find(documents(spark, rows), learn=learn).collect()}
+    listed = {d: [(pii.KINDS.index(k), int(a), int(b)) for k, a, b in (p.split(":") for p in x.spans.split(",") if p)] for d, x in got.items()}
+    overlaps = lambda p, q: p[0] == q[0] and p[1] < q[2] and q[1] < p[2]
+    found = sum(any(overlaps(p, t) for p in listed[d]) for d, t in truth.items())
+    added = {d: [p for p in listed[d] if p not in pii.base_spans(next(t for i, t, *_ in rows if i == d))] for d in listed}
+    right = sum(d in truth and overlaps(p, truth[d]) for d, ps in added.items() for p in ps)
+    assert found >= 0.9 * len(truth)
+    assert right >= 0.9 * sum(map(len, added.values()))
+
+
+def test_pii_windows_are_reconciled():
+    """Emissions are those of a plain pass over each window, averaged by distance from its edges, whatever the batches."""
+    r, tagger = random.Random(2), pii.Tagger(seed=3)
+    texts = ["".join(r.choice("ab1@. \n") for _ in range(n)) for n in (1, 5, 255, 256, 257, 900, 2000)] + ["", "x"]
+    reader = pii.Reader(tagger)
+    want = []
+    for t in texts:
+        total, weight = np.zeros((len(t), pii.TAGS)), np.zeros((len(t), 1))
+        for s in pii.windows(len(t)) if t else []:
+            em, _ = tagger.emit(pii._cut(pii.classes(t), s, pii.WINDOW)[None])
+            for i in range(min(pii.WINDOW, len(t) - s)):
+                total[s + i] += em[i, 0] * min(i + 1, pii.WINDOW - i)
+                weight[s + i] += min(i + 1, pii.WINDOW - i)
+        want.append(reader.spans(total, weight) if t else [])
+    for batch in (1, 3, 100):
+        got = pii.tag_texts(tagger, texts, batch)
+        assert [[x[:3] for x in g] for g in got] == [[x[:3] for x in w] for w in want]
+
+
 def components_of(rows, k, up, low):
     sets = {}
     for d, t in rows:

@@ -64,7 +64,7 @@ def in_session(ts_sec: Column, symbol: Column, last_inclusive: bool = True) -> C
 
 def session_label(ts_sec: Column) -> Column:
     s = ist_second(ts_sec)
-    return F.when(s < 36_000, "open").when(s < 50_400, "midday").otherwise("close")
+    return F.when(s < 35_100, "open").when(s < 52_200, "midday").otherwise("close")
 
 
 def base_symbol(symbol: Column) -> Column:
@@ -107,21 +107,23 @@ def trading_days(first: Column, last: Column, holidays: list[date] | None = None
     return F.array_except(days, F.array(*[F.lit(h) for h in holidays])) if holidays else days
 
 
-#: Rates by instrument kind: brokerage cap and rate, exchange rate, sale tax, stamp duty on purchases, fixed regulator rate, service tax.
+#: Rates by instrument kind: sale tax, exchange fee, regulator fee, stamp duty on purchases, brokerage per order. Fixed values.
 COSTS = {
-    "equity_futures": (20.0, 0.0003, 0.0000173, 0.0002, 0.00002, 0.000001, 0.18),
-    "currency_futures": (20.0, 0.0003, 0.0000035, 0.0, 0.000001, 0.000001, 0.18),
-    "equity_options": (20.0, 1.0, 0.0003503, 0.001, 0.00003, 0.000001, 0.18),
-    "currency_options": (20.0, 1.0, 0.000311, 0.0, 0.000001, 0.000001, 0.18),
+    "equity_futures": (0.0005, 0.0000173, 0.000001, 0.00002, 20.0),
+    "currency_futures": (0.0, 0.000009, 0.000001, 0.00001, 20.0),
+    "equity_options": (0.0005, 0.0000353, 0.000001, 0.00003, 20.0),
+    "currency_options": (0.0, 0.000009, 0.000001, 0.00001, 20.0),
 }
+#: Service tax on brokerage and fees. Fixed value.
+SERVICE_TAX = 0.18
 
 
 def transaction_cost(kind: Column, side: Column, value: Column) -> Column:
-    """Cost of one order: min(cap, rate) brokerage, exchange fee, tax on sales, stamp on purchases, service tax on fees."""
+    """Cost of one order: flat brokerage, exchange and regulator fees with service tax, tax on sales, stamp on purchases."""
     out = None
-    for name, (cap, rate, exchange, sale, stamp, regulator, service) in COSTS.items():
-        fees = F.least(F.lit(cap), value * rate) + value * exchange + value * regulator
-        cost = fees * (1 + service) + F.when(F.upper(side) == "SELL", value * sale).otherwise(0.0) + F.when(F.upper(side) == "BUY", value * stamp).otherwise(0.0)
+    for name, (sale, exchange, regulator, stamp, brokerage) in COSTS.items():
+        fees = brokerage + value * exchange + value * regulator
+        cost = fees * (1 + SERVICE_TAX) + F.when(F.upper(side) == "SELL", value * sale).otherwise(0.0) + F.when(F.upper(side) == "BUY", value * stamp).otherwise(0.0)
         out = F.when(kind == name, cost) if out is None else out.when(kind == name, cost)
     return out
 
@@ -181,36 +183,76 @@ def news_id(source: Column, headline: Column) -> Column:
     return F.substring(F.md5(F.concat(source, F.lit(":"), headline)), 1, 12)
 
 
-#: Ordered keyword rules of event types. Fixed values.
+#: Event types by the first list of which a word is in the text. Fixed values.
 EVENT_WORDS = (
-    ("EARNINGS", "result|earning|quarter"),
-    ("DIVIDEND", "dividend"),
-    ("BOARD", "board|meeting"),
-    ("SPLIT", "split|bonus"),
-    ("MERGER", "merger|acqui|amalgam"),
+    ("EARNINGS", ("RESULT", "EARNING", "FINANCIAL", "QUARTERLY", "Q1", "Q2", "Q3", "Q4")),
+    ("DIVIDEND", ("DIVIDEND", "INTERIM DIV", "FINAL DIV")),
+    ("BOARD_MEETING", ("BOARD MEETING", "BOARD MTG")),
+    ("AGM", ("AGM", "EGM", "ANNUAL GENERAL")),
+    ("BONUS_SPLIT", ("BONUS", "SPLIT", "SUBDIVISION")),
+    ("RIGHTS_ISSUE", ("RIGHTS", "RIGHT ISSUE")),
+    ("MERGER_ACQUIRE", ("MERGER", "AMALGAMATION", "ACQUISITION", "TAKEOVER")),
+)
+#: (event type, days ahead at most, action, widen factor, minutes of pause); the first that fits holds. Fixed values.
+EVENT_IMPACT = (
+    ("EARNINGS", 0, "PAUSE", 3.0, 120),
+    ("EARNINGS", 1, "WIDEN", 2.0, 0),
+    ("EARNINGS", 3, "WIDEN", 1.5, 0),
+    ("EARNINGS", 7, "WIDEN", 1.2, 0),
+    ("MERGER_ACQUIRE", 1, "AVOID", 5.0, 0),
+    ("MERGER_ACQUIRE", 7, "WIDEN", 2.5, 0),
+    ("BOARD_MEETING", 0, "WIDEN", 1.5, 0),
+    ("BOARD_MEETING", 2, "WIDEN", 1.2, 0),
+    ("BONUS_SPLIT", 1, "WIDEN", 1.3, 0),
+    ("DIVIDEND", 0, "WIDEN", 1.2, 0),
 )
 
 
 def event_type(text: Column) -> Column:
-    out = None
+    """The type of a corporate event from its description; OTHER if no list fits."""
+    upper, out = F.upper(F.coalesce(text, F.lit(""))), None
     for name, words in EVENT_WORDS:
-        hit = F.lower(text).rlike(words)
+        hit = upper.rlike("|".join(words))
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise("OTHER")
 
 
 def event_impact(kind: Column, days: Column) -> Column:
-    """Struct of action, widen factor and pause for an event so many days ahead."""
+    """Struct of action, widen factor and minutes of pause for an event so many days ahead (0 or more)."""
     made = lambda action, factor, pause: F.struct(F.lit(action).alias("action"), F.lit(factor).alias("factor"), F.lit(pause).alias("pause"))
-    return (
-        F.when((kind == "EARNINGS") & (days == 0), made("PAUSE", 3.0, True))
-        .when((kind == "EARNINGS") & (days == 1), made("WIDEN", 2.0, False))
-        .when((kind == "EARNINGS") & (days <= 3), made("WIDEN", 1.5, False))
-        .when((kind == "MERGER") & (days <= 1), made("PAUSE", 2.5, True))
-        .when(kind.isin("SPLIT", "BOARD") & (days <= 1), made("WIDEN", 1.5, False))
-        .when((kind == "DIVIDEND") & (days <= 1), made("WIDEN", 1.2, False))
-        .otherwise(made("NORMAL", 1.0, False))
-    )
+    out = None
+    for name, upto, action, factor, pause in EVENT_IMPACT:
+        fits = (kind == name) & (days <= upto)
+        out = F.when(fits, made(action, factor, pause)) if out is None else out.when(fits, made(action, factor, pause))
+    return out.otherwise(made("NORMAL", 1.0, 0))
+
+
+#: Bounds of the volatility index's regimes. Fixed values.
+VIX_REGIMES = [(12, "LOW"), (18, "NORMAL"), (25, "HIGH")]
+
+
+def currency_pressure(dxy_change: Column, crude_change: Column, vix: Column, foreign_net: Column, bank_divergence: Column) -> Column:
+    """Index of pressure on the currency: weighted dollar, oil, volatility, foreign flow and bank terms."""
+    return 0.30 * (dxy_change / 0.5) + 0.25 * (crude_change / 1.0) + 0.20 * (vix / 15 - 1) + 0.15 * (-foreign_net / 1000) + 0.10 * (-bank_divergence / 0.5)
+
+
+def pressure_regime(index: Column) -> Column:
+    return F.when(index > 0.5, "STRONG_PRESSURE").when(index > 0.2, "MILD_PRESSURE").when(index > -0.2, "NEUTRAL").when(index > -0.5, "MILD_SUPPORT").when(index.isNotNull(), "STRONG_SUPPORT")
+
+
+def quote_urgency(inventory: Column, time_left: Column, max_inventory: int) -> Column:
+    """1 + |q| / max_inventory * (1 - T)."""
+    return 1 + F.abs(inventory) / max(1, max_inventory) * (1 - time_left)
+
+
+def reservation_price(mid: Column, inventory: Column, gamma: Column, sigma: Column, time_left: Column, max_inventory: int) -> Column:
+    return mid - inventory * gamma * sigma * sigma * time_left * quote_urgency(inventory, time_left, max_inventory)
+
+
+def optimal_spread(mid: Column, gamma: Column, kappa: Column, sigma: Column, time_left: Column, least: float, most: float, least_share: float = 0.0005) -> Column:
+    """gamma s^2 T + 2 / gamma ln(1 + gamma / kappa), at most ``most`` and at least ``least`` and ``least_share`` of mid."""
+    spread = gamma * sigma * sigma * time_left + 2 / gamma * F.log(1 + gamma / kappa)
+    return F.greatest(F.lit(least), mid * least_share, F.least(spread, F.lit(most)))
 
 
 def regime(x: Column, bounds: list[tuple[float, str]], above: str) -> Column:

@@ -96,14 +96,16 @@ def smoothed_sigma(spark, d):
     return v.select("symbol", "bar_ts", r(F.when(F.col("n") <= 300, F.col("s")).otherwise(BAR.rolling("avg", "s", 300))).alias("sigma"))
 
 
-@query(T + HOURLY + """, d AS (SELECT *, close - lag(close) OVER o AS r1, close - lag(close, 5) OVER o AS r5 FROM b WINDOW o AS (PARTITION BY symbol ORDER BY bar_ts)),
-  v AS (SELECT symbol, bar_ts, count(r5) OVER w AS n, var_samp(r5) OVER w / nullif(5 * var_samp(r1) OVER w, 0) AS vr FROM d WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))
-  SELECT symbol, bar_ts, CASE WHEN n < 50 OR vr IS NULL THEN 'unknown' WHEN vr > 0.25 THEN 'trending' WHEN vr < 0.2 THEN 'reverting' ELSE 'random' END AS regime FROM v""")
+@query(T + HOURLY + """, d AS (SELECT *, row_number() OVER o AS i, close / lag(close) OVER o - 1 AS r1, close / lag(close, 10) OVER o - 1 AS r10 FROM b WINDOW o AS (PARTITION BY symbol ORDER BY bar_ts)),
+  v AS (SELECT symbol, bar_ts, i, var_samp(r10) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 290 PRECEDING AND 1 PRECEDING) / nullif(10 * var_samp(r1) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 299 PRECEDING AND 1 PRECEDING), 0) AS vr FROM d)
+  SELECT symbol, bar_ts, CASE WHEN i <= 300 THEN 'CHOPPY' WHEN vr < 0.85 THEN 'MEAN_REVERTING' WHEN vr > 1.15 THEN 'TRENDING' ELSE 'CHOPPY' END AS regime FROM v""")
 def variance_regime(spark, d):
-    v = hourly(spark, d).withColumns({"r1": BAR.diff("close"), "r5": BAR.diff("close", 5)})
-    w = BAR.rows(100, 1)
-    v = v.withColumns({"n": F.count("r5").over(w), "vr": F.var_samp("r5").over(w) / F.nullif(5 * F.var_samp("r1").over(w), F.lit(0.0))})
-    name = F.when((F.col("n") < 50) | F.col("vr").isNull(), "unknown").when(F.col("vr") > 0.25, "trending").when(F.col("vr") < 0.2, "reverting").otherwise("random")
+    """By the ratio of ten-bar to one-bar return variance inside the 300 bars before."""
+    before = lambda k: F.col("close") / F.lag("close", k).over(BAR.w) - 1
+    v = hourly(spark, d).withColumns({"i": F.row_number().over(BAR.w), "r1": before(1), "r10": before(10)})
+    vr = F.var_samp("r10").over(BAR.rows(290, 1)) / F.nullif(10 * F.var_samp("r1").over(BAR.rows(299, 1)), F.lit(0.0))
+    v = v.withColumn("vr", vr)
+    name = F.when(F.col("i") <= 300, "CHOPPY").when(F.col("vr") < 0.85, "MEAN_REVERTING").when(F.col("vr") > 1.15, "TRENDING").otherwise("CHOPPY")
     return v.select("symbol", "bar_ts", name.alias("regime"))
 
 
@@ -176,13 +178,13 @@ def spread_half_life(spark, d):
 
 
 @query("""WITH q AS (SELECT p_partkey, 0.05 + p_size * 0.01 AS g, 1.0 + p_partkey % 5 AS k, 0.1 + p_size * 0.02 AS s, CAST(p_partkey % 11 AS DOUBLE) - 5 AS i, (p_partkey % 100) / 100 AS left_t, p_retailprice AS m FROM part)
-  SELECT p_partkey, round(m - i * g * s * s * left_t, 7) AS reservation, round(g * s * s * left_t + 2 / g * ln(1 + g / k), 7) AS optimal_spread, round(1 / g * ln(1 + g / k) + (2 * i + 1) / 2 * sqrt(s * s * g / (2 * k) * power(1 + g / k, 1 + k / g)), 6) AS asymptotic_bid FROM q""")
+  SELECT p_partkey, round(m - i * g * s * s * left_t * (1 + abs(i) / 5 * (1 - left_t)), 7) AS reservation, round(greatest(0.1, m * 0.0005, least(g * s * s * left_t + 2 / g * ln(1 + g / k), 1.5)), 7) AS optimal_spread, round(1 / g * ln(1 + g / k) + (2 * i + 1) / 2 * sqrt(s * s * g / (2 * k) * power(1 + g / k, 1 + k / g)), 6) AS asymptotic_bid FROM q""")
 def quote_formulas(spark, d):
     p, z = F.col("p_partkey"), F.col("p_size")
     q = driver_table(spark, d, "part").select("p_partkey", (0.05 + z * 0.01).alias("g"), (1.0 + p % 5).alias("k"), (0.1 + z * 0.02).alias("s"), ((p % 11).cast("double") - 5).alias("i"), (p % 100 / 100).alias("left_t"), F.col("p_retailprice").alias("m"))
     g, k, s, i, t = (F.col(c) for c in ("g", "k", "s", "i", "left_t"))
     base = F.log(1 + g / k)
-    return q.select("p_partkey", r(F.col("m") - i * g * s * s * t, 7).alias("reservation"), r(g * s * s * t + 2 / g * base, 7).alias("optimal_spread"), r(1 / g * base + (2 * i + 1) / 2 * F.sqrt(s * s * g / (2 * k) * F.pow(1 + g / k, 1 + k / g))).alias("asymptotic_bid"))
+    return q.select("p_partkey", r(scalar.reservation_price(F.col("m"), i, g, s, t, 5), 7).alias("reservation"), r(scalar.optimal_spread(F.col("m"), g, k, s, t, 0.1, 1.5), 7).alias("optimal_spread"), r(1 / g * base + (2 * i + 1) / 2 * F.sqrt(s * s * g / (2 * k) * F.pow(1 + g / k, 1 + k / g))).alias("asymptotic_bid"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_acctbal AS bal, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal / 100 END AS ratio, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS growth FROM customer)

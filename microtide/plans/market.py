@@ -441,9 +441,9 @@ def theil_sen(spark, d):
 
 def _cost_sql() -> str:
     cases = []
-    for kind, (cap, rate, ex, sale, stamp, reg, tax) in scalar.COSTS.items():
-        fees = f"(least({cap}, v * {rate!r}) + v * {ex!r} + v * {reg:.8f})"
-        cases.append(f"WHEN kind = '{kind}' THEN {fees} * (1 + {tax}) + CASE WHEN side = 'SELL' THEN v * {sale!r} ELSE 0.0 END + CASE WHEN side = 'BUY' THEN v * {stamp:.8f} ELSE 0.0 END")
+    for kind, (sale, ex, reg, stamp, flat) in scalar.COSTS.items():
+        fees = f"({flat} + v * {ex:.8f} + v * {reg:.8f})"
+        cases.append(f"WHEN kind = '{kind}' THEN {fees} * (1 + {scalar.SERVICE_TAX}) + CASE WHEN side = 'SELL' THEN v * {sale!r} ELSE 0.0 END + CASE WHEN side = 'BUY' THEN v * {stamp:.8f} ELSE 0.0 END")
     return FILLS + ", c AS (SELECT side, qty * price AS v, CASE l_linenumber % 4 WHEN 0 THEN 'equity_futures' WHEN 1 THEN 'currency_futures' WHEN 2 THEN 'equity_options' ELSE 'currency_options' END AS kind FROM f) SELECT kind, side, count(*) AS n, round(CAST(sum(CASE " + " ".join(cases) + " END) AS DOUBLE), 2) AS cost FROM c GROUP BY 1, 2"
 
 

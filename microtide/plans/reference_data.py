@@ -13,7 +13,7 @@ from microtide.sources.tables import driver_table
 
 
 @query(T + """ SELECT event_id, ts_sec, CAST((ts_sec + 19800) % 86400 AS BIGINT) AS ist_sec, (ts_sec + 19800) % 86400 BETWEEN 33300 AND 55800 AS in_session,
-  CASE WHEN (ts_sec + 19800) % 86400 < 36000 THEN 'open' WHEN (ts_sec + 19800) % 86400 < 50400 THEN 'midday' ELSE 'close' END AS label,
+  CASE WHEN (ts_sec + 19800) % 86400 < 35100 THEN 'open' WHEN (ts_sec + 19800) % 86400 < 52200 THEN 'midday' ELSE 'close' END AS label,
   lpad(CAST((ts_sec + 19800) % 86400 // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST((ts_sec + 19800) % 3600 // 60 AS VARCHAR), 2, '0') AS hhmm FROM t""")
 def session_filter(spark, d):
     c = F.col("ts_sec")
@@ -71,19 +71,21 @@ def symbol_parse(spark, d):
     return p.withColumn("o", scalar.option_parts(F.col("symbol"))).select("p_partkey", "symbol", "o.*", scalar.base_symbol(F.col("symbol")).alias("base"), scalar.instrument_class(F.col("symbol")).alias("kind"))
 
 
-NEWS = ("Quarterly results due", "Interim dividend", "Board meeting", "Stock split 1:5", "Merger approved", "Annual general meeting", "Plant visit")
-NEWS_SQL = "SELECT o_orderkey, ['" + "', '".join(NEWS) + "'][1 + o_orderkey % 7] AS headline, CAST(o_orderkey % 5 AS INT) AS days FROM orders"
+NEWS = ("Quarterly results due", "Interim dividend", "Board meeting", "Stock split 1:5", "Merger approved", "Annual general meeting", "Plant visit", "Rights issue of shares", "Q3 call")
+NEWS_SQL = "SELECT o_orderkey, ['" + "', '".join(NEWS) + "'][1 + o_orderkey % 9] AS headline, CAST(o_orderkey % 10 AS INT) AS days FROM orders"
 
 
-@query(f"""WITH n AS ({NEWS_SQL}), e AS (SELECT *, CASE WHEN regexp_matches(lower(headline), 'result|earning|quarter') THEN 'EARNINGS' WHEN regexp_matches(lower(headline), 'dividend') THEN 'DIVIDEND' WHEN regexp_matches(lower(headline), 'board|meeting') THEN 'BOARD'
-    WHEN regexp_matches(lower(headline), 'split|bonus') THEN 'SPLIT' WHEN regexp_matches(lower(headline), 'merger|acqui|amalgam') THEN 'MERGER' ELSE 'OTHER' END AS kind FROM n)
-  SELECT o_orderkey, kind, CASE WHEN kind = 'EARNINGS' AND days = 0 THEN 'PAUSE' WHEN kind = 'EARNINGS' AND days <= 3 THEN 'WIDEN' WHEN kind = 'MERGER' AND days <= 1 THEN 'PAUSE' WHEN kind IN ('SPLIT', 'BOARD', 'DIVIDEND') AND days <= 1 THEN 'WIDEN' ELSE 'NORMAL' END AS action,
-    CASE WHEN kind = 'EARNINGS' AND days = 0 THEN 3.0 WHEN kind = 'EARNINGS' AND days = 1 THEN 2.0 WHEN kind = 'EARNINGS' AND days <= 3 THEN 1.5 WHEN kind = 'MERGER' AND days <= 1 THEN 2.5 WHEN kind IN ('SPLIT', 'BOARD') AND days <= 1 THEN 1.5 WHEN kind = 'DIVIDEND' AND days <= 1 THEN 1.2 ELSE 1.0 END::DOUBLE AS factor,
-    substr(md5('wire:' || headline), 1, 12) AS id FROM e""")
+@query(f"""WITH n AS ({NEWS_SQL}), u AS (SELECT *, upper(headline) AS h FROM n),
+  e AS (SELECT *, CASE WHEN regexp_matches(h, 'RESULT|EARNING|FINANCIAL|QUARTERLY|Q1|Q2|Q3|Q4') THEN 'EARNINGS' WHEN regexp_matches(h, 'DIVIDEND|INTERIM DIV|FINAL DIV') THEN 'DIVIDEND' WHEN regexp_matches(h, 'BOARD MEETING|BOARD MTG') THEN 'BOARD_MEETING' WHEN regexp_matches(h, 'AGM|EGM|ANNUAL GENERAL') THEN 'AGM'
+    WHEN regexp_matches(h, 'BONUS|SPLIT|SUBDIVISION') THEN 'BONUS_SPLIT' WHEN regexp_matches(h, 'RIGHTS|RIGHT ISSUE') THEN 'RIGHTS_ISSUE' WHEN regexp_matches(h, 'MERGER|AMALGAMATION|ACQUISITION|TAKEOVER') THEN 'MERGER_ACQUIRE' ELSE 'OTHER' END AS kind FROM u),
+  v(k, upto, action, factor, pause) AS (VALUES ('EARNINGS', 0, 'PAUSE', 3.0, 120), ('EARNINGS', 1, 'WIDEN', 2.0, 0), ('EARNINGS', 3, 'WIDEN', 1.5, 0), ('EARNINGS', 7, 'WIDEN', 1.2, 0), ('MERGER_ACQUIRE', 1, 'AVOID', 5.0, 0), ('MERGER_ACQUIRE', 7, 'WIDEN', 2.5, 0),
+    ('BOARD_MEETING', 0, 'WIDEN', 1.5, 0), ('BOARD_MEETING', 2, 'WIDEN', 1.2, 0), ('BONUS_SPLIT', 1, 'WIDEN', 1.3, 0), ('DIVIDEND', 0, 'WIDEN', 1.2, 0)),
+  m AS (SELECT o_orderkey, arg_min(action, upto) AS action, arg_min(factor, upto) AS factor, arg_min(pause, upto) AS pause FROM e JOIN v ON k = kind AND days <= upto GROUP BY 1)
+  SELECT o_orderkey, kind, coalesce(action, 'NORMAL') AS action, CAST(coalesce(factor, 1.0) AS DOUBLE) AS factor, CAST(coalesce(pause, 0) AS INT) AS pause, substr(md5('wire:' || headline), 1, 12) AS id FROM e LEFT JOIN m USING (o_orderkey)""")
 def event_impact(spark, d):
-    n = driver_table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, NEWS)), (1 + F.col("o_orderkey") % 7).cast("int")).alias("headline"), (F.col("o_orderkey") % 5).cast("int").alias("days"))
+    n = driver_table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, NEWS)), (1 + F.col("o_orderkey") % 9).cast("int")).alias("headline"), (F.col("o_orderkey") % 10).cast("int").alias("days"))
     n = n.withColumn("kind", scalar.event_type(F.col("headline"))).withColumn("i", scalar.event_impact(F.col("kind"), F.col("days")))
-    return n.select("o_orderkey", "kind", "i.action", "i.factor", scalar.news_id(F.lit("wire"), F.col("headline")).alias("id"))
+    return n.select("o_orderkey", "kind", "i.action", "i.factor", "i.pause", scalar.news_id(F.lit("wire"), F.col("headline")).alias("id"))
 
 
 @query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderkey % 4 AS priority, 1 + (o_orderkey % 3) * 0.25 AS factor, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS why FROM orders)
@@ -94,12 +96,21 @@ def signal_aggregate(spark, d):
     return s.groupBy("o_custkey").agg(F.max("priority").alias("priority"), r(F.least(F.exp(F.sum(F.log("factor"))), F.lit(4.0)), 8).alias("factor"), F.min("day").alias("first_day"), F.array_join(F.array_sort(F.collect_set("why")), ";").alias("reasons"))
 
 
-@query(T + """, m AS (SELECT day, avg(price) AS v FROM t GROUP BY 1) SELECT day, round(v, 6) AS level, CASE WHEN v < 15 THEN 'LOW' WHEN v < 20 THEN 'NORMAL' WHEN v < 25 THEN 'ELEVATED' ELSE 'HIGH' END AS regime,
+@query(T + """, m AS (SELECT day, avg(price) AS v FROM t GROUP BY 1) SELECT day, round(v, 6) AS level, CASE WHEN v < 12 THEN 'LOW' WHEN v < 18 THEN 'NORMAL' WHEN v < 25 THEN 'HIGH' ELSE 'EXTREME' END AS regime,
   round((v - avg(v) OVER (ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)), 6) AS change FROM m""")
 def macro_regime(spark, d):
     m = ticks(spark, d).groupBy("day").agg(F.avg("price").alias("v"))
     past = F.avg("v").over(Window.orderBy("day").rowsBetween(-5, -1))  # one row per calendar day
-    return m.select("day", r("v").alias("level"), scalar.regime(F.col("v"), [(15, "LOW"), (20, "NORMAL"), (25, "ELEVATED")], "HIGH").alias("regime"), r(F.col("v") - past).alias("change"))
+    return m.select("day", r("v").alias("level"), scalar.regime(F.col("v"), scalar.VIX_REGIMES, "EXTREME").alias("regime"), r(F.col("v") - past).alias("change"))
+
+
+@query("""WITH m AS (SELECT p_partkey, (p_partkey % 9 - 4) / 8 AS dxy, (p_size - 25) / 20 AS crude, 10 + p_size / 2 AS vix, (p_partkey % 41 - 20) * 100 AS net, (p_partkey % 5 - 2) / 4 AS bank FROM part),
+  i AS (SELECT p_partkey, 0.30 * (dxy / 0.5) + 0.25 * (crude / 1.0) + 0.20 * (vix / 15 - 1) + 0.15 * (-net / 1000) + 0.10 * (-bank / 0.5) AS x FROM m)
+  SELECT p_partkey, round(CAST(x AS DOUBLE), 4) + 0.0 AS pressure, CASE WHEN x > 0.5 THEN 'STRONG_PRESSURE' WHEN x > 0.2 THEN 'MILD_PRESSURE' WHEN x > -0.2 THEN 'NEUTRAL' WHEN x > -0.5 THEN 'MILD_SUPPORT' ELSE 'STRONG_SUPPORT' END AS regime FROM i""")
+def currency_pressure(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    m = driver_table(spark, d, "part").select("p_partkey", scalar.currency_pressure((k % 9 - 4) / 8, (z - 25) / 20, 10 + z / 2, (k % 41 - 20) * 100, (k % 5 - 2) / 4).alias("x"))
+    return m.select("p_partkey", (r(F.col("x"), 4) + 0.0).alias("pressure"), scalar.pressure_regime(F.col("x")).alias("regime"))
 
 
 @query(T + HOURLY + """ SELECT symbol, count(*) AS bars, count(*) >= 300 AND stddev_samp(close) > 0 AS accepted FROM b GROUP BY 1""")

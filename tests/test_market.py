@@ -101,6 +101,29 @@ def test_costs_take_either_case(spark):
     assert got[0].c == got[1].c > got[2].c > 0
 
 
+def test_fixed_values(spark):
+    """Against written-out results, not against the library's own tables."""
+    cost = lambda kind, side: spark.createDataFrame([(kind, side, 1e6)], "k string, s string, v double").select(scalar.transaction_cost(F.col("k"), F.col("s"), F.col("v")).alias("c")).first().c
+    assert cost("equity_futures", "SELL") == pytest.approx((20 + 17.3 + 1) * 1.18 + 500)
+    assert cost("equity_options", "BUY") == pytest.approx((20 + 35.3 + 1) * 1.18 + 30)
+    assert cost("currency_options", "SELL") == pytest.approx((20 + 9 + 1) * 1.18)
+    cases = [
+        ("Q3 financial results", 0, "EARNINGS", "PAUSE", 3.0, 120), ("earnings", 7, "EARNINGS", "WIDEN", 1.2, 0), ("earnings", 8, "EARNINGS", "NORMAL", 1.0, 0), ("acquisition of X", 1, "MERGER_ACQUIRE", "AVOID", 5.0, 0),
+        ("Takeover", 5, "MERGER_ACQUIRE", "WIDEN", 2.5, 0), ("board mtg", 2, "BOARD_MEETING", "WIDEN", 1.2, 0), ("EGM", 0, "AGM", "NORMAL", 1.0, 0), ("Bonus 1:1", 1, "BONUS_SPLIT", "WIDEN", 1.3, 0), ("rights", 0, "RIGHTS_ISSUE", "NORMAL", 1.0, 0), ("dividend", 0, "DIVIDEND", "WIDEN", 1.2, 0), (None, 0, "OTHER", "NORMAL", 1.0, 0),
+    ]
+    rows = spark.createDataFrame([(t, d) for t, d, *_ in cases], "t string, d int").withColumn("k", scalar.event_type(F.col("t"))).withColumn("i", scalar.event_impact(F.col("k"), F.col("d"))).collect()
+    assert [(x.k, x.i.action, x.i.factor, x.i.pause) for x in rows] == [tuple(c[2:]) for c in cases]
+    vix = spark.createDataFrame([(11.9,), (12.0,), (18.0,), (25.0,)], "v double").select(scalar.regime(F.col("v"), scalar.VIX_REGIMES, "EXTREME").alias("r")).collect()
+    assert [x.r for x in vix] == ["LOW", "NORMAL", "HIGH", "EXTREME"]
+    q = spark.createDataFrame([(9000.0, 50, 0.1, 2.0, 1.5, 0.25)], "m double, i int, g double, k double, s double, t double")
+    got = q.select(scalar.reservation_price(F.col("m"), F.col("i"), F.col("g"), F.col("s"), F.col("t"), 100).alias("p"), scalar.optimal_spread(F.col("m"), F.col("g"), F.col("k"), F.col("s"), F.col("t"), 0.1, 50.0).alias("w")).first()
+    assert got.p == pytest.approx(9000 - 50 * 0.1 * 2.25 * 0.25 * 1.375) and got.w == pytest.approx(4.5)
+    one = spark.createDataFrame([(1.0, 0.4, 18.0, -500.0, 0.1)], "a double, b double, c double, e double, f double").select(scalar.currency_pressure(*[F.col(c) for c in "abcef"]).alias("x"))
+    assert one.first().x == pytest.approx(0.6 + 0.1 + 0.04 + 0.075 - 0.02) and one.select(scalar.pressure_regime(F.col("x")).alias("r")).first().r == "STRONG_PRESSURE"
+    at = lambda s: spark.range(1).select(scalar.session_label(F.lit(s - 19800 + 86400)).alias("l")).first().l
+    assert [at(s) for s in (35099, 35100, 52199, 52200)] == ["open", "midday", "midday", "close"]
+
+
 def test_positions_flip_and_gate():
     f = pd.DataFrame({"side": ["buy", "BUY", "sell", "buy"], "qty": [10, 10, 30, 10], "price": [100.0, 110.0, 120.0, 100.0]})
     assert simulate.positions(f) == [(4, 0.0, 0.0, 20 * 15.0 + 10 * 20.0)]

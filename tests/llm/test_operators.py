@@ -548,3 +548,22 @@ def test_html_template_is_a_nest_of_equivalence_classes(spark):
     got = html_extract.deduce(pages).collect()
     assert [r.slot for r in got] == ["html/body/div.body"]
     assert html_extract._key("text", "html/body/div.cookie-notice\0We use cookies") in got[0].template
+
+
+def test_html_on_the_test_pages(spark):
+    """Every page's text is that of its article, cut out by a plain expression."""
+    import html
+
+    def article(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        cut = re.sub(r"<(/?)(h1|p|br)[^>]*>", lambda t: " " if t[2] == "br" else "\0", inner)
+        return "\n".join(filter(None, (" ".join(html.unescape(x).split()) for x in re.sub(r"<[^>]*>", "", cut).split("\0"))))
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: article(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == want
+    slots = html_extract.deduce(pages.select(html_extract.host_of(F.col("url")).alias("host"), F.xxhash64("page_id").alias("row"), "html")).collect()
+    assert {r.slot.rsplit("/", 1)[-1] for r in slots} == {"article"} and len(slots) == pages.select(html_extract.host_of(F.col("url"))).distinct().count()
+    # Without the element's name and without class names, the slot is found by the text it holds.
+    plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div>"), "</article>", "</div>"))
+    assert sum(r.text == want[r.page_id] for r in html_extract.extract(plain).collect()) >= 0.9 * len(want)

@@ -78,9 +78,13 @@ def longest_gap(present: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     return gaps.groupBy(*keys).agg(F.coalesce(F.sum("gap"), F.lit(0)).alias("missing"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"), F.count(F.when(F.col("gap") > 0, 1)).alias("gaps"))
 
 
-def run_lengths(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
-    """Number of runs of ``flag`` per key with their longest and median length."""
-    return islands(df, keys, order, flag).groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), F.max("run_length").alias("longest_run"), F.percentile("run_length", 0.5).alias("median_run"))
+def run_lengths(df: DataFrame, s: Series, by: list[str], flag: str) -> DataFrame:
+    """Number of closed runs of ``flag`` by ``by`` with their longest, median and upper-quartile length.
+
+    Runs end with their session; the one still open at a session's end isn't counted.
+    """
+    closed = islands(df, s, flag).where("not run_open")
+    return closed.groupBy(*by).agg(F.count(F.lit(1)).alias("runs"), F.max("run_length").alias("longest_run"), F.percentile("run_length", 0.5).alias("median_run"), F.percentile("run_length", 0.75).alias("p75_run"))
 
 
 def dollar_bars(ticks: DataFrame, keys: list[str], order: list[str], price: str, qty: str, threshold: float) -> DataFrame:

@@ -78,10 +78,11 @@ class Series:
         return F.when(F.col(x).isNotNull(), (less + (same + 1) / 2) / F.size(seen))
 
     def corr(self, x: str | Column, y: str | Column, n: int, min_periods: int) -> Column:
+        """Pearson correlation over n rows; null below min_periods pairs or without spread."""
         x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-        w = self.rows(n)
-        both = F.count(F.when(x.isNotNull() & y.isNotNull(), 1)).over(w)
-        return F.when(both >= min_periods, F.corr(x, y).over(w))
+        w, pair = self.rows(n), x.isNotNull() & y.isNotNull()
+        spread = F.stddev_pop(F.when(pair, x)).over(w) * F.stddev_pop(F.when(pair, y)).over(w)
+        return F.when((F.count(F.when(pair, 1)).over(w) >= min_periods) & (spread > 1e-12), F.covar_pop(x, y).over(w) / F.nullif(spread, F.lit(0.0)))
 
 
 def robust_z(df: DataFrame, s: Series, x: str, n: int, out: str = "robust_z") -> DataFrame:
@@ -94,12 +95,11 @@ def robust_z(df: DataFrame, s: Series, x: str, n: int, out: str = "robust_z") ->
     return df.withColumn(out, (F.col(x) - F.col("__med")) / F.nullif(1.4826 * F.col("__mad"), F.lit(0.0))).drop("__seen", "__med", "__mad")
 
 
-def islands(df: DataFrame, keys: list[str], order: str, flag: str) -> DataFrame:
-    """(keys, run_start, run_length) of the runs of rows where ``flag`` holds."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    numbered = df.withColumn("__r", F.row_number().over(w)).where(flag)
-    run = F.col("__r") - F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return numbered.withColumn("__run", run).groupBy(*keys, "__run").agg(F.min(order).alias("run_start"), F.count(F.lit(1)).alias("run_length")).drop("__run")
+def islands(df: DataFrame, s: Series, flag: str) -> DataFrame:
+    """(keys, run_start, run_length, run_open) of the runs of rows where ``flag`` holds; open ones reach their session's last row."""
+    numbered = df.withColumns({"__r": F.row_number().over(s.w), "__last": F.count(F.lit(1)).over(Window.partitionBy(*s.keys))}).where(flag)
+    runs = numbered.withColumn("__run", F.col("__r") - F.row_number().over(s.w)).groupBy(*s.keys, "__run")
+    return runs.agg(F.min(s.order[0]).alias("run_start"), F.count(F.lit(1)).alias("run_length"), (F.max("__r") == F.max("__last")).alias("run_open")).drop("__run")
 
 
 def propagate(df: DataFrame, s: Series, ts: str, event: str, values: list[str], age: int) -> DataFrame:
@@ -154,3 +154,25 @@ def frac_diff(s: Series, x: str, weights: list[float]) -> Column:
     taps = F.array(*[F.lit(float(w)) for w in weights[::-1]])
     dot = F.aggregate(F.zip_with(seen, taps, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
     return F.when(F.size(seen) == len(weights), dot)
+
+
+def warm_mean(s: Series, x: str, n: int = 300) -> Column:
+    """The value itself in a session's first n rows, its rolling mean over n rows after them."""
+    return F.when(F.row_number().over(s.w) <= n, F.col(x)).otherwise(s.rolling("avg", x, n))
+
+
+def variance_regime(df: DataFrame, s: Series, x: str, n: int = 300, lag: int = 10) -> DataFrame:
+    """``regime`` by the ratio of lag-row to one-row return variance inside the n rows before the current one."""
+    ret = lambda k: F.col(x) / F.nullif(s.lag(x, k), F.lit(0.0)) - 1
+    df = df.withColumns({"__i": F.row_number().over(s.w), "__r1": ret(1), "__rk": ret(lag)})
+    vr = F.var_samp("__rk").over(s.rows(n - lag, 1)) / F.nullif(lag * F.var_samp("__r1").over(s.rows(n - 1, 1)), F.lit(0.0))
+    df = df.withColumn("__vr", vr)
+    name = F.when(F.col("__i") <= n, "CHOPPY").when(F.col("__vr") < 0.85, "MEAN_REVERTING").when(F.col("__vr") > 1.15, "TRENDING").otherwise("CHOPPY")
+    return df.withColumn("regime", name).drop("__i", "__r1", "__rk", "__vr")
+
+
+def slope(s: Series, x: str, y: str, n: int, min_periods: int) -> Column:
+    """Slope of y on x over the pairs of the last n rows; null below min_periods pairs or without spread of x."""
+    w, pair = s.rows(n), F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.var_pop(F.when(pair, F.col(x))).over(w)
+    return F.when((F.count(F.when(pair, 1)).over(w) >= min_periods) & (spread > 1e-12), F.covar_pop(x, y).over(w) / F.nullif(spread, F.lit(0.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from microtide.functions import scalar
-from microtide.operators import evaluate, joins
+from microtide.operators import evaluate, joins, windows
 from microtide.plans.market import BAR, HOURLY, IC, RET, T, TICK, W, _returns, _signals, hourly, r, ticks
 from microtide.plans.reference_data import BOOK, book
 from microtide.plans.registry import query
@@ -82,40 +82,34 @@ def replenishment_pressure(spark, d):
     return m.select("event_id", r(F.log1p(add("bid", "b0", "bq", "q0")) - F.log1p(add("ask", "a0", "aq", "r0")), 8).alias("replenishment_pressure"))
 
 
-@query(RET + f", v AS (SELECT event_id, sqrt(sum(ret * ret) OVER (PARTITION BY symbol ORDER BY ts_us, event_id ROWS 59 PRECEDING)) AS a, sqrt(sum(ret * ret) OVER (PARTITION BY symbol ORDER BY ts_us, event_id ROWS 299 PRECEDING)) AS b FROM q) SELECT event_id, round(ln(1 + b), 7) AS log_rv_300, round(a / (b + 1e-12), 7) AS rv_ratio_60_300 FROM v WHERE b IS NOT NULL")
+@query(RET + f", v AS (SELECT event_id, sqrt(sum(ret * ret) OVER (PARTITION BY symbol, day ORDER BY ts_us, event_id ROWS 59 PRECEDING)) AS a, sqrt(sum(ret * ret) OVER (PARTITION BY symbol, day ORDER BY ts_us, event_id ROWS 299 PRECEDING)) AS b FROM q) SELECT event_id, round(ln(1 + b), 7) AS log_rv_300, round(a / (b + 1e-12), 7) AS rv_ratio_60_300 FROM v WHERE b IS NOT NULL")
 def realized_vol_ratio(spark, d):
     sq = F.col("ret") * F.col("ret")
     t = _returns(spark, d).withColumns({"a": F.sqrt(TICK.rolling("sum", sq, 60)), "b": F.sqrt(TICK.rolling("sum", sq, 300))}).where("b is not null")
     return t.select("event_id", r(F.log1p("b"), 7).alias("log_rv_300"), r(F.col("a") / (F.col("b") + 1e-12), 7).alias("rv_ratio_60_300"))
 
 
-@query(T + HOURLY + """, v AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) AS n, stddev_samp(close) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS 9 PRECEDING) AS s FROM b)
-  SELECT symbol, bar_ts, round(CASE WHEN n <= 300 THEN s ELSE avg(s) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS 299 PRECEDING) END, 6) AS sigma FROM v""")
+@query(T + f""", v AS (SELECT *, row_number() OVER ({W}) AS n, stddev_samp(price) OVER ({W} ROWS 9 PRECEDING) AS s FROM t)
+  SELECT event_id, round(CASE WHEN n <= 30 THEN s ELSE avg(s) OVER ({W} ROWS 29 PRECEDING) END, 6) AS sigma FROM v""")
 def smoothed_sigma(spark, d):
-    v = hourly(spark, d).withColumns({"n": F.row_number().over(BAR.w), "s": BAR.rolling("stddev_samp", "close", 10)})
-    return v.select("symbol", "bar_ts", r(F.when(F.col("n") <= 300, F.col("s")).otherwise(BAR.rolling("avg", "s", 300))).alias("sigma"))
+    v = ticks(spark, d).withColumn("s", TICK.rolling("stddev_samp", "price", 10))
+    return v.select("event_id", r(windows.warm_mean(TICK, "s", 30)).alias("sigma"))
 
 
-@query(T + HOURLY + """, d AS (SELECT *, row_number() OVER o AS i, close / lag(close) OVER o - 1 AS r1, close / lag(close, 10) OVER o - 1 AS r10 FROM b WINDOW o AS (PARTITION BY symbol ORDER BY bar_ts)),
-  v AS (SELECT symbol, bar_ts, i, var_samp(r10) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 290 PRECEDING AND 1 PRECEDING) / nullif(10 * var_samp(r1) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 299 PRECEDING AND 1 PRECEDING), 0) AS vr FROM d)
-  SELECT symbol, bar_ts, CASE WHEN i <= 300 THEN 'CHOPPY' WHEN vr < 0.85 THEN 'MEAN_REVERTING' WHEN vr > 1.15 THEN 'TRENDING' ELSE 'CHOPPY' END AS regime FROM v""")
+@query(T + f""", p AS (SELECT * FROM t WHERE price > 0), d AS (SELECT *, row_number() OVER o AS i, price / lag(price) OVER o - 1 AS r1, price / lag(price, 10) OVER o - 1 AS r10 FROM p WINDOW o AS ({W})),
+  v AS (SELECT event_id, i, var_samp(r10) OVER ({W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) / nullif(10 * var_samp(r1) OVER ({W} ROWS BETWEEN 39 PRECEDING AND 1 PRECEDING), 0) AS vr FROM d)
+  SELECT event_id, CASE WHEN i <= 40 THEN 'CHOPPY' WHEN vr < 0.85 THEN 'MEAN_REVERTING' WHEN vr > 1.15 THEN 'TRENDING' ELSE 'CHOPPY' END AS regime FROM v""")
 def variance_regime(spark, d):
-    """By the ratio of ten-bar to one-bar return variance inside the 300 bars before."""
-    before = lambda k: F.col("close") / F.lag("close", k).over(BAR.w) - 1
-    v = hourly(spark, d).withColumns({"i": F.row_number().over(BAR.w), "r1": before(1), "r10": before(10)})
-    vr = F.var_samp("r10").over(BAR.rows(290, 1)) / F.nullif(10 * F.var_samp("r1").over(BAR.rows(299, 1)), F.lit(0.0))
-    v = v.withColumn("vr", vr)
-    name = F.when(F.col("i") <= 300, "CHOPPY").when(F.col("vr") < 0.85, "MEAN_REVERTING").when(F.col("vr") > 1.15, "TRENDING").otherwise("CHOPPY")
-    return v.select("symbol", "bar_ts", name.alias("regime"))
+    return windows.variance_regime(ticks(spark, d).where("price > 0"), TICK, "price", 40).select("event_id", "regime")
 
 
-@query(T + HOURLY + """, f AS (SELECT symbol, bar_ts, lead(close, 6) OVER (PARTITION BY symbol ORDER BY bar_ts) / close - 1 AS fwd FROM b) SELECT symbol, bar_ts, CASE WHEN fwd > 0.1 THEN 1 WHEN fwd < -0.1 THEN -1 ELSE 0 END AS label FROM f""")
+@query(T + HOURLY + """, f AS (SELECT symbol, bar_ts, lead(close, 6) OVER (PARTITION BY symbol, day ORDER BY bar_ts) / close - 1 AS fwd FROM b) SELECT symbol, bar_ts, CASE WHEN fwd > 0.1 THEN 1 WHEN fwd < -0.1 THEN -1 ELSE 0 END AS label FROM f""")
 def three_class_label(spark, d):
     fwd = BAR.lead("close", 6) / F.col("close") - 1
     return hourly(spark, d).select("symbol", "bar_ts", F.when(fwd > 0.1, 1).when(fwd < -0.1, -1).otherwise(0).alias("label"))
 
 
-@query(T + HOURLY + """, d AS (SELECT symbol, bar_ts, close - lag(close) OVER (PARTITION BY symbol ORDER BY bar_ts) AS ret FROM b), f AS (SELECT symbol, bar_ts, sum(ret * ret) OVER (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS fv, lead(bar_ts, 6) OVER (PARTITION BY symbol ORDER BY bar_ts) AS e FROM d)
+@query(T + HOURLY + """, d AS (SELECT symbol, day, bar_ts, close - lag(close) OVER (PARTITION BY symbol, day ORDER BY bar_ts) AS ret FROM b), f AS (SELECT symbol, bar_ts, sum(ret * ret) OVER (PARTITION BY symbol, day ORDER BY bar_ts ROWS BETWEEN 1 FOLLOWING AND 6 FOLLOWING) AS fv, lead(bar_ts, 6) OVER (PARTITION BY symbol, day ORDER BY bar_ts) AS e FROM d)
   SELECT symbol, bar_ts, CASE WHEN e - bar_ts = 21600 THEN round(fv, 6) END AS forward_variance FROM f""")
 def forward_variance(spark, d):
     t = hourly(spark, d).withColumn("ret", BAR.diff("close"))
@@ -168,23 +162,23 @@ def impact_through_origin(spark, d):
     return m.select("symbol", r(fit, 9).alias("lambda"), r(F.greatest(F.lit(0.0), 1 - (F.col("yy") - 2 * fit * F.col("xy") + fit * fit * F.col("xx")) / F.col("yy")), 7).alias("r2"))
 
 
-@query(T + HOURLY + """, p AS (SELECT x.symbol AS a, y.symbol AS b, x.bar_ts, ln(x.close) - ln(y.close) AS s FROM b x JOIN b y ON x.bar_ts = y.bar_ts AND x.symbol < y.symbol), q AS (SELECT a, b, s, lag(s) OVER (PARTITION BY a, b ORDER BY bar_ts) AS s0 FROM p)
+@query(T + HOURLY + """, p AS (SELECT x.symbol AS a, y.symbol AS b, x.bar_ts, ln(x.close) - ln(y.close) AS s FROM b x JOIN b y ON x.bar_ts = y.bar_ts AND x.symbol < y.symbol), q AS (SELECT a, b, s, lag(s) OVER (PARTITION BY a, b, bar_ts // 86400 ORDER BY bar_ts) AS s0 FROM p)
   SELECT a, b, round(regr_slope(s - s0, s0), 6) AS ar_beta, CASE WHEN regr_slope(s - s0, s0) < 0 THEN round(-ln(2) / regr_slope(s - s0, s0), 5) END AS half_life FROM q GROUP BY 1, 2""")
 def spread_half_life(spark, d):
     p = joins.align_pairs(hourly(spark, d), "symbol", "bar_ts", "close").withColumn("s", F.log("value_a") - F.log("value_b"))
-    p = p.withColumn("s0", F.lag("s").over(Window.partitionBy("a", "b").orderBy("bar_ts")))
+    p = p.withColumn("s0", F.lag("s").over(Window.partitionBy("a", "b", F.floor(F.col("bar_ts") / 86_400)).orderBy("bar_ts")))
     beta = F.regr_slope(F.col("s") - F.col("s0"), F.col("s0"))
     return p.groupBy("a", "b").agg(r(beta).alias("ar_beta"), F.when(beta < 0, r(-F.log(F.lit(2.0)) / beta, 5)).alias("half_life"))
 
 
 @query("""WITH q AS (SELECT p_partkey, 0.05 + p_size * 0.01 AS g, 1.0 + p_partkey % 5 AS k, 0.1 + p_size * 0.02 AS s, CAST(p_partkey % 11 AS DOUBLE) - 5 AS i, (p_partkey % 100) / 100 AS left_t, p_retailprice AS m FROM part)
-  SELECT p_partkey, round(m - i * g * s * s * left_t * (1 + abs(i) / 5 * (1 - left_t)), 7) AS reservation, round(greatest(0.1, m * 0.0005, least(g * s * s * left_t + 2 / g * ln(1 + g / k), 1.5)), 7) AS optimal_spread, round(1 / g * ln(1 + g / k) + (2 * i + 1) / 2 * sqrt(s * s * g / (2 * k) * power(1 + g / k, 1 + k / g)), 6) AS asymptotic_bid FROM q""")
+  SELECT p_partkey, round(m - i * g * s * s * left_t * (1 + abs(i) / 5 * (1 - left_t)), 5) AS reservation, round(greatest(0.1, m * 0.0005, least(g * s * s * left_t + 2 / g * ln(1 + g / k), 1.5)), 7) AS optimal_spread, round(1 / g * ln(1 + g / k) + (2 * i + 1) / 2 * sqrt(s * s * g / (2 * k) * power(1 + g / k, 1 + k / g)), 6) AS asymptotic_bid FROM q""")
 def quote_formulas(spark, d):
     p, z = F.col("p_partkey"), F.col("p_size")
     q = driver_table(spark, d, "part").select("p_partkey", (0.05 + z * 0.01).alias("g"), (1.0 + p % 5).alias("k"), (0.1 + z * 0.02).alias("s"), ((p % 11).cast("double") - 5).alias("i"), (p % 100 / 100).alias("left_t"), F.col("p_retailprice").alias("m"))
     g, k, s, i, t = (F.col(c) for c in ("g", "k", "s", "i", "left_t"))
     base = F.log(1 + g / k)
-    return q.select("p_partkey", r(scalar.reservation_price(F.col("m"), i, g, s, t, 5), 7).alias("reservation"), r(scalar.optimal_spread(F.col("m"), g, k, s, t, 0.1, 1.5), 7).alias("optimal_spread"), r(1 / g * base + (2 * i + 1) / 2 * F.sqrt(s * s * g / (2 * k) * F.pow(1 + g / k, 1 + k / g))).alias("asymptotic_bid"))
+    return q.select("p_partkey", r(scalar.reservation_price(F.col("m"), i, g, s, t, 5), 5).alias("reservation"), r(scalar.optimal_spread(F.col("m"), g, k, s, t, 0.1, 1.5), 7).alias("optimal_spread"), r(1 / g * base + (2 * i + 1) / 2 * F.sqrt(s * s * g / (2 * k) * F.pow(1 + g / k, 1 + k / g))).alias("asymptotic_bid"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_acctbal AS bal, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal / 100 END AS ratio, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_nationkey END AS growth FROM customer)

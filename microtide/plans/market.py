@@ -20,10 +20,11 @@ T = """WITH t AS (
     value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS qty, CAST(ts AS DATE) AS day
   FROM events)"""
 HOURLY = """, b AS (
-  SELECT symbol, ts_sec - ts_sec % 3600 AS bar_ts, arg_min(price, {'a': ts_us, 'b': event_id}) AS open, max(price) AS high, min(price) AS low,
+  SELECT symbol, day, ts_sec - ts_sec % 3600 AS bar_ts, arg_min(price, {'a': ts_us, 'b': event_id}) AS open, max(price) AS high, min(price) AS low,
     arg_max(price, {'a': ts_us, 'b': event_id}) AS close, CAST(sum(qty) AS BIGINT) AS volume, count(*) AS tick_count, sum(price * qty) / nullif(sum(qty), 0) AS vwap
-  FROM t WHERE price > 0 GROUP BY 1, 2)"""
-W = "PARTITION BY symbol ORDER BY ts_us, event_id"
+  FROM t WHERE price > 0 GROUP BY 1, 2, 3)"""
+#: A session is a symbol's day; no window of ticks or bars reads across sessions.
+W = "PARTITION BY symbol, day ORDER BY ts_us, event_id"
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.time_bars(ticks(spark, sf_dir), ["symbol"], "ts_sec", ["ts_us", "event_id"], "price", "qty", 3600)
+    return bars.time_bars(ticks(spark, sf_dir), ["symbol", "day"], "ts_sec", ["ts_us", "event_id"], "price", "qty", 3600)
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,8 +47,8 @@ def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 FILLS = """WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' THEN 'SELL' ELSE 'BUY' END AS side,
   CAST(l_quantity AS BIGINT) AS qty, l_extendedprice / l_quantity AS price, CAST(l_shipdate AS DATE) AS day FROM lineitem)"""
 
-TICK = Series(["symbol"], ["ts_us", "event_id"])
-BAR = Series(["symbol"], "bar_ts")
+TICK = Series(["symbol", "day"], ["ts_us", "event_id"])
+BAR = Series(["symbol", "day"], "bar_ts")
 
 
 def r(c, n: int = 6):
@@ -65,9 +66,9 @@ def ohlc_bars(spark, d):
 @query(T + HOURLY + """ SELECT symbol, bar_ts, close, round(stddev_samp(close) OVER w, 6) AS close_std_10, round(avg(close) OVER w, 6) AS close_ma_10,
   round((close - avg(close) OVER w) / nullif(stddev_samp(close) OVER w, 0), 6) AS close_z_10,
   round((close - lag(close, 10) OVER o) / nullif(lag(close, 10) OVER o, 0), 6) AS momentum_10, round(volume / nullif(avg(volume) OVER w, 0), 6) AS volume_ratio_10
-  FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), o AS (PARTITION BY symbol ORDER BY bar_ts)""")
+  FROM b WINDOW w AS (PARTITION BY symbol, day ORDER BY bar_ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), o AS (PARTITION BY symbol, day ORDER BY bar_ts)""")
 def ohlc_rolling_bars(spark, d):
-    out = bars.rolling_features(hourly(spark, d), ["symbol"])
+    out = bars.rolling_features(hourly(spark, d), ["symbol", "day"])
     return out.select("symbol", "bar_ts", "close", *[r(c).alias(c) for c in ("close_std_10", "close_ma_10", "close_z_10", "momentum_10", "volume_ratio_10")])
 
 
@@ -77,12 +78,12 @@ def last_snapshot(spark, d):
     return out.select("symbol", "day", F.col("price").alias("last_price"), F.col("qty").alias("last_qty"), F.col("user_id").alias("last_user"))
 
 
-@query(T + HOURLY + """, g AS (SELECT symbol, unnest(generate_series(min(bar_ts), max(bar_ts), 3600)) AS bar_ts FROM b GROUP BY 1)
-  SELECT g.symbol, g.bar_ts, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar_ts ROWS UNBOUNDED PRECEDING) AS close,
+@query(T + HOURLY + """, g AS (SELECT symbol, day, unnest(generate_series(min(bar_ts), max(bar_ts), 3600)) AS bar_ts FROM b GROUP BY 1, 2)
+  SELECT g.symbol, g.bar_ts, last_value(b.close IGNORE NULLS) OVER (PARTITION BY g.symbol, g.day ORDER BY g.bar_ts ROWS UNBOUNDED PRECEDING) AS close,
     coalesce(b.volume, 0) AS volume, CASE WHEN b.close IS NULL THEN 0 ELSE 1 END AS is_observed
   FROM g LEFT JOIN b ON g.symbol = b.symbol AND g.bar_ts = b.bar_ts""")
 def grid_regularize(spark, d):
-    return bars.regularize(hourly(spark, d), ["symbol"], "bar_ts", 3600, ["close"], ["volume"]).select("symbol", "bar_ts", "close", "volume", "is_observed")
+    return bars.regularize(hourly(spark, d), ["symbol", "day"], "bar_ts", 3600, ["close"], ["volume"]).select("symbol", "bar_ts", "close", "volume", "is_observed")
 
 
 @query(T + """ SELECT symbol, day, count(DISTINCT ts_sec // 3600) AS present, 24 AS expected, round(count(DISTINCT ts_sec // 3600) / 24 * 100, 6) AS coverage_pct,
@@ -91,17 +92,17 @@ def coverage_report(spark, d):
     return bars.coverage(ticks(spark, d), ["symbol", "day"], F.floor(F.col("ts_sec") / 3600), 24).withColumn("coverage_pct", r("coverage_pct"))
 
 
-@query(T + """, h AS (SELECT DISTINCT symbol, ts_sec // 3600 AS hour FROM t), g AS (SELECT symbol, hour - lag(hour) OVER (PARTITION BY symbol ORDER BY hour) - 1 AS gap FROM h)
-  SELECT symbol, CAST(coalesce(sum(gap), 0) AS BIGINT) AS missing, coalesce(max(gap), 0) AS longest_gap, count(*) FILTER (gap > 0) AS gaps FROM g GROUP BY 1""")
+@query(T + """, h AS (SELECT DISTINCT symbol, day, ts_sec // 3600 AS hour FROM t), g AS (SELECT symbol, day, hour - lag(hour) OVER (PARTITION BY symbol, day ORDER BY hour) - 1 AS gap FROM h)
+  SELECT symbol, day, CAST(coalesce(sum(gap), 0) AS BIGINT) AS missing, coalesce(max(gap), 0) AS longest_gap, count(*) FILTER (gap > 0) AS gaps FROM g GROUP BY 1, 2""")
 def longest_gap(spark, d):
-    return bars.longest_gap(ticks(spark, d).withColumn("hour", F.floor(F.col("ts_sec") / 3600)), ["symbol"], "hour")
+    return bars.longest_gap(ticks(spark, d).withColumn("hour", F.floor(F.col("ts_sec") / 3600)), ["symbol", "day"], "hour")
 
 
-@query(T + f""", f AS (SELECT symbol, ts_us, price > 20 AS up, row_number() OVER ({W}) AS n FROM t),
-  i AS (SELECT symbol, n - row_number() OVER (PARTITION BY symbol ORDER BY ts_us) AS g FROM f WHERE up), l AS (SELECT symbol, count(*) AS k FROM i GROUP BY symbol, g)
-  SELECT symbol, count(*) AS runs, max(k) AS longest_run, quantile_cont(k, 0.5) AS median_run FROM l GROUP BY 1""")
+@query(T + f""", f AS (SELECT symbol, day, ts_us, event_id, price > 20 AS up, row_number() OVER ({W}) AS n, count(*) OVER (PARTITION BY symbol, day) AS rows FROM t),
+  i AS (SELECT symbol, day, n, rows, n - row_number() OVER ({W}) AS g FROM f WHERE up), l AS (SELECT symbol, count(*) AS k FROM i GROUP BY symbol, day, g HAVING max(n) < any_value(rows))
+  SELECT symbol, count(*) AS runs, max(k) AS longest_run, quantile_cont(k, 0.5) AS median_run, quantile_cont(k, 0.75) AS p75_run FROM l GROUP BY 1""")
 def run_lengths(spark, d):
-    return bars.run_lengths(ticks(spark, d).withColumn("up", F.col("price") > 20), ["symbol"], "ts_us", "up")
+    return bars.run_lengths(ticks(spark, d).withColumn("up", F.col("price") > 20), TICK, ["symbol"], "up")
 
 
 @query(T + """, h AS (SELECT symbol, day, ts_sec % 86400 // 3600 AS hour, avg(price) AS m FROM t GROUP BY 1, 2, 3) SELECT symbol, hour, round(avg(m), 6) AS mean_price, count(*) AS days FROM h GROUP BY 1, 2""")
@@ -186,11 +187,11 @@ def jump_ratio(spark, d):
     return t.select("event_id", r(F.greatest(F.col("rv") - F.col("bv"), F.lit(0.0)) / (F.col("rv") + 1e-12)).alias("jump_ratio"))
 
 
-@query(RET + f""", g AS (SELECT *, sign(ret) AS s, lag(sign(ret)) OVER ({W}) AS p FROM q),
+@query(RET + f""", g AS (SELECT *, sign(ret) AS s, last_value(nullif(sign(ret), 0) IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM q),
   c AS (SELECT event_id, count(*) FILTER (s = p AND s != 0) OVER w AS same, count(*) FILTER (s != 0 AND p != 0) OVER w AS valid FROM g WINDOW w AS ({W} ROWS 99 PRECEDING))
   SELECT event_id, CASE WHEN valid >= 20 THEN round(same / valid, 6) END AS sign_persistence FROM c""")
 def sign_persistence(spark, d):
-    t = _returns(spark, d).withColumn("s", F.signum("ret")).withColumn("p", TICK.lag("s"))
+    t = _returns(spark, d).withColumn("s", F.signum("ret")).withColumn("p", F.last(F.nullif("s", F.lit(0.0)), ignorenulls=True).over(TICK.before()))
     w = TICK.rows(100)
     same = F.count(F.when((F.col("s") == F.col("p")) & (F.col("s") != 0), 1)).over(w)
     valid = F.count(F.when((F.col("s") != 0) & (F.col("p") != 0), 1)).over(w)
@@ -203,14 +204,14 @@ def range_position(spark, d):
     return ticks(spark, d).select("event_id", r((F.col("price") - low) / (high - low + 1e-12)).alias("range_position"))
 
 
-@query(T + " SELECT event_id, count(*) OVER w AS n_hour, CAST(sum(qty) OVER w AS BIGINT) AS qty_hour FROM t WINDOW w AS (PARTITION BY symbol ORDER BY ts_sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)")
+@query(T + " SELECT event_id, count(*) OVER w AS n_hour, CAST(sum(qty) OVER w AS BIGINT) AS qty_hour FROM t WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_sec RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW)")
 def clock_window_counts(spark, d):
-    w = Series(["symbol"], "ts_sec").clock(3600)
+    w = Series(["symbol", "day"], "ts_sec").clock(3600)
     return ticks(spark, d).select("event_id", F.count(F.lit(1)).over(w).alias("n_hour"), F.sum("qty").over(w).alias("qty_hour"))
 
 
 def _fano_sql() -> str:
-    counts = ", ".join(f"count(*) OVER (PARTITION BY symbol ORDER BY ts_sec RANGE BETWEEN {21599 - 3600 * j} PRECEDING AND {21600 - 3600 * (j + 1)} PRECEDING) AS c{j}" for j in range(6))
+    counts = ", ".join(f"count(*) OVER (PARTITION BY symbol, day ORDER BY ts_sec RANGE BETWEEN {21599 - 3600 * j} PRECEDING AND {21600 - 3600 * (j + 1)} PRECEDING) AS c{j}" for j in range(6))
     mean = "(" + " + ".join(f"c{j}" for j in range(6)) + ") / 6"
     var = "(" + " + ".join(f"(c{j} - {mean}) * (c{j} - {mean})" for j in range(6)) + ") / 6"
     return T + f", c AS (SELECT event_id, {counts} FROM t) SELECT event_id, round({var} / nullif({mean}, 0), 6) AS fano FROM c"
@@ -218,14 +219,14 @@ def _fano_sql() -> str:
 
 @query(_fano_sql())
 def fano_blocks(spark, d):
-    return ticks(spark, d).select("event_id", r(windows.fano(Series(["symbol"], "ts_sec"), F.lit(True), 3600, 6)).alias("fano"))
+    return ticks(spark, d).select("event_id", r(windows.fano(Series(["symbol", "day"], "ts_sec"), F.lit(True), 3600, 6)).alias("fano"))
 
 
-@query(T + f""", g AS (SELECT symbol, ts_sec, event_id, ts_sec - lag(ts_sec) OVER ({W}) AS gap FROM t)
-  SELECT event_id, CASE WHEN count(gap) OVER w >= 3 THEN round(stddev_pop(gap) OVER w / nullif(avg(gap) OVER w, 0), 5) END AS cv FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ts_sec RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW)""")
+@query(T + f""", g AS (SELECT symbol, day, ts_sec, event_id, ts_sec - lag(ts_sec) OVER ({W}) AS gap FROM t)
+  SELECT event_id, CASE WHEN count(gap) OVER w >= 3 THEN round(stddev_pop(gap) OVER w / nullif(avg(gap) OVER w, 0), 5) END AS cv FROM g WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_sec RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW)""")
 def interarrival_cv(spark, d):
     g = ticks(spark, d).withColumn("gap", F.col("ts_sec") - TICK.lag("ts_sec"))
-    w = Series(["symbol"], "ts_sec").clock(43_200)
+    w = Series(["symbol", "day"], "ts_sec").clock(43_200)
     return g.select("event_id", F.when(F.count("gap").over(w) >= 3, r(F.stddev_pop("gap").over(w) / F.nullif(F.avg("gap").over(w), F.lit(0.0)), 5)).alias("cv"))
 
 
@@ -248,10 +249,10 @@ def zscore_excluding_current(spark, d):
     return ticks(spark, d).select("event_id", r((F.col("price") - mean) / F.nullif(sd, F.lit(0.0)), 5).alias("z_past_60"))
 
 
-@query(_tick_window("round(sum(price * qty) OVER w / sum(qty) OVER w, 6) AS vwap", f", w AS ({W} ROWS UNBOUNDED PRECEDING)"))
+@query(_tick_window("round(sum(price * qty) OVER w / nullif(sum(qty) OVER w, 0), 6) AS vwap", f", w AS ({W} ROWS UNBOUNDED PRECEDING)"))
 def cumulative_vwap(spark, d):
     w = TICK.so_far()
-    return ticks(spark, d).select("event_id", r(F.sum(F.col("price") * F.col("qty")).over(w) / F.sum("qty").over(w)).alias("vwap"))
+    return ticks(spark, d).select("event_id", r(F.sum(F.col("price") * F.col("qty")).over(w) / F.nullif(F.sum("qty").over(w), F.lit(0))).alias("vwap"))
 
 
 @query(T + f""", l AS (SELECT event_id, list(price) OVER ({W} ROWS 3 PRECEDING) AS s FROM t)
@@ -279,13 +280,13 @@ def interval_overlap(spark, d):
 # ---- joins ------------------------------------------------------------------------------
 
 
-@query(T + """, l AS (SELECT * FROM t WHERE symbol = 'purchase'), x AS (SELECT ts_us, max(price) AS price FROM t WHERE symbol = 'view' GROUP BY 1)
-  SELECT l.event_id, x.ts_us AS r_ts_us, x.price AS r_price FROM l ASOF LEFT JOIN x ON l.ts_us >= x.ts_us""")
+@query(T + """, l AS (SELECT * FROM t WHERE symbol = 'purchase'), x AS (SELECT day, ts_us, max(price) AS price FROM t WHERE symbol = 'view' GROUP BY 1, 2)
+  SELECT l.event_id, x.ts_us AS r_ts_us, x.price AS r_price FROM l ASOF LEFT JOIN x ON l.day = x.day AND l.ts_us >= x.ts_us""")
 def asof_join(spark, d):
-    t = ticks(spark, d).withColumn("k", F.lit(1))
-    left = t.where("symbol = 'purchase'").select("k", "ts_us", "event_id")
-    right = t.where("symbol = 'view'").select("k", "ts_us", "price")
-    return joins.asof_join(left, right, ["k"], "ts_us", ["price"]).select("event_id", "r_ts_us", "r_price")
+    t = ticks(spark, d)
+    left = t.where("symbol = 'purchase'").select("day", "ts_us", "event_id")
+    right = t.where("symbol = 'view'").select("day", "ts_us", "price")
+    return joins.asof_join(left, right, ["day"], "ts_us", ["price"]).select("event_id", "r_ts_us", "r_price")
 
 
 @query(T + """, l AS (SELECT user_id, ts_us, event_id FROM t WHERE symbol = 'purchase'), x AS (SELECT user_id, ts_us, max(price) AS price FROM t WHERE symbol != 'purchase' GROUP BY 1, 2)
@@ -368,27 +369,27 @@ def triple_barrier(spark, d):
     return evaluate.triple_barrier(hourly(spark, d), ["symbol"], "bar_ts", "close", 0.5, 0.5, 43_200)
 
 
-IC = T + HOURLY + """, z AS (SELECT *, (close - avg(close) OVER w) AS sig, lead(close, 3) OVER (PARTITION BY symbol ORDER BY bar_ts) / nullif(close, 0) - 1 AS fwd FROM b WINDOW w AS (PARTITION BY symbol ORDER BY bar_ts ROWS 9 PRECEDING)),
+IC = T + HOURLY + """, z AS (SELECT *, (close - avg(close) OVER w) AS sig, lead(close, 3) OVER (PARTITION BY symbol, day ORDER BY bar_ts) / nullif(close, 0) - 1 AS fwd FROM b WINDOW w AS (PARTITION BY symbol, day ORDER BY bar_ts ROWS 9 PRECEDING)),
   v AS (SELECT *, CAST(bar_ts // 86400 AS BIGINT) AS dayno FROM z WHERE fwd IS NOT NULL)"""
 
 
 def _signals(spark, d):
     b = hourly(spark, d)
-    b = b.withColumns({"sig": F.col("close") - BAR.rolling("avg", "close", 10), "fwd": evaluate.forward_return("close", 3, ["symbol"], "bar_ts")})
+    b = b.withColumns({"sig": F.col("close") - BAR.rolling("avg", "close", 10), "fwd": evaluate.forward_return("close", 3, ["symbol", "day"], "bar_ts")})
     return b.where("fwd is not null").withColumn("dayno", F.floor(F.col("bar_ts") / 86_400))
 
 
-@query(IC + """, k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY sig) + (count(*) OVER (PARTITION BY symbol, sig) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, fwd) - 1) / 2 AS ry FROM v)
-  SELECT symbol, round(corr(rx, ry), 6) AS ic, round(avg(CASE WHEN sign(sig) = sign(fwd) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM k GROUP BY 1""")
+@query(IC + """, k AS (SELECT *, rank() OVER (PARTITION BY symbol, dayno ORDER BY sig) + (count(*) OVER (PARTITION BY symbol, dayno, sig) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol, dayno ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, dayno, fwd) - 1) / 2 AS ry FROM v)
+  SELECT symbol, dayno, round(corr(rx, ry), 6) AS ic, round(avg(CASE WHEN sign(sig) = sign(fwd) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM k GROUP BY 1, 2""")
 def forward_return_ic(spark, d):
-    return evaluate.spearman(_signals(spark, d), ["symbol"], "sig", "fwd").select("symbol", r("ic").alias("ic"), r("hit_rate").alias("hit_rate"), "n")
+    return evaluate.spearman(_signals(spark, d), ["symbol", "dayno"], "sig", "fwd").select("symbol", "dayno", r("ic").alias("ic"), r("hit_rate").alias("hit_rate"), "n")
 
 
-@query(IC + """, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol ORDER BY bar_ts) - 1) // 50 AS chunk FROM v), c AS (SELECT symbol, chunk, corr(sig, fwd) AS ic FROM n GROUP BY 1, 2 HAVING count(*) >= 20)
+@query(IC + """, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol, day ORDER BY bar_ts) - 1) // 10 AS chunk FROM v), c AS (SELECT symbol, day, chunk, corr(sig, fwd) AS ic FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 5)
   SELECT symbol, count(*) AS chunks, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS ic_t FROM c GROUP BY 1""")
 def chunked_ic(spark, d):
-    n = _signals(spark, d).withColumn("chunk", F.floor((F.row_number().over(BAR.w) - 1) / 50))
-    c = n.groupBy("symbol", "chunk").agg(F.corr("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 20")
+    n = _signals(spark, d).withColumn("chunk", F.floor((F.row_number().over(BAR.w) - 1) / 10))
+    c = n.groupBy("symbol", "day", "chunk").agg(F.corr("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))
     return c.groupBy("symbol").agg(F.count(F.lit(1)).alias("chunks"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(t, 5).alias("ic_t"))
 
@@ -429,11 +430,11 @@ def jarque_bera(spark, d):
     return out.select("symbol", "n", r("skew", 5).alias("skew"), r("excess_kurtosis", 5).alias("excess_kurtosis"), r("jarque_bera", 2).alias("jarque_bera"))
 
 
-@query(T + """, n AS (SELECT symbol, qty, price, (row_number() OVER (PARTITION BY symbol ORDER BY ts_us, event_id) - 1) // 20 AS chunk FROM t)
-  SELECT a.symbol, a.chunk, count(*) AS slopes, round(quantile_cont((b.price - a.price) / (b.qty - a.qty), 0.5), 6) AS theil_sen FROM n a JOIN n b ON a.symbol = b.symbol AND a.chunk = b.chunk AND a.qty < b.qty GROUP BY 1, 2""")
+@query(T + """, n AS (SELECT symbol, day, qty, price, (row_number() OVER (PARTITION BY symbol, day ORDER BY ts_us, event_id) - 1) // 20 AS chunk FROM t)
+  SELECT a.symbol, a.day, a.chunk, count(*) AS slopes, round(quantile_cont((b.price - a.price) / (b.qty - a.qty), 0.5), 6) AS theil_sen FROM n a JOIN n b ON a.symbol = b.symbol AND a.day = b.day AND a.chunk = b.chunk AND a.qty < b.qty GROUP BY 1, 2, 3""")
 def theil_sen(spark, d):
     n = ticks(spark, d).withColumn("chunk", F.floor((F.row_number().over(TICK.w) - 1) / 20))
-    return evaluate.theil_sen(n, ["symbol"], "qty", "price", "chunk").where("slopes > 0").select("symbol", "chunk", "slopes", r("theil_sen").alias("theil_sen"))
+    return evaluate.theil_sen(n, ["symbol", "day"], "qty", "price", "chunk").where("slopes > 0").select("symbol", "day", "chunk", "slopes", r("theil_sen").alias("theil_sen"))
 
 
 # ---- fills, costs, rankings -------------------------------------------------------------

@@ -28,7 +28,7 @@ def dollar_bars(spark, d):
 
 @query()
 def ewm_volatility(spark, d):
-    return bars.ewm(hourly(spark, d), ["symbol"], ["bar_ts"], "close", 60)
+    return bars.ewm(ticks(spark, d), ["symbol", "day"], ["ts_us", "event_id"], "price", 60)
 
 
 @query()
@@ -53,8 +53,9 @@ def pairs_backtest(spark, d):
     from microtide.operators.joins import align_pairs
 
     p = align_pairs(hourly(spark, d).select("symbol", "bar_ts", "close"), "symbol", "bar_ts", "close").withColumn("spread", F.log("value_a") - F.log("value_b"))
-    p = p.withColumn("z", Series(["a", "b"], "bar_ts").zscore("spread", 50))
-    return simulate.replay(p, ["a", "b"], ["bar_ts"], simulate.Pairs(), "entry long, exit long, side int, gain double, reason string")
+    p = p.withColumn("day", F.floor(F.col("bar_ts") / 86_400))
+    p = p.withColumn("z", Series(["a", "b", "day"], "bar_ts").zscore("spread", 10))
+    return simulate.replay(p, ["a", "b", "day"], ["bar_ts"], simulate.Pairs(), "entry long, exit long, side int, gain double, reason string")
 
 
 @query()

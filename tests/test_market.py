@@ -199,3 +199,21 @@ def test_land_texts(spark):
 def test_concurrency_counts_open_intervals(spark):
     df = spark.createDataFrame([("k", 0, 5), ("k", 3, 4), ("k", 5, 9), ("k", 6, 7)], "k string, a long, b long")
     assert {r.a: r.live for r in windows.concurrency(df, ["k"], "a", "b").collect()} == {0: 1, 3: 2, 5: 2, 6: 2}
+
+
+def test_open_runs_are_not_counted(spark):
+    rows = [("a", i, f) for i, f in enumerate([True, True, False, True, False, True, True, True])]
+    got = bars.run_lengths(spark.createDataFrame(rows, "symbol string, ts long, up boolean"), Series(["symbol"], "ts"), ["symbol"], "up").collect()
+    assert [(x.runs, x.longest_run, x.median_run) for x in got] == [(2, 2, 1.5)]
+
+
+def test_shock_recovers_and_ages(spark):
+    from microtide.operators import book
+
+    depth = [100, 70, 70, 85, 100, 100]
+    rows = [("a", t, 1, *[10.0 - i for i in range(5)], *[11.0 + i for i in range(5)], q, 0, 0, 0, 0, 50, 0, 0, 0, 0) for t, q in enumerate(depth)]
+    df = spark.createDataFrame(rows, "symbol string, ts long, is_observed int, " + ", ".join(f"{c} {'double' if c[1] == 'p' else 'long'}" for c in book.BOOK))
+    got = book.shock_recovery(df, Series(["symbol"], "ts"), "ts", lookback=4).orderBy("ts").collect()
+    assert [x.bid_recovery for x in got] == [None, 0.0, 0.0, 0.5, 1.0, None]
+    assert [x.bid_shock_age for x in got] == [None, 0, 1, 2, 3, None] and all(x.ask_recovery is None for x in got)
+    assert df.where(book.valid_book()).count() == len(depth)

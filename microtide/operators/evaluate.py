@@ -31,6 +31,13 @@ def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: fl
     return out.select(*keys, ts, label.alias("label"), F.when(u != d, F.least(u, d)).alias("touch_ts"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation over rows with both values; null where one of them doesn't vary."""
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    spread = F.stddev_pop(F.when(pair, F.col(x))) * F.stddev_pop(F.when(pair, F.col(y)))
+    return F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+
+
 def average_ranks(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     """Average ranks within keys: ties share the mean of their places."""
     w = Window.partitionBy(*keys).orderBy(x)
@@ -43,7 +50,7 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = average_ranks(average_ranks(rows, keys, x, "__rx"), keys, y, "__ry")
     hit = (F.signum(x) == F.signum(y)).cast("double")
-    return rows.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("ic"), F.avg(hit).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
+    return rows.groupBy(*keys).agg(correlation("__rx", "__ry").alias("ic"), F.avg(hit).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
 def walk_forward(daily: DataFrame, keys: list[str], day: str, score: str, value: str) -> DataFrame:

@@ -19,6 +19,8 @@ from microtide.plans.registry import query
 STEP = 1800
 GRID = Series(["symbol", "day"], "ts")
 S = "PARTITION BY symbol, day ORDER BY ts"
+#: Sums whose rounded zero may have either sign.
+SIGNED = ("ofi_sum_signed_log", "ofi_rate_diff", "near_migration_asym", "migration_activity_asym")
 AT = "{'a': ts_us, 'b': event_id}"
 LADDER = ", ".join(f"p - 0.01 * {i} AS bp{i + 1}, p + 0.01 * {2 * i + 1} AS ap{i + 1}, (q * {2 * i + 3} + {7 * i}) % 50 + 1 AS bq{i + 1}, (q * {3 * i + 5} + {i}) % 50 + 1 AS aq{i + 1}" for i in range(5))
 B, A = (" + ".join(f"{p}{i}" for i in range(1, 6)) for p in ("bq", "aq"))
@@ -40,7 +42,7 @@ def grid(spark, d):
 
 
 def shown(df, *names):
-    return df.select("symbol", "ts", *[r(c).alias(c) for c in names])
+    return df.select("symbol", "ts", *[(r(c) + 0.0 if c in SIGNED else r(c)).alias(c) for c in names])
 
 
 @query(G + f""" SELECT symbol, ts, round((bq1 - aq1) / (bq1 + aq1 + 1e-9), 6) AS queue_imbalance_ctrl, round((bid_depth - ask_depth) / (bid_depth + ask_depth + 1e-9), 6) AS depth_imbalance_ctrl, round(ln(1 + bid_depth + ask_depth), 6) AS log_total_depth_ctrl,
@@ -96,7 +98,7 @@ def _near_sql() -> str:
     moved = lambda p, x: f"CASE WHEN is_observed = 1 AND ts - past <= {3 * STEP} AND {p} = past_{p} THEN {x} - past_{x} ELSE 0.0 END"
     return G + f""", n AS (SELECT *, (bq1 + bq2) / bid_depth AS x, (aq1 + aq2) / ask_depth AS y FROM k), z AS (SELECT *, {past("ts", "past")}, {past("bp1", "past_bp1")}, {past("ap1", "past_ap1")}, {past("x", "past_x")}, {past("y", "past_y")}, min(ts) OVER (PARTITION BY symbol, day) AS start FROM n),
   c AS (SELECT symbol, day, ts, start, {moved("bp1", "x")} AS u, {moved("ap1", "y")} AS v FROM z)
-  SELECT symbol, ts, CASE WHEN ts >= start + {5 * STEP} THEN round(sum(u - v) OVER w, 6) END AS near_migration_asym, CASE WHEN ts >= start + {5 * STEP} THEN round(sum(abs(u) - abs(v)) OVER w, 6) END AS migration_activity_asym
+  SELECT symbol, ts, CASE WHEN ts >= start + {5 * STEP} THEN round(sum(u - v) OVER w, 6) + 0.0 END AS near_migration_asym, CASE WHEN ts >= start + {5 * STEP} THEN round(sum(abs(u) - abs(v)) OVER w, 6) + 0.0 END AS migration_activity_asym
   FROM c WINDOW w AS ({S} RANGE BETWEEN {6 * STEP - 1} PRECEDING AND CURRENT ROW)"""
 
 
@@ -116,7 +118,7 @@ def _frame(n: int, least: int, x: str, seen: str) -> str:
 
 
 @query(FLOW + f""", x AS (SELECT *, {_frame(12, 4, "sum(ofi)", "ofi")} AS s12, {_frame(6, 2, "sum(ofi)", "ofi")} AS s6, {_frame(18, 6, "sum(ofi)", "ofi")} AS s18, {_frame(18, 6, "var_samp(k5)", "k5")} AS vk, {_frame(18, 6, "var_samp(ret)", "ret")} AS v1 FROM o)
-  SELECT symbol, ts, round(sign(s12) * ln(1 + abs(s12)), 6) AS ofi_sum_signed_log, round(sign(s6 / 6 - s18 / 18) * ln(1 + abs(s6 / 6 - s18 / 18)), 6) AS ofi_rate_diff, round({_frame(12, 4, "avg(CASE WHEN ofi != 0 THEN 1.0 WHEN ofi = 0 THEN 0.0 END)", "ofi")}, 6) AS ofi_activity,
+  SELECT symbol, ts, round(sign(s12) * ln(1 + abs(s12)), 6) + 0.0 AS ofi_sum_signed_log, round(sign(s6 / 6 - s18 / 18) * ln(1 + abs(s6 / 6 - s18 / 18)), 6) + 0.0 AS ofi_rate_diff, round({_frame(12, 4, "avg(CASE WHEN ofi != 0 THEN 1.0 WHEN ofi = 0 THEN 0.0 END)", "ofi")}, 6) AS ofi_activity,
     round({_frame(18, 6, "avg(is_observed)", "is_observed")}, 6) AS update_rate, round({_frame(6, 2, "avg(CASE WHEN ret != 0 THEN 1.0 WHEN ret = 0 THEN 0.0 END)", "ret")}, 6) AS price_move_rate, round(queue - lag(queue) OVER ({S}), 6) AS queue_imbalance_delta,
     round(deep - lag(deep) OVER ({S}), 6) AS depth_imbalance_delta, round(CASE WHEN vk IS NOT NULL AND v1 IS NOT NULL THEN ln(greatest(vk / (5 * v1 + 1e-12), 1e-6)) END, 4) AS log_variance_ratio_5 FROM x""")
 def flow_features(spark, d):
@@ -163,9 +165,9 @@ def book_checks(spark, d):
 
 @query(G + f""", y AS (SELECT *, lag(mid, 3) OVER ({S}) AS m3, lag(mid) OVER ({S}) AS m1 FROM k), w AS (SELECT symbol, ts, mid, CASE WHEN count(m3) OVER w >= 5 AND stddev_pop(CASE WHEN m3 IS NOT NULL THEN mid END) OVER w * stddev_pop(m3) OVER w > 1e-12 THEN covar_pop(mid, m3) OVER w / nullif(stddev_pop(CASE WHEN m3 IS NOT NULL THEN mid END) OVER w * stddev_pop(m3) OVER w, 0) END AS acf,
     CASE WHEN count(m1) OVER w >= 5 AND var_pop(m1) OVER w > 1e-12 THEN covar_pop(mid, m1) OVER w / nullif(var_pop(m1) OVER w, 0) END AS ar, CASE WHEN stddev_samp(mid) OVER z > 1e-9 THEN mid / stddev_samp(mid) OVER z END AS bz FROM y WINDOW w AS ({S} ROWS 8 PRECEDING), z AS ({S} ROWS 11 PRECEDING))
-  SELECT symbol, ts, round(acf, 4) + 0.0 AS acf_3, round(ar, 4) + 0.0 AS ar1_beta, round(bz, 2) AS basis_z FROM w""")
+  SELECT symbol, ts, round(acf, 9) + 0.0 AS acf_3, round(ar, 9) + 0.0 AS ar1_beta, round(bz, 6) AS basis_z FROM w""")
 def rolling_autoregression(spark, d):
     g = grid(spark, d).withColumn("mid", book.mid())
     g = g.withColumns({"m3": GRID.lag("mid", 3), "m1": GRID.lag("mid")})
     sd = GRID.rolling("stddev_samp", "mid", 12)
-    return g.select("symbol", "ts", (r(GRID.corr("mid", "m3", 9, 5), 4) + 0.0).alias("acf_3"), (r(windows.slope(GRID, "m1", "mid", 9, 5), 4) + 0.0).alias("ar1_beta"), r(F.when(sd > 1e-9, F.col("mid") / F.nullif(sd, F.lit(0.0))), 2).alias("basis_z"))
+    return g.select("symbol", "ts", (r(GRID.corr("mid", "m3", 9, 5), 9) + 0.0).alias("acf_3"), (r(windows.slope(GRID, "m1", "mid", 9, 5), 9) + 0.0).alias("ar1_beta"), r(F.when(sd > 1e-9, F.col("mid") / F.nullif(sd, F.lit(0.0))), 6).alias("basis_z"))

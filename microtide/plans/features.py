@@ -117,18 +117,18 @@ def forward_variance(spark, d):
     return t.select("symbol", "bar_ts", F.when(BAR.lead("bar_ts", 6) - F.col("bar_ts") == 21_600, r(fv)).alias("forward_variance"))
 
 
-@query(IC + """, m AS (SELECT symbol, quantile_cont(abs(sig), 0.5) AS q FROM v GROUP BY 1) SELECT v.symbol, CASE WHEN abs(sig) > q THEN 'high' ELSE 'low' END AS regime, count(*) AS n, round(corr(sig, fwd), 6) AS ic, round(avg(sign(sig) * fwd) / nullif(stddev_samp(sign(sig) * fwd), 0) * sqrt(252), 5) AS sharpe FROM v JOIN m ON v.symbol = m.symbol GROUP BY 1, 2""")
+@query(IC + """, m AS (SELECT symbol, quantile_cont(abs(sig), 0.5) AS q FROM v GROUP BY 1) SELECT v.symbol, CASE WHEN abs(sig) > q THEN 'high' ELSE 'low' END AS regime, count(*) AS n, round(CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END, 6) AS ic, round(avg(sign(sig) * fwd) / nullif(stddev_samp(sign(sig) * fwd), 0) * sqrt(252), 5) AS sharpe FROM v JOIN m ON v.symbol = m.symbol GROUP BY 1, 2""")
 def regime_ic(spark, d):
     v = _signals(spark, d)
     m = v.groupBy("symbol").agg(F.percentile(F.abs("sig"), 0.5).alias("q"))
     g = F.signum("sig") * F.col("fwd")
     out = v.join(m, "symbol").groupBy("symbol", F.when(F.abs("sig") > F.col("q"), "high").otherwise("low").alias("regime"))
-    return out.agg(F.count(F.lit(1)).alias("n"), r(F.corr("sig", "fwd")).alias("ic"), r(F.avg(g) / F.nullif(F.stddev_samp(g), F.lit(0.0)) * (252**0.5), 5).alias("sharpe"))
+    return out.agg(F.count(F.lit(1)).alias("n"), r(evaluate.correlation("sig", "fwd")).alias("ic"), r(F.avg(g) / F.nullif(F.stddev_samp(g), F.lit(0.0)) * (252**0.5), 5).alias("sharpe"))
 
 
-@query(IC + """, dd AS (SELECT symbol, dayno, corr(sig, fwd) AS ic FROM v GROUP BY 1, 2 HAVING count(*) >= 10) SELECT symbol, count(*) AS days, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(min(ic), 6) AS ic_min, round(max(ic), 6) AS ic_max FROM dd GROUP BY 1""")
+@query(IC + """, dd AS (SELECT symbol, dayno, CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END AS ic FROM v GROUP BY 1, 2 HAVING count(*) >= 10) SELECT symbol, count(*) AS days, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(min(ic), 6) AS ic_min, round(max(ic), 6) AS ic_max FROM dd GROUP BY 1""")
 def daily_ic(spark, d):
-    dd = _signals(spark, d).groupBy("symbol", "dayno").agg(F.corr("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
+    dd = _signals(spark, d).groupBy("symbol", "dayno").agg(evaluate.correlation("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 10")
     return dd.groupBy("symbol").agg(F.count(F.lit(1)).alias("days"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(F.min("ic")).alias("ic_min"), r(F.max("ic")).alias("ic_max"))
 
 

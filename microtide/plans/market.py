@@ -380,16 +380,16 @@ def _signals(spark, d):
 
 
 @query(IC + """, k AS (SELECT *, rank() OVER (PARTITION BY symbol, dayno ORDER BY sig) + (count(*) OVER (PARTITION BY symbol, dayno, sig) - 1) / 2 AS rx, rank() OVER (PARTITION BY symbol, dayno ORDER BY fwd) + (count(*) OVER (PARTITION BY symbol, dayno, fwd) - 1) / 2 AS ry FROM v)
-  SELECT symbol, dayno, round(corr(rx, ry), 6) AS ic, round(avg(CASE WHEN sign(sig) = sign(fwd) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM k GROUP BY 1, 2""")
+  SELECT symbol, dayno, round(CASE WHEN isfinite(corr(rx, ry)) THEN corr(rx, ry) END, 6) AS ic, round(avg(CASE WHEN sign(sig) = sign(fwd) THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, count(*) AS n FROM k GROUP BY 1, 2""")
 def forward_return_ic(spark, d):
     return evaluate.spearman(_signals(spark, d), ["symbol", "dayno"], "sig", "fwd").select("symbol", "dayno", r("ic").alias("ic"), r("hit_rate").alias("hit_rate"), "n")
 
 
-@query(IC + """, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol, day ORDER BY bar_ts) - 1) // 10 AS chunk FROM v), c AS (SELECT symbol, day, chunk, corr(sig, fwd) AS ic FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 5)
+@query(IC + """, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol, day ORDER BY bar_ts) - 1) // 10 AS chunk FROM v), c AS (SELECT symbol, day, chunk, CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END AS ic FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 5)
   SELECT symbol, count(*) AS chunks, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS ic_t FROM c GROUP BY 1""")
 def chunked_ic(spark, d):
     n = _signals(spark, d).withColumn("chunk", F.floor((F.row_number().over(BAR.w) - 1) / 10))
-    c = n.groupBy("symbol", "day", "chunk").agg(F.corr("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
+    c = n.groupBy("symbol", "day", "chunk").agg(evaluate.correlation("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
     t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))
     return c.groupBy("symbol").agg(F.count(F.lit(1)).alias("chunks"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(t, 5).alias("ic_t"))
 

@@ -41,14 +41,14 @@ B = "PARTITION BY symbol, day ORDER BY bar_ts"
 
 @query(T + HOURLY + f""", x AS (SELECT symbol, close - avg(close) OVER ({B} ROWS 9 PRECEDING) AS deviation, close - lag(close) OVER ({B}) AS change, lead(close, 1) OVER ({B}) / nullif(close, 0) - 1 AS f1, lead(close, 3) OVER ({B}) / nullif(close, 0) - 1 AS f3 FROM b),
   u AS (SELECT symbol, 'deviation' AS signal, 1 AS horizon, deviation AS s, f1 AS f FROM x UNION ALL SELECT symbol, 'deviation', 3, deviation, f3 FROM x UNION ALL SELECT symbol, 'change', 1, change, f1 FROM x UNION ALL SELECT symbol, 'change', 3, change, f3 FROM x),
-  i AS (SELECT signal, horizon, symbol, corr(s, f) AS ic, avg(CASE WHEN sign(s) = sign(f) THEN 1.0 ELSE 0.0 END) AS hit FROM u WHERE s IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2, 3)
+  i AS (SELECT signal, horizon, symbol, CASE WHEN isfinite(corr(s, f)) THEN corr(s, f) END AS ic, avg(CASE WHEN sign(s) = sign(f) THEN 1.0 ELSE 0.0 END) AS hit FROM u WHERE s IS NOT NULL AND f IS NOT NULL GROUP BY 1, 2, 3)
   SELECT signal, horizon, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(hit), 6) AS hit_mean, count(DISTINCT symbol) AS symbols FROM i GROUP BY 1, 2""")
 def signal_ranking(spark, d):
     ahead = lambda h: evaluate.forward_return("close", h, ["symbol", "day"], "bar_ts")
     x = hourly(spark, d).withColumns({"deviation": F.col("close") - BAR.rolling("avg", "close", 10), "change": BAR.diff("close"), "f1": ahead(1), "f3": ahead(3)})
     rows = F.array(*[F.struct(F.lit(s).alias("signal"), F.lit(h).alias("horizon"), F.col(s).alias("s"), F.col(f"f{h}").alias("f")) for s in ("deviation", "change") for h in (1, 3)])
     u = x.select("symbol", F.inline(rows)).where("s is not null and f is not null")
-    i = u.groupBy("signal", "horizon", "symbol").agg(F.corr("s", "f").alias("ic"), F.avg((F.signum("s") == F.signum("f")).cast("double")).alias("hit"))
+    i = u.groupBy("signal", "horizon", "symbol").agg(evaluate.correlation("s", "f").alias("ic"), F.avg((F.signum("s") == F.signum("f")).cast("double")).alias("hit"))
     return i.groupBy("signal", "horizon").agg(r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(F.avg("hit")).alias("hit_mean"), F.count_distinct("symbol").alias("symbols"))
 
 

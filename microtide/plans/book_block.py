@@ -120,10 +120,10 @@ def _frame(n: int, least: int, x: str, seen: str) -> str:
 @query(FLOW + f""", x AS (SELECT *, {_frame(12, 4, "sum(ofi)", "ofi")} AS s12, {_frame(6, 2, "sum(ofi)", "ofi")} AS s6, {_frame(18, 6, "sum(ofi)", "ofi")} AS s18, {_frame(18, 6, "var_samp(k5)", "k5")} AS vk, {_frame(18, 6, "var_samp(ret)", "ret")} AS v1 FROM o)
   SELECT symbol, ts, round(sign(s12) * ln(1 + abs(s12)), 6) + 0.0 AS ofi_sum_signed_log, round(sign(s6 / 6 - s18 / 18) * ln(1 + abs(s6 / 6 - s18 / 18)), 6) + 0.0 AS ofi_rate_diff, round({_frame(12, 4, "avg(CASE WHEN ofi != 0 THEN 1.0 WHEN ofi = 0 THEN 0.0 END)", "ofi")}, 6) AS ofi_activity,
     round({_frame(18, 6, "avg(is_observed)", "is_observed")}, 6) AS update_rate, round({_frame(6, 2, "avg(CASE WHEN ret != 0 THEN 1.0 WHEN ret = 0 THEN 0.0 END)", "ret")}, 6) AS price_move_rate, round(queue - lag(queue) OVER ({S}), 6) AS queue_imbalance_delta,
-    round(deep - lag(deep) OVER ({S}), 6) AS depth_imbalance_delta, round(CASE WHEN vk IS NOT NULL AND v1 IS NOT NULL THEN ln(greatest(vk / (5 * v1 + 1e-12), 1e-6)) END, 4) AS log_variance_ratio_5 FROM x""")
+    round(deep - lag(deep) OVER ({S}), 6) AS depth_imbalance_delta, round(CASE WHEN vk IS NOT NULL AND v1 IS NOT NULL THEN ln(greatest(vk / (5 * v1 + 1e-12), 1e-6)) END, 4) + 0.0 AS log_variance_ratio_5 FROM x""")
 def flow_features(spark, d):
     out = book.flow_features(grid(spark, d), GRID, "ts", 6, 12, 18, STEP)
-    out = out.withColumn("log_variance_ratio_5", r("log_variance_ratio_5", 4))
+    out = out.withColumn("log_variance_ratio_5", r("log_variance_ratio_5", 4) + 0.0)
     return shown(out, "ofi_sum_signed_log", "ofi_rate_diff", "ofi_activity", "update_rate", "price_move_rate", "queue_imbalance_delta", "depth_imbalance_delta", "log_variance_ratio_5")
 
 

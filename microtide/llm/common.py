@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +12,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 #: Joins broadcast a side of at most this many (narrow) rows; beyond it they shuffle with salts.
 BROADCAST_ROWS = 20_000
+#: Deletes a plan's shuffle files when it has ended.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def words(text: Column) -> Column:
@@ -24,8 +25,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Beyond ASCII: a character of none of these kinds, which all are their own lower case.
+CASED = r"[^\x00-\x7F\p{Ll}\p{Lo}\p{Mn}\p{P}\p{Sc}\p{Sm}\p{Z}]"
+
+
 def ascii_lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """A-Z in lower case, all else as it is. lower() takes a fifth of translate()'s time, where it does the same."""
+    return F.when(text.rlike(CASED), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,26 +63,29 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it: cuts lineage and survives lost executors."""
+    """Write a table to the shared folder and read it: cuts lineage and survives lost executors.
+
+    The shuffle files of the write go once it has ended, as nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/microtide/{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
 
 
 def release(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing reads any more, and let go of the shuffle files of finished plans.
-
-    Spark deletes a shuffle's files once the driver's garbage collector has found its plan unused.
-    """
-    gc.collect()
+    """Delete materialized tables that nothing reads any more."""
     for t in tables:
         jvm = t.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        jvm.System.gc()
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str], how: str = "left", salts: int = 64, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -35,7 +35,7 @@ THRESHOLD = Fraction(85, 100)
 LEVELS = (1, 2, 4, 8, 16, 32, 64, 256, 1024, 4096)
 SHORT_LEVEL, SHORT_SHARE, LEVEL_SHARE = 64, 0.2, 0.05
 #: A token that more sets meet in is compared by way of a central member.
-STAR = 48
+STAR = 12
 
 
 def shingle_set(w: Column, shingle: int = SHINGLE) -> Column:
@@ -76,7 +76,7 @@ def _prefix_rows(reps: DataFrame) -> DataFrame:
     return shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list("s")).alias("shared"))
 
 
-def _kept(level: int, share: Fraction) -> Column:
+def _kept(level: Column, share: Fraction) -> Column:
     """The tokens at a level for an overlap of ``share`` of the set: the l-prefix's shared tokens without its l - 1 most frequent ones.
 
     Tokens that no other set has are rarer than all shared ones, so of f shared tokens in the
@@ -84,18 +84,22 @@ def _kept(level: int, share: Fraction) -> Column:
     """
     base = F.col("n") - _need(F.col("n"), share) + 1
     inside = F.filter("shared", lambda s: s["rank"] < base + (level - 1))
-    return F.slice(inside, F.lit(1), F.greatest(F.size(inside) - (level - 1), F.lit(0)))
+    # One element, so that the filter runs once.
+    return F.get(F.transform(F.array(inside), lambda x: F.slice(x, F.lit(1), F.greatest(F.size(x) - (level - 1), F.lit(0)))), F.lit(0))
 
 
 def _levels(shared: DataFrame, t: Fraction) -> DataFrame:
     """(cid, n, tokens, central, ask, per): all shared prefix tokens, their mean frequency, the probe of least cost, and the entries per level."""
     least = 2 * t / (1 + t)
     df_sum = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
-    at = lambda make: F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, make(level)) for level in LEVELS]), lambda x: x.isNotNull())
-    per = at(lambda level: F.struct(F.lit(level).alias("level"), F.transform(_kept(level, t), lambda s: s["token"]).alias("kept")))
-    asks = at(lambda level: F.struct(df_sum(_kept(level, least)).alias("cost"), F.lit(level).alias("level"), F.transform(_kept(level, least), lambda s: s["token"]).alias("kept")))
+    token = lambda s: s["token"]
+    at = lambda make: F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, make(F.lit(level))) for level in LEVELS]), lambda x: x.isNotNull())
+    per = at(lambda level: F.struct(level.alias("level"), F.transform(_kept(level, t), token).alias("kept")))
+    costs = at(lambda level: F.struct(df_sum(_kept(level, least)).alias("cost"), level.alias("level")))
     central = df_sum(F.col("shared")) / F.col("n")
-    return shared.select("cid", "n", F.transform("shared", lambda s: s["token"]).alias("tokens"), central.alias("central"), F.get(F.sort_array(asks), F.lit(0)).alias("ask"), per.alias("per"))
+    priced = shared.select("cid", "n", "shared", F.transform("shared", token).alias("tokens"), central.alias("central"), F.array_min(costs)["level"].alias("level"), per.alias("per"))
+    ask = F.struct("level", F.transform(_kept(F.col("level"), least), token).alias("kept"))
+    return priced.select("cid", "n", "tokens", "central", ask.alias("ask"), "per")
 
 
 def _buckets(levels: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -89,8 +89,10 @@ def _kept(level: Column, share: Fraction) -> Column:
 
 
 def _levels(shared: DataFrame, t: Fraction) -> DataFrame:
-    """(cid, n, tokens, central, ask, per): all shared prefix tokens, their mean frequency, the probe of least cost, and the entries per level."""
+    """(cid, n, tokens, central, ask, per) of the sets that may link: all shared prefix tokens, their mean frequency, the probe of least cost, and the entries per level."""
     least = 2 * t / (1 + t)
+    # A set and any that it links to share as many prefix tokens as the smaller one's largest level, and that one has t * n tokens or more.
+    shared = shared.where(F.size("shared") >= _cap(_need(F.col("n"), t)))
     df_sum = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, s: acc + s["df"])
     token = lambda s: s["token"]
     at = lambda make: F.filter(F.array(*[F.when(_cap(F.col("n")) >= level, make(F.lit(level))) for level in LEVELS]), lambda x: x.isNotNull())

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from microtide.llm import decontaminate, html_extract, jaccard, language_id, lm_score, mixing, pii, quality, secrets, token_counts
+from microtide.llm import common, decontaminate, html_extract, jaccard, language_id, lm_score, mixing, pii, quality, secrets, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h string, w string, kind string, n long, start int"
 
@@ -567,3 +567,11 @@ def test_html_on_the_test_pages(spark):
     # Without the element's name and without class names, the slot is found by the text it holds.
     plain = pages.withColumn("html", F.regexp_replace(F.regexp_replace("html", "<article>", "<div>"), "</article>", "</div>"))
     assert sum(r.text == want[r.page_id] for r in html_extract.extract(plain).collect()) >= 0.9 * len(want)
+
+
+def test_ascii_lower_of_every_character(spark):
+    points = spark.range(0x110000).where("id not between 55296 and 57343")
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    plain = F.translate("c", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = points.select(F.concat(F.lit("aB"), c, F.lit("ÄÉ"), c).alias("c")).union(points.select(F.concat(F.lit("Az"), c).alias("c")))
+    assert texts.where(~common.ascii_lower(F.col("c")).eqNullSafe(plain)).count() == 0

@@ -34,6 +34,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(text.rlike(CASED), F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.lower(text))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores after it until no column of ``df`` (in any case) has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

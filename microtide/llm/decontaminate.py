@@ -17,7 +17,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import identity, materialize, table
+from microtide.llm.common import free, identity, materialize, table
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
@@ -109,8 +109,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
     Rows are told apart by doc_id and text: a null or reused doc_id doesn't join or drop others.
     """
-    gone = find(docs.select(identity().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, identity() == F.col("__d"), "left_anti")
+    (d,) = free(docs, "__d")
+    gone = find(docs.select(identity().alias("doc_id"), "text"), benchmark, **settings).select(F.col("doc_id").alias(d)).distinct()
+    return docs.join(gone, identity() == F.col(d), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

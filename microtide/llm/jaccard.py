@@ -27,7 +27,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microtide.llm.common import ascii_lower, identity, materialize, release, table, words
+from microtide.llm.common import ascii_lower, free, identity, materialize, release, table, words
 
 SHINGLE = 4
 THRESHOLD = Fraction(85, 100)
@@ -305,15 +305,16 @@ def distinct(docs: DataFrame, shingle: int = 5, threshold: Fraction = Fraction(4
 
     Rows are told apart by doc_id and text: a reused doc_id goes only with the texts that have a
     copy, null doc_ids come after all others, and of equal rows one stays, the least by all
-    columns. Texts without words stay.
+    columns written as JSON. Texts without words stay.
     """
+    d, gone, row = free(docs, "__d", "__gone", "__row")
     rows = join(docs.select(identity().alias("doc_id"), "text"), shingle, threshold)
-    gone = F.col("component_id") != F.col("doc_id")
-    marks = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias("__d")).agg(F.max(gone).alias("__gone"), F.count(F.lit(1)).alias("__rows"))
-    marks = materialize(marks.where("__gone or __rows > 1").select("__d", "__gone"))
-    marked = docs.join(marks, identity() == F.col("__d"), "left")
-    repeated = marked.where("not __gone").groupBy("__d").agg(F.min(F.struct(*docs.columns)).alias("__row"))
-    return marked.where("__gone is null").select(*docs.columns).unionByName(repeated.select("__row.*"))
+    marks = rows.where("n_shingles > 0").groupBy(F.col("doc_id").alias(d)).agg(F.max(F.col("component_id") != F.col("doc_id")).alias(gone), F.count(F.lit(1)).alias("rows"))
+    marks = materialize(marks.where(F.col(gone) | (F.col("rows") > 1)).select(d, gone))
+    marked = docs.join(marks, identity() == F.col(d), "left")
+    whole = F.struct(*docs.columns)
+    repeated = marked.where(~F.col(gone)).groupBy(d).agg(F.min_by(whole, F.to_json(whole)).alias(row))
+    return marked.where(F.col(gone).isNull()).select(*docs.columns).unionByName(repeated.select(f"{row}.*"))
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

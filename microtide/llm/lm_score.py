@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from microtide.llm.common import materialize, release, table
 
@@ -270,17 +271,12 @@ def score(docs: DataFrame, train: Column | None = None, mode: str = "pretrained"
         needs = paths.select("part", F.explode(shorter).alias("node")).distinct()
         asked = asked.unionByName(needs.join(made, "node").select("part", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "node", "next"))
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    fields = pa.schema([(texts.schema["doc_id"].name, _arrow(kind)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    fields = pa.schema([(texts.schema["doc_id"].name, to_arrow_type(rows.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     groups = texts.select("part", "doc_id", "held_out", "text").groupBy("part").cogroup(asked.groupBy("part"))
     done = materialize(groups.applyInArrow(_scored(total["n"], total["v"], order, mode, fields), out))
     release(texts, seen, words, *([made] if mode != "adaptive" else []))
     return done
 
 
-def _arrow(kind: str) -> pa.DataType:
-    """The Arrow type of an id column."""
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

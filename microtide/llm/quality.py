@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microtide.llm.common import SPACES, lookup_join, materialize, release, table, words
+from microtide.llm.common import SPACES, free, lookup_join, materialize, release, table, words
 
 SYMBOLS = "#*$%&|<>"
 #: Transformed statistics, in units of 1/GRID, clipped to +-LIMIT units.
@@ -223,8 +223,9 @@ def keep(docs: DataFrame, **settings) -> DataFrame:
 
     Rejected rows are found again by doc_id and the hash of text, language and source.
     """
-    gone = judge(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text", "lang", "source") == F.col("__h")), "left_anti")
+    d, h = free(docs, "__d", "__h")
+    gone = judge(docs, **settings).where(~F.col("kept")).select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text", "lang", "source") == F.col(h)), "left_anti")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

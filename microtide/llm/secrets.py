@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from microtide.llm.common import table
+from microtide.llm.common import free, table
 
 # Base kinds, in the order of the contract.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -137,16 +137,18 @@ def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
 def redact(docs: DataFrame, reach: int = REACH, mask: str = MASK) -> DataFrame:
     """``docs`` with every span replaced by ``mask``; where n_chars is a column, it follows the text.
 
-    Texts without a span, nulls among them, pass as they are; all columns and rows are kept.
+    Texts without a span, nulls among them, pass as they are; all columns and rows are kept,
+    repeated ones each; an empty table stays empty.
     """
     found = spans(docs, reach)
     before = Window.partitionBy("doc_id", "h").orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("done", F.coalesce(F.max("end").over(before), F.lit(0))).where(F.col("end") > F.col("done"))
     cut = F.struct(F.greatest("start", "done").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
-    cuts = found.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_list(cut)).alias("__cuts"))
+    d, h, k = free(docs, "__d", "__h", "__cuts")
+    cuts = found.groupBy(F.col("doc_id").alias(d), F.col("h").alias(h)).agg(F.sort_array(F.collect_list(cut)).alias(k))
     hit = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    some = docs.where(hit).join(cuts, F.col("doc_id").eqNullSafe(F.col("__d")) & (_text_key() == F.col("__h")), "left")
-    c = F.col("__cuts")
+    some = docs.where(hit).join(cuts, F.col("doc_id").eqNullSafe(F.col(d)) & (_text_key() == F.col(h)), "left")
+    c = F.col(k)
     ends = F.concat(F.array(F.lit(0)), F.transform(c, lambda s: s["end"]))
     kept = F.transform(c, lambda s, i: F.concat(F.substring(F.col("text"), F.get(ends, i) + 1, s["start"] - F.get(ends, i)), F.lit(mask)))
     rest = F.substring(F.col("text"), F.element_at(ends, -1) + 1, F.length("text"))

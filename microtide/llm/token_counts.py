@@ -81,18 +81,23 @@ class Rollup:
         return sorted(n[6:] for n in names if n.startswith("batch=") and self._has(n))
 
     def _snapshots(self) -> list[str]:
+        """Folders of finished snapshots in the order of their making, which is the number in their names."""
         if not self._files.exists(self._root):
             return []
         names = [s.getPath().getName() for s in self._files.listStatus(self._root)]
-        return sorted(n for n in names if n.startswith("snapshot=") and self._has(n))
+        return sorted((n for n in names if n.startswith("snapshot=") and self._has(n)), key=lambda n: int(n[9:].split("-")[0]))
 
-    def _folded(self, batch: str) -> bool:
+    def _folded(self, batches: list[str]) -> set[str]:
+        """Those of ``batches`` that the last snapshot holds."""
         last = self._snapshots()[-1:]
-        return bool(last) and self.spark.read.parquet(f"{self.path}/{last[0]}/batches").where(F.col("batch") == batch).limit(1).count() > 0
+        if not last or not batches:
+            return set()
+        asked = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        return {r["batch"] for r in asked.join(self.spark.read.parquet(f"{self.path}/{last[0]}/batches"), "batch", "left_semi").collect()}
 
     def apply(self, batch: str, delta: DataFrame) -> bool:
         """Commit a batch of change rows; False if that id was committed before."""
-        if self._has(f"batch={batch}") or self._folded(batch):
+        if self._has(f"batch={batch}") or self._folded([batch]):
             return False
         sums = delta.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.repartition(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
@@ -100,24 +105,31 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens); groups that have no document left are gone."""
-        parts = [f"{self.path}/batch={b}" for b in self.committed() if not self._folded(b)] + [f"{self.path}/{s}/totals" for s in self._snapshots()[-1:]]
+        live = self.committed()
+        folded = self._folded(live)
+        parts = [f"{self.path}/batch={b}" for b in live if b not in folded] + [f"{self.path}/{s}/totals" for s in self._snapshots()[-1:]]
         if not parts:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, docs long, tokens long")
         rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*parts).select(*KEYS, "docs", "tokens")
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
 
     def compact(self, name: str) -> None:
-        """Fold all committed batches into a snapshot, whose mark is written last."""
-        ids, folder = self.committed(), f"{self.path}/snapshot={name}"
-        old = [self.spark.read.parquet(f"{self.path}/{s}/batches") for s in self._snapshots()[-1:]]
-        self.totals().repartition(1).write.parquet(f"{folder}/totals")
+        """Fold all committed batches into a snapshot, whose mark is written last.
+
+        Snapshots are numbered; the name is only a label. A compaction that broke off left no mark
+        and is made anew; one that broke off after its mark left folders that this one deletes.
+        """
+        ids, made = self.committed(), self._snapshots()
+        number = int(made[-1][9:].split("-")[0]) + 1 if made else 1
+        folder = f"{self.path}/snapshot={number:012d}-{name}"
+        self.totals().repartition(1).write.mode("overwrite").parquet(f"{folder}/totals")
         names = self.spark.createDataFrame([(b,) for b in ids], "batch string")
-        for o in old:
-            names = names.union(o).distinct()
-        names.coalesce(1).write.parquet(f"{folder}/batches")
+        for s in made[-1:]:
+            names = names.union(self.spark.read.parquet(f"{self.path}/{s}/batches")).distinct()
+        names.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batches")
         self._files.create(self._fs.Path(f"{folder}/_SUCCESS")).close()
-        for b in ids:
-            self._files.delete(self._fs.Path(f"{self.path}/batch={b}"), True)
+        for old in [*(f"batch={b}" for b in ids), *made[:-1]]:
+            self._files.delete(self._fs.Path(f"{self.path}/{old}"), True)
 
 
 def counted(docs: DataFrame, tokenizers: dict) -> DataFrame:

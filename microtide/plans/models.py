@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from microtide.operators import bars, regimes, simulate
 from microtide.operators.windows import Series
-from microtide.plans.market import BAR, HOURLY, TICK, fills, hourly, r, ticks
-from microtide.plans.market import T as TICKS
+from microtide.plans.market import BAR, TICK, fills, hourly, r, ticks
 from microtide.plans.registry import query
-from microtide.streaming.bars import stream_bars
 
 
 def _daily(spark, d):
@@ -88,21 +83,6 @@ def ridge_baseline(spark, d):
     return spark.createDataFrame([(float(model.summary.rootMeanSquaredError), float(model.summary.r2))], "rmse double, r2 double")
 
 
-@query(TICKS + HOURLY + " SELECT symbol, bar_ts, open, high, low, close, volume, tick_count FROM b")
-def stream_replay_bars(spark, d):
-    """The event table read as a stream; its bars, once all is read, are those of the batch query."""
-    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    t = source.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("at"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/microtide-stream"
-    path = f"{shared.rstrip('/')}/microtide/stream-{uuid.uuid4().hex}"
-    made = stream_bars(t.where("price > 0"), "symbol", "at", "price", "qty", "1 hour")
-    q = made.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    out = spark.read.parquet(f"{path}/out")
-    return out.select("symbol", F.unix_seconds("bar_start").alias("bar_ts"), "open", "high", "low", "close", "volume", "tick_count")
-
-
 @query()
 def autocorrelation_profile(spark, d):
     t = ticks(spark, d).withColumn("x", F.col("price") - TICK.lag("price"))

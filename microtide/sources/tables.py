@@ -123,3 +123,13 @@ def parse_fundamentals(raw: DataFrame, column: str = "json") -> DataFrame:
     r = raw.select(F.from_json(column, schema).alias("j")).select("j.symbol", "j.columns", F.explode("j.rows").alias("r"))
     cells = r.select("symbol", F.col("r.name").alias("item"), F.explode(F.arrays_zip(F.col("columns").alias("period"), F.col("r.cells").alias("cell"))).alias("z"))
     return cells.select("symbol", "item", "z.period", F.expr("try_cast(regexp_replace(z.cell, '[,%]', '') AS double)").alias("value"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master, one beside the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and spark.sparkContext._jsc.sc().isLocal():
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/microtide-scratch"
+    if not found:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found.rstrip("/")

@@ -6,10 +6,11 @@ symbol unseen in a context escapes to the next shorter one with the probability
 excluded. The trie has no fixed bound, so it stays a table, keyed by context:
 
 1. texts are dealt into parts of about PART_BYTES bytes, in the order they are read;
-2. every part gives its distinct words and paths (context and symbol) with their training counts;
+2. every part gives its distinct words and paths (context and symbol) with their training counts,
+   and the nodes that its texts need;
 3. these add up to word counts and, over all shorter contexts, to the trie;
-4. a part's words and contexts, each once, are joined with them by shuffle (shorter contexts only
-   where they can be escaped to: for texts that weren't learned from);
+4. a part's words and nodes, each once, are joined with them by shuffle (nodes of shorter contexts
+   only where they can be escaped to: for texts that weren't learned from);
 5. a part's texts meet its own piece of the model and are scored, with arrays for what was seen.
 """
 
@@ -33,7 +34,7 @@ from microtide.llm.common import materialize, release, table
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text's first byte, and the symbol after its last.
 PAD, END = 0xFE, 0xFF
-PART_BYTES, CHUNK = 8 << 20, 2 << 20
+PART_BYTES, CHUNK = 32 << 20, 2 << 20
 #: A node is its order in the top byte and its context's bytes below.
 TOP = 56
 
@@ -85,8 +86,11 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _seen(order: int) -> object:
-    """Per part: its distinct paths and words, their training counts, and whether a text that isn't learned from has them."""
-    schema = pa.schema([("part", pa.int64()), ("path", pa.int64()), ("word", pa.binary()), ("c", pa.int64()), ("other", pa.bool_())])
+    """Per part its distinct training paths with their counts, its words with theirs, and the nodes it needs; each row has one of the three."""
+    schema = pa.schema([("part", pa.int64()), ("path", pa.int64()), ("word", pa.binary()), ("node", pa.int64()), ("c", pa.int64())])
+
+    def of_part(part, n, **columns) -> pa.RecordBatch:
+        return pa.record_batch([np.full(n, part), *[columns.get(f.name, pa.nulls(n, f.type)) for f in list(schema)[1:]]], schema=schema)
 
     def rows(part, of: dict[bool, list]) -> Iterator[pa.RecordBatch]:
         words: dict[bool, Counter] = {}
@@ -102,12 +106,14 @@ def _seen(order: int) -> object:
             paths[learn] = _added(keys, counts)
         none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         learned, other = paths.get(True, none), paths.get(False, none)
-        k, c = _added([learned[0], other[0]], [learned[1], np.zeros(len(other[0]), np.int64)])
-        yield pa.record_batch([np.full(len(k), part), k, pa.nulls(len(k), pa.binary()), c, np.isin(k, other[0])], schema=schema)
+        yield of_part(part, len(learned[0]), path=learned[0], c=learned[1])
+        nodes = [np.unique(np.concatenate([learned[0], other[0]]) >> 8) | order << TOP]
+        nodes += [np.unique(other[0] >> 8 & ((1 << 8 * k) - 1)) | k << TOP for k in range(order)]
+        for n in nodes:
+            yield of_part(part, len(n), node=n)
         known = words.get(True, Counter())
         all_words = list(known.keys() | words.get(False, Counter()).keys())
-        c = [known.get(w, 0) for w in all_words]
-        yield pa.record_batch([np.full(len(c), part), pa.nulls(len(c), pa.int64()), pa.array(all_words, pa.binary()), c, np.zeros(len(c), bool)], schema=schema)
+        yield of_part(part, len(all_words), word=pa.array(all_words, pa.binary()), c=np.array([known.get(w, 0) for w in all_words], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, of = None, {}
@@ -259,16 +265,13 @@ def score(docs: DataFrame, train: Column | None = None, mode: str = "pretrained"
     rows = docs.select("doc_id", held.alias("held_out"), learn.alias("learn"), F.coalesce("text", F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     texts = materialize(rows.mapInArrow(_dealt, f"doc_id {kind}, held_out boolean, learn boolean, text string, part long"))
-    seen = materialize(texts.select("part", "learn", "text").mapInArrow(_seen(order), "part long, path long, word binary, c long, other boolean"))
+    seen = materialize(texts.select("part", "learn", "text").mapInArrow(_seen(order), "part long, path long, word binary, node long, c long"))
     words = materialize(seen.where("word is not null and c > 0").groupBy("word").agg(F.sum("c").alias("c")))
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     asked = seen.where("word is not null").select("part", "word").join(words, "word").select("part", "word", "c", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<long>").alias("next"))
     if mode != "adaptive":
-        paths = seen.where("path is not null")
-        made = materialize(trie(paths.where("c > 0").groupBy("path").agg(F.sum("c").alias("c")), order))
-        node = lambda k: (F.shiftright("path", 8).bitwiseAND(F.lit((1 << 8 * k) - 1))).bitwiseOR(F.lit(k << TOP))
-        shorter = F.when(F.col("other"), F.array(*[node(k) for k in range(order + 1)])).otherwise(F.array(node(order)))
-        needs = paths.select("part", F.explode(shorter).alias("node")).distinct()
+        made = materialize(trie(seen.where("path is not null").groupBy("path").agg(F.sum("c").alias("c")), order))
+        needs = seen.where("node is not null").select("part", "node")
         asked = asked.unionByName(needs.join(made, "node").select("part", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "node", "next"))
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     fields = pa.schema([(texts.schema["doc_id"].name, to_arrow_type(rows.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

@@ -81,8 +81,44 @@ def _paths(texts: list[bytes], order: int) -> np.ndarray:
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return k, np.bincount(at, np.concatenate(counts), len(k)).astype(np.int64)
+    """Distinct keys of several sorted lists, in order, with the sums of their counts."""
+    k = np.unique(np.concatenate(keys))
+    total = np.zeros(len(k), np.int64)
+    for some, c in zip(keys, counts, strict=True):
+        total[np.searchsorted(k, some)] += c
+    return k, total
+
+
+class Places:
+    """Where distinct integers stand, by open addressing: a lookup is a few array reads, whatever their number."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, math.ceil(math.log2(max(1, len(keys)) * 2.5)))
+        self.last = (1 << self.bits) - 1
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        at, left = self._start(keys), np.arange(len(keys), dtype=np.int32)
+        while len(left):
+            open_ = left[self.slots[at[left]] < 0]
+            self.slots[at[open_]] = open_
+            left = left[self.slots[at[left]] != left]
+            at[left] = at[left] + 1 & self.last
+
+    def _start(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it isn't there."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        at = self._start(keys)
+        out = self.slots[at]
+        other = np.flatnonzero((self.keys[out] != keys) & (out >= 0))
+        while len(other):
+            at[other] = at[other] + 1 & self.last
+            out[other] = self.slots[at[other]]
+            other = other[(self.keys[out[other]] != keys[other]) & (out[other] >= 0)]
+        return out
 
 
 def _seen(order: int) -> object:
@@ -154,8 +190,7 @@ class Model:
         total = np.bincount(of, self.counts, len(nodes)) + sizes
         long = (nodes >> TOP)[of] == order
         keys = ((nodes[of] & ((1 << TOP) - 1)) << 8 | self.symbols)[long]
-        sort = np.argsort(keys)
-        self.keys, self.log_p = keys[sort], np.log10(self.counts[long] / total[of[long]])[sort]
+        self.places, self.log_p = Places(keys), np.log10(self.counts[long] / total[of[long]])
         self.escaped: dict[int, float] = {}
 
     def _escape(self, path: int) -> float:
@@ -184,10 +219,10 @@ class Model:
         out: list[float] = []
         for a, b in _chunks(texts):
             paths = _paths(texts[a:b], self.order)
-            at = np.minimum(np.searchsorted(self.keys, paths), max(len(self.keys) - 1, 0))
-            hit = self.keys[at] == paths if len(self.keys) else np.zeros(len(paths), bool)
-            got = np.where(hit, self.log_p[at] if len(self.keys) else 0.0, 0.0)
-            missed = np.flatnonzero(~hit & ((paths & 255) != PAD))
+            at = self.places.find(paths)
+            got = self.log_p[at] if len(self.log_p) else np.zeros(len(paths))
+            got[at < 0] = 0.0
+            missed = np.flatnonzero((at < 0) & ((paths & 255) != PAD))
             for key in np.unique(paths[missed]).tolist():
                 if key not in self.escaped:
                     self.escaped[key] = self._escape(key)

@@ -55,12 +55,14 @@ def rolling_features(bars: DataFrame, keys: list[str], ts: str = "bar_ts", n: in
 
 def regularize(bars: DataFrame, keys: list[str], ts: str, step: int, state: list[str], flow: list[str]) -> DataFrame:
     """Every ``step`` from a key's first to its last bar: state columns carried forward, flow columns zero where nothing was."""
-    span = bars.groupBy(*keys).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
-    grid = span.select(*keys, F.explode(F.sequence("__a", "__b", F.lit(step).cast("long"))).alias(ts))
-    joined = grid.join(bars.select(*keys, ts, *state, *flow, F.lit(1).alias("is_observed")), [*keys, ts], "left")
     s = Series(keys, ts)
-    filled = {c: s.ffill(c) for c in state} | {c: F.coalesce(F.col(c), F.lit(0)) for c in flow} | {"is_observed": F.coalesce("is_observed", F.lit(0))}
-    return joined.withColumns(filled)
+    # Each bar is repeated up to the next one: one shuffle by key, no grid to join.
+    until = F.greatest(F.col(ts), F.coalesce(s.lead(ts) - step, F.col(ts)))
+    long = bars.select(*keys, ts, *state, *flow).withColumn("__until", until)
+    long = long.withColumn("__t", F.explode(F.sequence(F.col(ts), F.col("__until"), F.lit(step).cast("long"))))
+    seen = F.col("__t") == F.col(ts)
+    long = long.select(*keys, F.col("__t").alias(ts), *state, *[F.when(seen, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).alias(c) for c in flow], seen.cast("int").alias("is_observed"))
+    return long.withColumns({c: s.ffill(c) for c in state})
 
 
 def coverage(ticks: DataFrame, keys: list[str], bucket: Column, expected: int) -> DataFrame:

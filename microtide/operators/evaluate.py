@@ -11,24 +11,29 @@ def forward_return(x: str, h: int, keys: list[str], order: str, log: bool = Fals
     return F.log(ahead / F.col(x)) if log else ahead / F.nullif(F.col(x), F.lit(0.0)) - 1
 
 
-def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: float, down: float, horizon: int) -> DataFrame:
+def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: float, down: float, horizon: int, whole: bool = True) -> DataFrame:
     """First touch of +up or -down within ``horizon`` seconds: label 1, -1 or 0, and the time of the touch.
 
+    ``keys`` name a session (symbol and day): no bar of another one counts. With ``whole``, a row
+    whose session has no bar exactly ``horizon`` seconds ahead has a null label and touch, as has
+    a row without a positive price or any bar ahead; bars without one don't touch.
+
     Each bar meets the bars of its own and the following bin of ``horizon`` seconds, an equi-join
     that shuffles by (keys, bin), so a symbol of any length spreads over tasks; hits are reduced
     by two conditional minima.
     """
-    b = bars.select(*keys, ts, F.col(price).alias("__p0")).withColumn("__bin", F.floor(F.col(ts) / horizon))
+    b = bars.where(F.col(price) > 0).select(*keys, ts, F.col(price).alias("__p0")).withColumn("__bin", F.floor(F.col(ts) / horizon))
     ahead = bars.select(*keys, F.col(ts).alias("__t"), F.col(price).alias("__p1")).withColumn("__bin", F.explode(F.array(F.floor(F.col("__t") / horizon), F.floor(F.col("__t") / horizon) - 1)))
     near = (F.col("__t") > F.col(ts)) & (F.col("__t") <= F.col(ts) + horizon)
     met = b.join(ahead, [*keys, "__bin"]).where(near)
-    ret = F.col("__p1") / F.col("__p0") - 1
-    hits = met.groupBy(*keys, ts).agg(F.min(F.when(ret >= up, F.col("__t"))).alias("__u"), F.min(F.when(ret <= -down, F.col("__t"))).alias("__d"))
+    ret = F.when(F.col("__p1") > 0, F.col("__p1") / F.col("__p0") - 1)
+    hits = met.groupBy(*keys, ts).agg(F.min(F.when(ret >= up, F.col("__t"))).alias("__u"), F.min(F.when(ret <= -down, F.col("__t"))).alias("__d"), F.max(F.when(F.col("__p1") > 0, F.col("__t"))).alias("__any"), F.max("__t").alias("__last"))
     far = F.lit(1 << 62)
     u, d = F.coalesce("__u", far), F.coalesce("__d", far)
     label = F.when(u < d, 1).when(d < u, -1).otherwise(0)
     out = bars.select(*keys, ts).join(hits, [*keys, ts], "left")
-    return out.select(*keys, ts, label.alias("label"), F.when(u != d, F.least(u, d)).alias("touch_ts"))
+    known = F.col("__any").isNotNull() & (F.col("__last") == F.col(ts) + horizon if whole else F.lit(True))
+    return out.select(*keys, ts, F.when(known, label).alias("label"), F.when(known & (u != d), F.least(u, d)).alias("touch_ts"))
 
 
 def correlation(x: str, y: str) -> Column:
@@ -53,6 +58,13 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return rows.groupBy(*keys).agg(correlation("__rx", "__ry").alias("ic"), F.avg(hit).alias("hit_rate"), F.count(F.lit(1)).alias("n"))
 
 
+def chunked_ic(df: DataFrame, keys: list[str], order: str, x: str, y: str, rows: int = 300) -> DataFrame:
+    """(keys, chunk, ic): rank correlation in blocks of ``rows`` rows that follow each other; a session's rest is left out."""
+    s = Window.partitionBy(*keys)
+    cut = df.withColumns({"chunk": F.floor((F.row_number().over(s.orderBy(order)) - 1) / rows), "__n": F.count(F.lit(1)).over(s)}).where((F.col("chunk") + 1) * rows <= F.col("__n"))
+    return spearman(cut, [*keys, "chunk"], x, y).select(*keys, "chunk", "ic")
+
+
 def walk_forward(daily: DataFrame, keys: list[str], day: str, score: str, value: str) -> DataFrame:
     """Per day the key with the best mean score over all earlier days, and its value that day."""
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], tolerance: int | None = None, prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], tolerance: int | None = None, prefix: str = "r_", bucket: int | None = None) -> DataFrame:
     """Each left row with the last right row at or before it.
 
     One union and one window instead of a range join: rows of both sides are sorted together by
     key and time, right ones first at equal times, and the right values carried forward. Cost is
     one shuffle by key and one sort, whatever the number of matches. Equal right times: the
-    greatest values win.
+    greatest values win. With ``bucket`` (in units of ts) windows are over a key's bucket of time,
+    and the last value of each bucket is carried into those after it: a hot key is as many tasks
+    as it has buckets, and only one row per bucket is sorted by key alone.
     """
     payload = F.struct(F.col(ts).alias("t"), *values)
     rhs = right.groupBy(*keys, ts).agg(F.max(F.struct(*values)).alias("v")).select(*keys, ts, *[F.col(f"v.{c}").alias(c) for c in values])
     a = left.select(*keys, ts, F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(rhs.select(payload.alias("p")).schema["p"].dataType).alias("__p"))
     b = rhs.select(*keys, ts, F.lit(0).alias("__side"), F.lit(None).cast(a.schema["__row"].dataType).alias("__row"), payload.alias("__p"))
-    w = Window.partitionBy(*keys).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b).withColumn("__last", F.last("__p", ignorenulls=True).over(w)).where("__side = 1")
+    both, by = a.unionByName(b), list(keys)
+    if bucket is not None:
+        both, by = both.withColumn("__bucket", F.floor(F.col(ts) / bucket)), [*keys, "__bucket"]
+    w = Window.partitionBy(*by).orderBy(ts, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    last = both.withColumn("__last", F.last("__p", ignorenulls=True).over(w)).where("__side = 1")
+    if bucket is not None:
+        ends = both.groupBy(*by).agg(F.max("__p").alias("__p"))  # t comes first in it
+        before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+        names = [f"__k{i}" for i in range(len(by))]
+        carried = ends.withColumn("__carry", F.last("__p", ignorenulls=True).over(before)).select(*[F.col(k).alias(n) for k, n in zip(by, names)], "__carry")
+        last = last.join(carried, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names)], "left").withColumn("__last", F.coalesce("__last", "__carry"))
     ok = F.lit(True) if tolerance is None else F.col(ts) - F.col("__last.t") <= tolerance
-    return both.select("__row.*", F.when(ok, F.col("__last.t")).alias(f"{prefix}{ts}"), *[F.when(ok, F.col(f"__last.{c}")).alias(f"{prefix}{c}") for c in values])
+    return last.select("__row.*", F.when(ok, F.col("__last.t")).alias(f"{prefix}{ts}"), *[F.when(ok, F.col(f"__last.{c}")).alias(f"{prefix}{c}") for c in values])
 
 
 def exact_offset_join(df: DataFrame, keys: list[str], ts: str, value: str, offset: int, out: str) -> DataFrame:

@@ -104,6 +104,24 @@ def rolling_sums(df: DataFrame, s: Series, sums: dict[str, Column], n: int) -> D
     return df.drop(*[f"__r_{k}" for k in sums])
 
 
+def rolling_stats(df: DataFrame, s: Series, x: str, ns: Sequence[int], ddof: int = 1) -> DataFrame:
+    """Adds x_n<n>, x_mean<n> and x_std<n> of the last n rows for every n, all from one set of running sums.
+
+    Sums are taken about the session's first value, so that little is lost to cancellation.
+    Deviations need more than ``ddof`` values; nulls are left out.
+    """
+    base = F.first(x, ignorenulls=True).over(s.so_far())
+    df = df.withColumn("__base", base).withColumn("__c", F.col(x) - F.col("__base"))
+    one = {"n": F.when(F.col("__c").isNotNull(), 1.0).otherwise(0.0), "s": F.coalesce("__c", F.lit(0.0)), "q": F.coalesce(F.col("__c") * F.col("__c"), F.lit(0.0))}
+    df = df.withColumns({f"__r{k}": F.sum(v).over(s.so_far()) for k, v in one.items()})
+    for n in ns:
+        df = df.withColumns({f"__{k}": F.col(f"__r{k}") - F.coalesce(s.lag(f"__r{k}", n), F.lit(0.0)) for k in one})
+        count = F.nullif(F.col("__n"), F.lit(0.0))
+        spread = F.greatest(F.lit(0.0), F.col("__q") - F.col("__s") * F.col("__s") / count)
+        df = df.withColumns({f"{x}_n{n}": F.col("__n"), f"{x}_mean{n}": F.col("__base") + F.col("__s") / count, f"{x}_std{n}": F.when(F.col("__n") > ddof, F.sqrt(spread / (F.col("__n") - ddof)))})
+    return df.drop("__base", "__c", "__rn", "__rs", "__rq", "__n", "__s", "__q")
+
+
 def rolling_ar(df: DataFrame, s: Series, x: str, n: int, p: int = 5, min_periods: int | None = None, out: str = "phi") -> DataFrame:
     """Coefficients out1..outp of x on a constant and its last p values over the last n rows of the session.
 

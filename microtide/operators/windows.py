@@ -161,14 +161,28 @@ def warm_mean(s: Series, x: str, n: int = 300) -> Column:
     return F.when(F.row_number().over(s.w) <= n, F.col(x)).otherwise(s.rolling("avg", x, n))
 
 
-def variance_regime(df: DataFrame, s: Series, x: str, n: int = 300, lag: int = 10) -> DataFrame:
-    """``regime`` by the ratio of lag-row to one-row return variance inside the n rows before the current one."""
-    ret = lambda k: F.col(x) / F.nullif(s.lag(x, k), F.lit(0.0)) - 1
+def variance_regime(df: DataFrame, s: Series, x: str, n: int = 300, lag: int = 10, vol: str | None = None, calm: str | None = None) -> DataFrame:
+    """``regime`` by the ratio of lag-row to one-row return variance inside the n rows before the current one.
+
+    VOLATILE goes first, where the columns are given: the mean of ``vol`` over those rows is above
+    1.5 times ``calm``, which is one value per session (its 75th percentile of vol).
+    """
+    from microtide.operators.regression import rolling_sums
+
+    # The row before the current one ends the frame: what is summed is lagged by one.
+    one = s.lag(x)
+    ret = lambda k: one / F.nullif(s.lag(x, k + 1), F.lit(0.0)) - 1
     df = df.withColumns({"__i": F.row_number().over(s.w), "__r1": ret(1), "__rk": ret(lag)})
-    vr = F.var_samp("__rk").over(s.rows(n - lag, 1)) / F.nullif(lag * F.var_samp("__r1").over(s.rows(n - 1, 1)), F.lit(0.0))
-    df = df.withColumn("__vr", vr)
-    name = F.when(F.col("__i") <= n, "CHOPPY").when(F.col("__vr") < 0.85, "MEAN_REVERTING").when(F.col("__vr") > 1.15, "TRENDING").otherwise("CHOPPY")
-    return df.withColumn("regime", name).drop("__i", "__r1", "__rk", "__vr")
+    made = lambda c: {f"{c}n": F.when(F.col(c).isNotNull(), 1.0), f"{c}s": F.col(c), f"{c}q": F.col(c) * F.col(c)}
+    df = rolling_sums(rolling_sums(df, s, made("__r1"), n - 1), s, made("__rk"), n - lag)
+    var = lambda c: (F.col(f"{c}q") - F.col(f"{c}s") * F.col(f"{c}s") / F.nullif(F.col(f"{c}n"), F.lit(0.0))) / F.nullif(F.col(f"{c}n") - 1, F.lit(0.0))
+    v1 = var("__r1")
+    df = df.withColumn("__vr", var("__rk") / F.when(v1 > 1e-20, lag * v1))
+    df = df.withColumn("__vol", s.lag(vol) if vol else F.lit(None).cast("double"))
+    df = rolling_sums(df, s, {"__vols": F.col("__vol"), "__voln": F.when(F.col("__vol").isNotNull(), 1.0)}, n)
+    df = df.withColumn("__wild", F.coalesce(F.col("__vols") / F.nullif(F.col("__voln"), F.lit(0.0)) > 1.5 * F.col(calm), F.lit(False)) if vol else F.lit(False))
+    name = F.when(F.col("__i") <= n, "CHOPPY").when(F.col("__wild"), "VOLATILE").when(F.col("__vr") < 0.85, "MEAN_REVERTING").when(F.col("__vr") > 1.15, "TRENDING").otherwise("CHOPPY")
+    return df.withColumn("regime", name).drop("__i", "__r1", "__rk", "__vr", "__wild", "__vol", "__vols", "__voln", *made("__r1"), *made("__rk"))
 
 
 def slope(s: Series, x: str, y: str, n: int, min_periods: int) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from microtide.functions import scalar
 from microtide.operators import evaluate, joins, windows
-from microtide.plans.market import BAR, HOURLY, IC, RET, T, TICK, W, _returns, _signals, hourly, r, ticks
+from microtide.operators.quantiles import exact_quantiles
+from microtide.plans.market import BAR, HOURLY, IC, RET, T, TICK, TOUCH, W, _returns, _signals, hourly, r, ticks
 from microtide.plans.reference_data import BOOK, book
 from microtide.plans.registry import query
 from microtide.sources.tables import driver_table
@@ -89,20 +90,6 @@ def realized_vol_ratio(spark, d):
     return t.select("event_id", r(F.log1p("b"), 7).alias("log_rv_300"), r(F.col("a") / (F.col("b") + 1e-12), 7).alias("rv_ratio_60_300"))
 
 
-@query(T + f""", v AS (SELECT *, row_number() OVER ({W}) AS n, stddev_samp(price) OVER ({W} ROWS 9 PRECEDING) AS s FROM t)
-  SELECT event_id, round(CASE WHEN n <= 30 THEN s ELSE avg(s) OVER ({W} ROWS 29 PRECEDING) END, 6) AS sigma FROM v""")
-def smoothed_sigma(spark, d):
-    v = ticks(spark, d).withColumn("s", TICK.rolling("stddev_samp", "price", 10))
-    return v.select("event_id", r(windows.warm_mean(TICK, "s", 30)).alias("sigma"))
-
-
-@query(T + f""", p AS (SELECT * FROM t WHERE price > 0), d AS (SELECT *, row_number() OVER o AS i, price / lag(price) OVER o - 1 AS r1, price / lag(price, 10) OVER o - 1 AS r10 FROM p WINDOW o AS ({W})),
-  v AS (SELECT event_id, i, var_samp(r10) OVER ({W} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) / nullif(10 * var_samp(r1) OVER ({W} ROWS BETWEEN 39 PRECEDING AND 1 PRECEDING), 0) AS vr FROM d)
-  SELECT event_id, CASE WHEN i <= 40 THEN 'CHOPPY' WHEN vr < 0.85 THEN 'MEAN_REVERTING' WHEN vr > 1.15 THEN 'TRENDING' ELSE 'CHOPPY' END AS regime FROM v""")
-def variance_regime(spark, d):
-    return windows.variance_regime(ticks(spark, d).where("price > 0"), TICK, "price", 40).select("event_id", "regime")
-
-
 @query(T + HOURLY + """, f AS (SELECT symbol, bar_ts, lead(close, 6) OVER (PARTITION BY symbol, day ORDER BY bar_ts) / close - 1 AS fwd FROM b) SELECT symbol, bar_ts, CASE WHEN fwd > 0.1 THEN 1 WHEN fwd < -0.1 THEN -1 ELSE 0 END AS label FROM f""")
 def three_class_label(spark, d):
     fwd = BAR.lead("close", 6) / F.col("close") - 1
@@ -117,13 +104,13 @@ def forward_variance(spark, d):
     return t.select("symbol", "bar_ts", F.when(BAR.lead("bar_ts", 6) - F.col("bar_ts") == 21_600, r(fv)).alias("forward_variance"))
 
 
-@query(IC + """, m AS (SELECT symbol, quantile_cont(abs(sig), 0.5) AS q FROM v GROUP BY 1) SELECT v.symbol, CASE WHEN abs(sig) > q THEN 'high' ELSE 'low' END AS regime, count(*) AS n, round(CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END, 6) AS ic, round(avg(sign(sig) * fwd) / nullif(stddev_samp(sign(sig) * fwd), 0) * sqrt(252), 5) AS sharpe FROM v JOIN m ON v.symbol = m.symbol GROUP BY 1, 2""")
+@query(IC + """, m AS (SELECT symbol, quantile_cont(abs(sig), 0.5) AS q FROM v GROUP BY 1) SELECT v.symbol, CASE WHEN abs(sig) > q THEN 'high' ELSE 'low' END AS regime, count(*) AS n, round(CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END, 6) AS ic, round(avg(sign(sig) * fwd) / nullif(stddev_samp(sign(sig) * fwd), 0) * sqrt(252 * 23400), 3) AS sharpe FROM v JOIN m ON v.symbol = m.symbol GROUP BY 1, 2""")
 def regime_ic(spark, d):
     v = _signals(spark, d)
-    m = v.groupBy("symbol").agg(F.percentile(F.abs("sig"), 0.5).alias("q"))
+    m = exact_quantiles(v.withColumn("size", F.abs("sig")), ["symbol"], "size", [0.5], ["q"])
     g = F.signum("sig") * F.col("fwd")
     out = v.join(m, "symbol").groupBy("symbol", F.when(F.abs("sig") > F.col("q"), "high").otherwise("low").alias("regime"))
-    return out.agg(F.count(F.lit(1)).alias("n"), r(evaluate.correlation("sig", "fwd")).alias("ic"), r(F.avg(g) / F.nullif(F.stddev_samp(g), F.lit(0.0)) * (252**0.5), 5).alias("sharpe"))
+    return out.agg(F.count(F.lit(1)).alias("n"), r(evaluate.correlation("sig", "fwd")).alias("ic"), r(F.avg(g) / F.nullif(F.stddev_samp(g), F.lit(0.0)) * ((252 * 23_400) ** 0.5), 3).alias("sharpe"))
 
 
 @query(IC + """, dd AS (SELECT symbol, dayno, CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END AS ic FROM v GROUP BY 1, 2 HAVING count(*) >= 10) SELECT symbol, count(*) AS days, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(min(ic), 6) AS ic_min, round(max(ic), 6) AS ic_max FROM dd GROUP BY 1""")
@@ -217,9 +204,9 @@ def confident_accuracy(spark, d):
     return g.groupBy("symbol").agg(r(F.avg("take")).alias("signal_rate"), r(F.avg(hit)).alias("confident_accuracy"), r(F.sqrt(F.avg(F.col("gain") * F.col("gain")))).alias("rmse"))
 
 
-@query(T + HOURLY + """, l AS (SELECT *, CAST(bar_ts // 86400 AS BIGINT) AS dayno FROM b), h AS (SELECT a.symbol, a.bar_ts, a.dayno, min(CASE WHEN z.close / a.close - 1 >= 0.5 THEN z.bar_ts END) AS u, min(CASE WHEN z.close / a.close - 1 <= -0.5 THEN z.bar_ts END) AS d FROM l a LEFT JOIN l z ON a.symbol = z.symbol AND z.bar_ts > a.bar_ts AND z.bar_ts <= a.bar_ts + 21600 GROUP BY 1, 2, 3),
-  y AS (SELECT symbol, CASE WHEN u < coalesce(d, 4611686018427387904) THEN 1 WHEN d < coalesce(u, 4611686018427387904) THEN -1 ELSE 0 END AS label FROM h) SELECT symbol, count(*) AS n, round(avg(CASE WHEN label = 1 THEN 1.0 ELSE 0 END), 6) AS up_share, round(avg(CASE WHEN label = -1 THEN 1.0 ELSE 0 END), 6) AS down_share FROM y GROUP BY 1""")
+@query(T + HOURLY + TOUCH.format(h=21600) + " SELECT symbol, count(label) AS n, round(avg(CASE WHEN label IS NOT NULL THEN CASE WHEN label = 1 THEN 1.0 ELSE 0 END END), 6) AS up_share, round(avg(CASE WHEN label IS NOT NULL THEN CASE WHEN label = -1 THEN 1.0 ELSE 0 END END), 6) AS down_share FROM y GROUP BY 1")
 def label_summary(spark, d):
-    y = evaluate.triple_barrier(hourly(spark, d), ["symbol"], "bar_ts", "close", 0.5, 0.5, 21_600)
+    """Labels whose whole horizon lies in their session."""
+    y = evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 21_600)
     share = lambda v: r(F.avg((F.col("label") == v).cast("double")))
-    return y.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), share(1).alias("up_share"), share(-1).alias("down_share"))
+    return y.groupBy("symbol").agg(F.count("label").alias("n"), share(1).alias("up_share"), share(-1).alias("down_share"))

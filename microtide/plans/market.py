@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from microtide.functions import scalar
 from microtide.operators import bars, evaluate, joins, windows
+from microtide.operators.quantiles import exact_quantiles
 from microtide.operators.windows import Series
 from microtide.plans.registry import query
 from microtide.sources.tables import driver_table
@@ -115,8 +116,8 @@ def time_of_day_profile(spark, d):
 @query(T + " SELECT symbol, " + ", ".join(f"round(quantile_cont(price, {q / 100}), 6) AS p{q}" for q in (25, 50, 75, 90, 95, 99)) + " FROM t GROUP BY 1")
 def quantile_profile(spark, d):
     qs = (25, 50, 75, 90, 95, 99)
-    got = ticks(spark, d).groupBy("symbol").agg(F.percentile("price", F.array(*[F.lit(q / 100) for q in qs])).alias("q"))
-    return got.select("symbol", *[r(F.get("q", F.lit(i))).alias(f"p{q}") for i, q in enumerate(qs)])
+    got = exact_quantiles(ticks(spark, d), ["symbol"], "price", [q / 100 for q in qs], [f"p{q}" for q in qs])
+    return got.select("symbol", *[r(f"p{q}").alias(f"p{q}") for q in qs])
 
 
 # ---- windows ----------------------------------------------------------------------------
@@ -286,7 +287,7 @@ def asof_join(spark, d):
     t = ticks(spark, d)
     left = t.where("symbol = 'purchase'").select("day", "ts_us", "event_id")
     right = t.where("symbol = 'view'").select("day", "ts_us", "price")
-    return joins.asof_join(left, right, ["day"], "ts_us", ["price"]).select("event_id", "r_ts_us", "r_price")
+    return joins.asof_join(left, right, ["day"], "ts_us", ["price"], bucket=3_600_000_000).select("event_id", "r_ts_us", "r_price")
 
 
 @query(T + """, l AS (SELECT user_id, ts_us, event_id FROM t WHERE symbol = 'purchase'), x AS (SELECT user_id, ts_us, max(price) AS price FROM t WHERE symbol != 'purchase' GROUP BY 1, 2)
@@ -362,11 +363,15 @@ def dedup_first(spark, d):
 # ---- labels and evaluation --------------------------------------------------------------
 
 
-@query(T + HOURLY + """, h AS (SELECT a.symbol, a.bar_ts, min(CASE WHEN z.close / a.close - 1 >= 0.5 THEN z.bar_ts END) AS u, min(CASE WHEN z.close / a.close - 1 <= -0.5 THEN z.bar_ts END) AS d
-    FROM b a LEFT JOIN b z ON a.symbol = z.symbol AND z.bar_ts > a.bar_ts AND z.bar_ts <= a.bar_ts + 43200 GROUP BY 1, 2)
-  SELECT symbol, bar_ts, CASE WHEN u < coalesce(d, 4611686018427387904) THEN 1 WHEN d < coalesce(u, 4611686018427387904) THEN -1 ELSE 0 END AS label, CASE WHEN u IS DISTINCT FROM d THEN least(coalesce(u, 4611686018427387904), coalesce(d, 4611686018427387904)) END AS touch_ts FROM h""")
+#: First touches within {h} seconds in the bar's own session (columns u, d), and the last bar ahead.
+TOUCH = """, h AS (SELECT a.symbol, a.day, a.bar_ts, min(CASE WHEN z.close / a.close - 1 >= 0.5 THEN z.bar_ts END) AS u, min(CASE WHEN z.close / a.close - 1 <= -0.5 THEN z.bar_ts END) AS d, max(z.bar_ts) AS last
+    FROM b a LEFT JOIN b z ON a.symbol = z.symbol AND a.day = z.day AND z.bar_ts > a.bar_ts AND z.bar_ts <= a.bar_ts + {h} GROUP BY 1, 2, 3),
+  y AS (SELECT *, CASE WHEN last = bar_ts + {h} THEN CASE WHEN u < coalesce(d, 4611686018427387904) THEN 1 WHEN d < coalesce(u, 4611686018427387904) THEN -1 ELSE 0 END END AS label FROM h)"""
+
+
+@query(T + HOURLY + TOUCH.format(h=43200) + " SELECT symbol, bar_ts, label, CASE WHEN last = bar_ts + 43200 AND u IS DISTINCT FROM d THEN least(coalesce(u, 4611686018427387904), coalesce(d, 4611686018427387904)) END AS touch_ts FROM y")
 def triple_barrier(spark, d):
-    return evaluate.triple_barrier(hourly(spark, d), ["symbol"], "bar_ts", "close", 0.5, 0.5, 43_200)
+    return evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 43_200).drop("day")
 
 
 IC = T + HOURLY + """, z AS (SELECT *, (close - avg(close) OVER w) AS sig, lead(close, 3) OVER (PARTITION BY symbol, day ORDER BY bar_ts) / nullif(close, 0) - 1 AS fwd FROM b WINDOW w AS (PARTITION BY symbol, day ORDER BY bar_ts ROWS 9 PRECEDING)),
@@ -385,15 +390,6 @@ def forward_return_ic(spark, d):
     return evaluate.spearman(_signals(spark, d), ["symbol", "dayno"], "sig", "fwd").select("symbol", "dayno", r("ic").alias("ic"), r("hit_rate").alias("hit_rate"), "n")
 
 
-@query(IC + """, n AS (SELECT *, (row_number() OVER (PARTITION BY symbol, day ORDER BY bar_ts) - 1) // 10 AS chunk FROM v), c AS (SELECT symbol, day, chunk, CASE WHEN isfinite(corr(sig, fwd)) THEN corr(sig, fwd) END AS ic FROM n GROUP BY 1, 2, 3 HAVING count(*) >= 5)
-  SELECT symbol, count(*) AS chunks, round(avg(ic), 6) AS ic_mean, round(stddev_samp(ic), 6) AS ic_std, round(avg(ic) / nullif(stddev_samp(ic), 0) * sqrt(count(*)), 5) AS ic_t FROM c GROUP BY 1""")
-def chunked_ic(spark, d):
-    n = _signals(spark, d).withColumn("chunk", F.floor((F.row_number().over(BAR.w) - 1) / 10))
-    c = n.groupBy("symbol", "day", "chunk").agg(evaluate.correlation("sig", "fwd").alias("ic"), F.count(F.lit(1)).alias("n")).where("n >= 5")
-    t = F.avg("ic") / F.nullif(F.stddev_samp("ic"), F.lit(0.0)) * F.sqrt(F.count("ic"))
-    return c.groupBy("symbol").agg(F.count(F.lit(1)).alias("chunks"), r(F.avg("ic")).alias("ic_mean"), r(F.stddev_samp("ic")).alias("ic_std"), r(t, 5).alias("ic_t"))
-
-
 @query(IC + """, c AS (SELECT symbol, dayno, sum(sign(sig) * fwd) AS gain, avg(fwd) AS score FROM v GROUP BY 1, 2), p AS (SELECT *, avg(score) OVER (PARTITION BY symbol ORDER BY dayno ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS train_mean FROM c)
   SELECT dayno, arg_max(symbol, {'a': train_mean, 'b': symbol}) AS symbol, round(max(train_mean), 6) AS train_mean, round(arg_max(gain, {'a': train_mean, 'b': symbol}), 6) AS test_value FROM p WHERE train_mean IS NOT NULL GROUP BY 1""")
 def walk_forward(spark, d):
@@ -418,8 +414,8 @@ def variance_ratio(spark, d):
   SELECT v.symbol, CASE WHEN sd < a THEN 'low' WHEN sd < b THEN 'mid' ELSE 'high' END AS regime, count(*) AS n, round(avg(price), 6) AS mean_price FROM v JOIN q ON v.symbol = q.symbol WHERE sd IS NOT NULL GROUP BY 1, 2""")
 def vol_terciles(spark, d):
     v = ticks(spark, d).withColumn("sd", TICK.rolling("stddev_samp", "price", 30))
-    q = v.groupBy("symbol").agg(F.percentile("sd", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))
-    name = F.when(F.col("sd") < F.get("q", F.lit(0)), "low").when(F.col("sd") < F.get("q", F.lit(1)), "mid").otherwise("high")
+    q = exact_quantiles(v, ["symbol"], "sd", [1 / 3, 2 / 3], ["low", "high"])
+    name = F.when(F.col("sd") < F.col("low"), "low").when(F.col("sd") < F.col("high"), "mid").otherwise("high")
     return v.join(q, "symbol").where("sd is not null").groupBy("symbol", name.alias("regime")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("price")).alias("mean_price"))
 
 

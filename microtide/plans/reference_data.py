@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from microtide.functions import scalar
 from microtide.operators import joins
+from microtide.operators.quantiles import exact_quantiles
 from microtide.plans.market import HOURLY, T, TICK, W, fills, hourly, r, ticks
 from microtide.plans.registry import query
 from microtide.sources.tables import driver_table
@@ -121,8 +122,8 @@ def bar_acceptance(spark, d):
 @query(T + """, q AS (SELECT symbol, quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM t GROUP BY 1) SELECT t.symbol, count(*) AS kept, round(avg(price), 6) AS trimmed_mean FROM t JOIN q ON t.symbol = q.symbol WHERE price BETWEEN lo AND hi GROUP BY 1""")
 def quantile_trim(spark, d):
     t = ticks(spark, d)
-    q = t.groupBy("symbol").agg(F.percentile("price", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    return t.join(q, "symbol").where(F.col("price").between(F.get("q", F.lit(0)), F.get("q", F.lit(1)))).groupBy("symbol").agg(F.count(F.lit(1)).alias("kept"), r(F.avg("price")).alias("trimmed_mean"))
+    q = exact_quantiles(t, ["symbol"], "price", [0.01, 0.99], ["low", "high"])
+    return t.join(q, "symbol").where("price between low and high").groupBy("symbol").agg(F.count(F.lit(1)).alias("kept"), r(F.avg("price")).alias("trimmed_mean"))
 
 
 @query(T + """, k AS (SELECT *, dense_rank() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM t)) SELECT CASE WHEN n <= 15 THEN 'train' WHEN n <= 20 THEN 'validation' ELSE 'test' END AS split, count(*) AS n_rows, min(t.day) AS first_day FROM t JOIN k ON t.day = k.day GROUP BY 1""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from microtide.operators import evaluate, joins
+from microtide.operators.quantiles import exact_quantiles
 from microtide.plans.market import BAR, FILLS, HOURLY, T, TICK, W, fills, hourly, r, ticks
 from microtide.plans.registry import query
 
@@ -31,9 +32,10 @@ def health_rollup(spark, d):
   SELECT s.symbol, state, count(*) AS size, round(count(*) / any_value(n), 6) AS share, round(avg(price), 6) AS mean_price, round(quantile_cont(price, 0.5), 6) AS median_price, round(stddev_samp(price), 6) AS std_price FROM s JOIN n ON s.symbol = n.symbol GROUP BY 1, 2""")
 def state_profile(spark, d):
     s = ticks(spark, d).select("symbol", "price", F.when(F.col("price") > TICK.rolling("avg", "price", 20), "above").otherwise("below").alias("state"))
-    by = s.groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("size"), r(F.avg("price")).alias("mean_price"), r(F.percentile("price", 0.5)).alias("median_price"), r(F.stddev_samp("price")).alias("std_price"))
+    by = s.groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("size"), r(F.avg("price")).alias("mean_price"), r(F.stddev_samp("price")).alias("std_price"))
+    middle = exact_quantiles(s, ["symbol", "state"], "price", [0.5], ["q"]).select("symbol", "state", r("q").alias("median_price"))
     total = by.groupBy("symbol").agg(F.sum("size").alias("n"))
-    return by.join(total, "symbol").withColumn("share", r(F.col("size") / F.col("n"))).drop("n")
+    return by.join(total, "symbol").join(middle, ["symbol", "state"]).withColumn("share", r(F.col("size") / F.col("n"))).drop("n")
 
 
 B = "PARTITION BY symbol, day ORDER BY bar_ts"

@@ -34,7 +34,9 @@ from microtide.llm.common import materialize, release, table
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text's first byte, and the symbol after its last.
 PAD, END = 0xFE, 0xFF
-PART_BYTES, CHUNK = 32 << 20, 2 << 20
+PART_BYTES, CHUNK = 36 << 20, 1 << 20
+#: Paths that are escaped at once.
+ROWS = 4096
 #: A node is its order in the top byte and its context's bytes below.
 TOP = 56
 
@@ -72,12 +74,10 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 def _paths(texts: list[bytes], order: int) -> np.ndarray:
     """Per place the context and symbol in one long; places between texts end in PAD."""
-    s = np.frombuffer(b"".join(bytes((PAD,)) * order + t + bytes((END,)) for t in texts), np.uint8).astype(np.int64)
-    out = s[: len(s) - order].copy()
-    for k in range(1, order + 1):
-        out <<= 8
-        out |= s[k : len(s) - order + k]
-    return out
+    s = b"".join([bytes((PAD,)) * order + t + bytes((END,)) for t in texts]) + bytes(8)
+    # Eight bytes from every place on, of which the first order + 1 are the path.
+    eight = np.ndarray((len(s) - 8 - order,), ">u8", s, strides=(1,))
+    return (eight.astype(np.uint64) >> np.uint64(8 * (7 - order))).astype(np.int64)
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +132,9 @@ def _seen(order: int) -> object:
         words: dict[bool, Counter] = {}
         paths = {}
         for learn, texts in of.items():
-            words[learn] = Counter(w for t in texts for w in t.split())
+            words[learn] = Counter()
+            for t in texts:
+                words[learn].update(t.split())
             words[learn][b""] = len(texts)
             keys, counts = [], []
             for a, b in _chunks(texts):
@@ -177,13 +179,12 @@ def trie(paths: DataFrame, order: int) -> DataFrame:
 
 
 class Model:
-    """A part's piece of the trie: sorted nodes, and their symbols and counts one after another."""
+    """A part's piece of the trie: its nodes, and their symbols and counts one after another."""
 
     def __init__(self, nodes: np.ndarray, sizes: np.ndarray, packed: np.ndarray, order: int):
-        by = np.argsort(nodes, kind="stable")
         ends = np.cumsum(sizes)
-        self.order, self.nodes = order, nodes[by]
-        self.spans = np.stack([ends - sizes, ends], 1)[by]
+        self.order, self.of_node = order, Places(nodes)
+        self.spans = np.stack([ends - sizes, ends], 1)
         self.symbols, self.counts = packed & 255, packed >> 8
         # Paths of the longest contexts, with their probabilities.
         of = np.repeat(np.arange(len(nodes)), sizes)
@@ -191,28 +192,32 @@ class Model:
         long = (nodes >> TOP)[of] == order
         keys = ((nodes[of] & ((1 << TOP) - 1)) << 8 | self.symbols)[long]
         self.places, self.log_p = Places(keys), np.log10(self.counts[long] / total[of[long]])
-        self.escaped: dict[int, float] = {}
 
-    def _escape(self, path: int) -> float:
-        """log10 P of a symbol that its longest context hasn't seen, by escapes and exclusion."""
-        symbol, context, p, barred = path & 255, path >> 8, 1.0, np.zeros(256, bool)
+    def _escape(self, paths: np.ndarray) -> np.ndarray:
+        """log10 P of symbols that their longest contexts haven't seen, by escapes and exclusion."""
+        n = len(paths)
+        symbol, context = paths & 255, paths >> 8
+        p, out, barred, live = np.ones(n), np.zeros(n), np.zeros((n, 256), bool), np.ones(n, bool)
         for k in range(self.order, -1, -1):
-            node = k << TOP | context & ((1 << 8 * k) - 1)
-            i = int(np.searchsorted(self.nodes, node))
-            if i == len(self.nodes) or self.nodes[i] != node:
-                continue
-            a, b = self.spans[i]
-            open_ = ~barred[self.symbols[a:b]]
-            s, c = self.symbols[a:b][open_], self.counts[a:b][open_]
-            if not len(s):
-                continue
-            whole = c.sum() + len(s)
-            hit = np.flatnonzero(s == symbol)
-            if len(hit):
-                return math.log10(p * c[hit[0]] / whole)
-            p *= len(s) / whole
-            barred[s] = True
-        return math.log10(p / (256 - barred.sum()))
+            at = self.of_node.find(k << TOP | context & ((1 << 8 * k) - 1))
+            rows = np.flatnonzero(live & (at >= 0))
+            first, sizes = self.spans[at[rows], 0], self.spans[at[rows], 1] - self.spans[at[rows], 0]
+            # All symbols of these rows' nodes, one after another.
+            row = np.repeat(rows, sizes)
+            flat = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+            open_ = ~barred[row, self.symbols[flat]]
+            row, flat = row[open_], flat[open_]
+            s, c = self.symbols[flat], self.counts[flat]
+            kinds = np.bincount(row, minlength=n)
+            whole = np.bincount(row, c, n) + kinds
+            hit = s == symbol[row]
+            out[row[hit]] = np.log10(p[row[hit]] * c[hit] / whole[row[hit]])
+            live[row[hit]] = False
+            some = kinds > 0
+            p[some] *= kinds[some] / whole[some]
+            barred[row, s] = True
+        out[live] = np.log10(p[live] / (256 - barred[live].sum(1)))
+        return out
 
     def scores(self, texts: list[bytes]) -> list[float]:
         """log10 probability of every text with its end."""
@@ -223,10 +228,9 @@ class Model:
             got = self.log_p[at] if len(self.log_p) else np.zeros(len(paths))
             got[at < 0] = 0.0
             missed = np.flatnonzero((at < 0) & ((paths & 255) != PAD))
-            for key in np.unique(paths[missed]).tolist():
-                if key not in self.escaped:
-                    self.escaped[key] = self._escape(key)
-            got[missed] = [self.escaped[k] for k in paths[missed].tolist()]
+            if len(missed):
+                keys, which = np.unique(paths[missed], return_inverse=True)
+                got[missed] = np.concatenate([self._escape(keys[i : i + ROWS]) for i in range(0, len(keys), ROWS)])[which]
             got[(paths & 255) == PAD] = 0
             # A text has len + 1 places, those up to the next one's first end in PAD.
             sizes = np.array([len(t) + 1 + self.order for t in texts[a:b]])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("market", "reference_data", "features", "models", "book_block", "reports", "research", "live", "grid", "news")
+MODULES = ("market", "reference_data", "features", "models", "book_block", "reports", "research", "live", "grid", "news", "desk")
 
 
 def query(sql: str | None = None, name: str | None = None) -> Callable:

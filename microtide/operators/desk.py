@@ -132,5 +132,5 @@ def price_ratio(bars: DataFrame, key: str, order: list[str], price: str, pairs:
     ends = ranked.groupBy(key).agg(F.percentile(F.when(F.col("__up") <= rows, F.col(price)), 0.5).alias("__first"), F.percentile(F.when(F.col("__down") <= rows, F.col(price)), 0.5).alias("__last"))
     a = ends.select(F.col(key).alias(old), F.col("__last").alias("__o"))
     b = ends.select(F.col(key).alias(new), F.col("__first").alias("__n"))
-    ratio = F.when(F.col("__o") >= 1e-8, F.greatest(F.lit(0.7), F.least(F.lit(1.3), F.col("__n") / F.col("__o"))))
+    ratio = F.when((F.col("__o") >= 1e-8) & F.col("__n").isNotNull(), F.greatest(F.lit(0.7), F.least(F.lit(1.3), F.col("__n") / F.col("__o"))))
     return pairs.join(a, old, "left").join(b, new, "left").select(*pairs.columns, F.coalesce(ratio, F.lit(1.0)).alias("price_ratio"))

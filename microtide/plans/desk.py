@@ -144,7 +144,7 @@ def ic_decay(spark, d):
 
 @query("""WITH f AS (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_extendedprice / l_quantity AS price, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS up, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS down FROM lineitem),
   e AS (SELECT l_suppkey, quantile_cont(price, 0.5) FILTER (up <= 100) AS a, quantile_cont(price, 0.5) FILTER (down <= 100) AS z FROM f GROUP BY 1)
-  SELECT s_suppkey AS old_key, s_suppkey + 1 AS new_key, round(coalesce(greatest(0.7, least(1.3, n.a / o.z)), 1.0), 6) AS price_ratio FROM supplier LEFT JOIN e o ON s_suppkey = o.l_suppkey LEFT JOIN e n ON s_suppkey + 1 = n.l_suppkey""")
+  SELECT s_suppkey AS old_key, s_suppkey + 1 AS new_key, round(CASE WHEN n.a IS NOT NULL AND o.z IS NOT NULL THEN greatest(0.7, least(1.3, n.a / o.z)) ELSE 1.0 END, 6) AS price_ratio FROM supplier LEFT JOIN e o ON s_suppkey = o.l_suppkey LEFT JOIN e n ON s_suppkey + 1 = n.l_suppkey""")
 def contract_price_ratio(spark, d):
     li = driver_table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     pairs = driver_table(spark, d, "supplier").select(F.col("s_suppkey").alias("old_key"), (F.col("s_suppkey") + 1).alias("new_key"))

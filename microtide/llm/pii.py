@@ -328,6 +328,25 @@ def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[list[
 FORMS = (re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), CARD, PHONE)
 
 
+#: What stands for the at sign, and a name's parts around what stands for the dot, in an address written otherwise.
+AT_SIGN = re.compile(r"@|[(\[ ]at[)\] ]", re.I)
+HOST = re.compile(r"[A-Za-z0-9-]\s*(?:\.|[(\[ ]+dot[)\] ]+)\s*[A-Za-z]", re.I)
+
+
+def plausible(kind: int, span: str) -> bool:
+    """Whether a span that the tagger found has the parts of its kind: name, at and dotted host; four numbers up to 255; 13 to 19 digits passing Luhn; 9 to 15 digits."""
+    numbers = re.findall(r"[0-9]+", span)
+    digits = "".join(numbers)
+    if kind == 0:
+        m = AT_SIGN.search(span)
+        return bool(m and re.search(r"[A-Za-z0-9]", span[: m.start()]) and HOST.search(span[m.end() :]))
+    if kind == 1:
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
 def variants(kind: int, span: str) -> list[str]:
     """Writings of a span that no pattern matches."""
     if kind == 0:
@@ -430,7 +449,7 @@ def _find(model) -> object:
             extra = tag_texts(tagger, texts) if tagger else [[] for _ in texts]
             listed, counts, shas = [], [], []
             for text, own, more in zip(texts, base, extra, strict=True):
-                add = [(k, s, e) for k, s, e, sure in more if sure >= SURE and not FORMS[k].fullmatch(text[s:e]) and not any(s < y and x < e for _, x, y in own)]
+                add = [(k, s, e) for k, s, e, sure in more if sure >= SURE and not FORMS[k].fullmatch(text[s:e]) and plausible(k, text[s:e]) and not any(s < y and x < e for _, x, y in own)]
                 listed.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(own + add)))
                 shas.append(",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(own)))
                 counts.append([sum(k == x for k, _, _ in own) for x in range(len(KINDS))])
@@ -445,7 +464,7 @@ def find(docs: DataFrame, sample: int = SAMPLE, learn: DataFrame | None = None)
     """Per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     Counts and digest are of the patterns' spans; ``spans`` has the tagger's as well, where they
-    don't overlap one of those. The tagger learns from the texts of ``learn``, by default
+    are plausible for their kind and don't overlap one of those. The tagger learns from the texts of ``learn``, by default
     ``docs``. Null and empty texts have no spans and the digest of the empty string; repeated
     rows are reported each; an empty table gives no rows.
     """

@@ -34,7 +34,7 @@ from microtide.llm.common import materialize, release, table
 ORDER = 5
 #: Bytes that UTF-8 never has: before a text's first byte, and the symbol after its last.
 PAD, END = 0xFE, 0xFF
-PART_BYTES, CHUNK = 36 << 20, 1 << 20
+PART_BYTES, CHUNK = 32 << 20, 1 << 20
 #: Paths that are escaped at once.
 ROWS = 4096
 #: A node is its order in the top byte and its context's bytes below.

@@ -134,3 +134,47 @@ def price_ratio(bars: DataFrame, key: str, order: list[str], price: str, pairs:
     b = ends.select(F.col(key).alias(new), F.col("__first").alias("__n"))
     ratio = F.when((F.col("__o") >= 1e-8) & F.col("__n").isNotNull(), F.greatest(F.lit(0.7), F.least(F.lit(1.3), F.col("__n") / F.col("__o"))))
     return pairs.join(a, old, "left").join(b, new, "left").select(*pairs.columns, F.coalesce(ratio, F.lit(1.0)).alias("price_ratio"))
+
+
+def equity_key(symbol: Column) -> Column:
+    """A contract's equity: the name without its expiry; null for currencies and for what is nothing but a suffix."""
+    base = F.regexp_replace(symbol, r"[0-9]{2}[A-Z]{3}FUT$", "")
+    return F.when(~symbol.contains("USDINR") & (base != ""), base)
+
+
+def option_jobs(files: DataFrame, processed: DataFrame, symbol: str = "symbol", date: str = "date", underlyings: Sequence[str] = ("BANKNIFTY", "NIFTY"), barred: Sequence[str] = ("NIFTYNXT",)) -> DataFrame:
+    """(underlying, date) that raw option files have and ``processed`` (underlying, date) lacks: all strikes of a day are one job.
+
+    A symbol's underlying is the first of ``underlyings`` that it starts with; ``barred`` starts have none.
+    """
+    name = F.col(symbol)
+    out = F.lit(None).cast("string")
+    for b in barred:
+        out = F.when(name.startswith(b), F.lit(None).cast("string"))
+    for u in underlyings:
+        out = out.when(name.startswith(u), u)
+    raw = files.where(name.endswith("CE") | name.endswith("PE")).select(out.alias("underlying"), F.col(date).alias("date")).where("underlying is not null").distinct()
+    return raw.join(processed.select("underlying", "date"), ["underlying", "date"], "left_anti")
+
+
+def best_contracts(files: DataFrame, symbol: str, date: str, start: str, end: str) -> DataFrame:
+    """(base, symbol): per base name the greatest contract name with a file from ``start`` to ``end``."""
+    live = files.where(F.col(date).between(start, end)).select(scalar.base_symbol(F.col(symbol)).alias("base"), F.col(symbol).alias("__s")).where("base != __s")
+    return live.groupBy("base").agg(F.max("__s").alias("symbol"))
+
+
+def recent_rows(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each key; a window that keeps n rows a task before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def realized_variance(df: DataFrame, keys: list[str], order: list[str], price: str, n: int = 20, periods: int = 375 * 60) -> DataFrame:
+    """``df`` with realized_var (population) of the log returns within the last n prices, annualized_vol from it, and rolling_var (sample) of the last n returns."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    ret = F.log(F.col(price)) - F.log(F.lag(price).over(w))
+    df = df.withColumn("__r", ret)
+    inside = w.rowsBetween(-(n - 2), 0)
+    var = F.coalesce(F.var_pop("__r").over(inside), F.lit(0.0))
+    full = F.when(F.count("__r").over(w.rowsBetween(-(n - 1), 0)) >= n, F.var_samp("__r").over(w.rowsBetween(-(n - 1), 0)))
+    return df.withColumns({"realized_var": var, "annualized_vol": F.sqrt(var * periods), "rolling_var": full}).drop("__r")

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FOLDS = 1000
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], tolerance: int | None = None, prefix: str = "r_", bucket: int | None = None) -> DataFrame:
     """Each left row with the last right row at or before it.
 
@@ -69,9 +72,14 @@ def overlap_counts(intervals: DataFrame, keys: list[str], start: str, end: str)
 def purged_folds(rows: DataFrame, folds: DataFrame, start: str, end: str, embargo: int) -> DataFrame:
     """(fold, rows, role): test rows start in the fold; train rows neither reach into it nor start in the embargo after it.
 
-    ``folds`` (fold, lo, hi) has one row per fold and is broadcast: folds are a handful by design.
+    ``folds`` (fold, lo, hi) has one row per fold, FOLDS at most: they become one array of constants.
     """
-    crossed = rows.join(F.broadcast(folds), (F.col(start) >= F.col("lo")) | (F.col(start) < F.col("lo")))
+    few = folds.select("fold", "lo", "hi").limit(FOLDS + 1).collect()
+    if len(few) > FOLDS:
+        raise ValueError(f"more than {FOLDS} folds")
+    kinds = dict(folds.dtypes)
+    each = F.array(*[F.struct(*[F.lit(f[c]).cast(kinds[c]).alias(c) for c in ("fold", "lo", "hi")]) for f in few])
+    crossed = rows.withColumn("__f", F.explode(each)).select(*rows.columns, "__f.fold", "__f.lo", "__f.hi")
     test = F.col(start).between(F.col("lo"), F.col("hi"))
     clear = (F.col(end) < F.col("lo")) | (F.col(start) > F.col("hi") + embargo)
     return crossed.withColumn("role", F.when(test, "test").when(clear, "train").otherwise("purged"))

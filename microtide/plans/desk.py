@@ -163,3 +163,52 @@ def upcoming_events(spark, d):
 def value_counts(spark, d):
     by = driver_table(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
     return by.withColumn("share", r(F.col("n") / F.sum("n").over(Window.partitionBy())))  # one row per type
+
+
+#: File names of contracts made from parts: futures and options of six bases over a few days.
+FILES = """WITH f AS (SELECT CASE p_partkey % 6 WHEN 0 THEN 'NIFTY' WHEN 1 THEN 'BANKNIFTY' WHEN 2 THEN 'USDINR' WHEN 3 THEN 'NIFTYNXT50' WHEN 4 THEN 'RELIANCE' ELSE 'TCS' END || '26' || CASE p_size % 3 WHEN 0 THEN 'MAY' WHEN 1 THEN 'JUN' ELSE 'JAN' END || CASE p_partkey % 4 WHEN 0 THEN 'FUT' WHEN 1 THEN CAST(p_size * 100 AS VARCHAR) || 'CE' WHEN 2 THEN CAST(p_size * 100 AS VARCHAR) || 'PE' ELSE 'FUT' END AS symbol, '2026-05-' || lpad(CAST(1 + p_partkey % 28 AS VARCHAR), 2, '0') AS date FROM part)"""
+
+
+def _files(spark, d):
+    k, z = F.col("p_partkey"), F.col("p_size")
+    pick = lambda x, names: F.element_at(F.array(*map(F.lit, names)), (x % len(names) + 1).cast("int"))
+    base = pick(k, ["NIFTY", "BANKNIFTY", "USDINR", "NIFTYNXT50", "RELIANCE", "TCS"])
+    strike = (z * 100).cast("string")
+    kind = F.when(k % 4 == 1, F.concat(strike, F.lit("CE"))).when(k % 4 == 2, F.concat(strike, F.lit("PE"))).otherwise("FUT")
+    date = F.concat(F.lit("2026-05-"), F.lpad((1 + k % 28).cast("string"), 2, "0"))
+    return driver_table(spark, d, "part").select(F.concat(base, F.lit("26"), pick(z, ["MAY", "JUN", "JAN"]), kind).alias("symbol"), date.alias("date"))
+
+
+@query(FILES + """ SELECT CASE WHEN starts_with(symbol, 'BANKNIFTY') THEN 'BANKNIFTY' ELSE 'NIFTY' END AS underlying, date FROM f WHERE (ends_with(symbol, 'CE') OR ends_with(symbol, 'PE')) AND (starts_with(symbol, 'BANKNIFTY') OR starts_with(symbol, 'NIFTY') AND NOT starts_with(symbol, 'NIFTYNXT'))
+  EXCEPT SELECT 'NIFTY', date FROM f WHERE symbol LIKE 'TCS%'""")
+def pending_option_jobs(spark, d):
+    f = _files(spark, d)
+    done = f.where("symbol like 'TCS%'").select(F.lit("NIFTY").alias("underlying"), "date").distinct()
+    return desk.option_jobs(f, done)
+
+
+@query(FILES + " SELECT regexp_replace(symbol, '[0-9]{2}[A-Z]{3}FUT$', '') AS base, max(symbol) AS symbol FROM f WHERE regexp_matches(symbol, '[0-9]{2}[A-Z]{3}FUT$') AND date BETWEEN '2026-05-03' AND '2026-05-20' GROUP BY 1")
+def best_contracts(spark, d):
+    return desk.best_contracts(_files(spark, d), "symbol", "date", "2026-05-03", "2026-05-20")
+
+
+@query(FILES + """, e AS (SELECT CASE WHEN symbol NOT LIKE '%USDINR%' THEN nullif(regexp_replace(symbol, '[0-9]{2}[A-Z]{3}FUT$', ''), '') END AS equity, date FROM f), x AS (SELECT CASE s_suppkey % 3 WHEN 0 THEN 'RELIANCE' WHEN 1 THEN 'TCS' ELSE 'INFY' END AS equity, count(*) AS events FROM supplier GROUP BY 1)
+  SELECT e.equity, date, count(*) AS n_files, any_value(events) AS events FROM e JOIN x ON e.equity = x.equity GROUP BY 1, 2""")
+def equity_events(spark, d):
+    """Events of the equity behind each contract file."""
+    s = F.col("s_suppkey") % 3
+    x = driver_table(spark, d, "supplier").groupBy(F.when(s == 0, "RELIANCE").when(s == 1, "TCS").otherwise("INFY").alias("equity")).agg(F.count(F.lit(1)).alias("events"))
+    f = _files(spark, d).withColumn("equity", desk.equity_key(F.col("symbol")))
+    return f.join(x, "equity").groupBy("equity", "date").agg(F.count(F.lit(1)).alias("n_files"), F.first("events").alias("events"))
+
+
+@query(TICKS + " SELECT user_id, event_id, symbol FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts_us DESC, event_id DESC) AS n FROM t) WHERE n <= 5")
+def recent_rows(spark, d):
+    return desk.recent_rows(ticks(spark, d), ["user_id"], ["ts_us", "event_id"], 5).select("user_id", "event_id", "symbol")
+
+
+@query(TICKS + f""", l AS (SELECT *, ln(price) - lag(ln(price)) OVER ({W}) AS lr FROM t WHERE price > 0) SELECT event_id, round(coalesce(var_pop(lr) OVER ({W} ROWS 18 PRECEDING), 0), 6) AS realized_var, round(sqrt(coalesce(var_pop(lr) OVER ({W} ROWS 18 PRECEDING), 0) * 22500), 4) AS annualized_vol,
+  round(CASE WHEN count(lr) OVER ({W} ROWS 19 PRECEDING) >= 20 THEN var_samp(lr) OVER ({W} ROWS 19 PRECEDING) END, 6) AS rolling_var FROM l""")
+def realized_variance(spark, d):
+    out = desk.realized_variance(ticks(spark, d).where("price > 0"), ["symbol", "day"], TICK.order, "price")
+    return out.select("event_id", r("realized_var").alias("realized_var"), r("annualized_vol", 4).alias("annualized_vol"), r("rolling_var").alias("rolling_var"))

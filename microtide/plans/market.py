@@ -501,10 +501,9 @@ def pivot_state(spark, d):
   x AS (SELECT symbol, w, k, day, sum(CASE WHEN n % w = 0 THEN price * k ELSE -price / w END) AS score FROM s, g GROUP BY 1, 2, 3, 4), m AS (SELECT symbol, w, CAST(k AS DOUBLE) AS k, avg(score) AS mean_score FROM x GROUP BY 1, 2, 3)
   SELECT symbol, w, k, round(mean_score, 4) AS mean_score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY round(mean_score, 4) DESC, w, k) AS r FROM m) WHERE r = 1""")
 def param_grid_best(spark, d):
-    from microtide.operators.simulate import grid
-
     s = ticks(spark, d).withColumn("n", F.row_number().over(Window.partitionBy("symbol", "day").orderBy("ts_us", "event_id")))
-    x = s.crossJoin(F.broadcast(grid(spark, w=[5, 10, 20], k=[1.0, 1.5, 2.0]).select(F.col("w").cast("int").alias("w"), "k")))
+    combos = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w in (5, 10, 20) for k in (1.0, 1.5, 2.0)])
+    x = s.withColumn("c", F.explode(combos)).select("symbol", "day", "price", "n", "c.w", "c.k")
     score = F.sum(F.when(F.col("n") % F.col("w") == 0, F.col("price") * F.col("k")).otherwise(-F.col("price") / F.col("w")))
     m = x.groupBy("symbol", "w", "k", "day").agg(score.alias("score")).groupBy("symbol", "w", "k").agg(r(F.avg("score"), 4).alias("mean_score"))
     return joins.first_by(m, ["symbol"], [F.col("mean_score").desc(), "w", "k"])

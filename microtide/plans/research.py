@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from microtide.operators import joins, regression
-from microtide.plans.market import HOURLY, TICK, hourly, r, ticks
+from microtide.operators import bars, importance, joins, joint_hmm, regression
+from microtide.plans.market import BAR, HOURLY, TICK, hourly, r, ticks
 from microtide.plans.market import T as TICKS
 from microtide.plans.market import W
 from microtide.plans.registry import query
@@ -86,3 +86,35 @@ def depth_decay_fit(spark, d):
     quantities = F.transform(levels, lambda i: (F.col("qty") * (i + 3)) % 50)
     t = t.withColumns({"p": prices, "q": quantities}).withColumn("fit", regression.depth_fit(F.col("p"), F.col("q"), 0.05, (140.0, 1.5)))
     return t.select("event_id", r("fit.a", 5).alias("a"), r("fit.kappa").alias("kappa"))
+
+
+@query(TICKS + HOURLY + """, l AS (SELECT symbol, day, bar_ts AS s, lead(bar_ts, 3) OVER (PARTITION BY symbol, day ORDER BY bar_ts) AS e FROM b), i AS (SELECT * FROM l WHERE e IS NOT NULL),
+  c AS (SELECT b.symbol, b.day, b.bar_ts, count(*) AS live FROM b JOIN i ON b.symbol = i.symbol AND b.day = i.day AND b.bar_ts BETWEEN i.s AND i.e GROUP BY 1, 2, 3)
+  SELECT i.symbol, i.s AS bar_ts, round(avg(1 / live), 6) AS uniqueness FROM i JOIN c ON c.symbol = i.symbol AND c.day = i.day AND c.bar_ts BETWEEN i.s AND i.e GROUP BY 1, 2""")
+def label_uniqueness(spark, d):
+    b = hourly(spark, d).select("symbol", "day", "bar_ts")
+    labels = b.select("symbol", "day", F.col("bar_ts").alias("s"), BAR.lead("bar_ts", 3).alias("e")).where("e is not null")
+    out = importance.uniqueness(labels, b, ["symbol", "day"], "bar_ts", "s", "e")
+    return out.select("symbol", F.col("s").alias("bar_ts"), r("uniqueness").alias("uniqueness"))
+
+
+@query()
+def joint_regimes(spark, d):
+    """Three regimes of half-hours by their number of ticks and their return, filtered session by session."""
+    t = ticks(spark, d)
+    b = bars.time_bars(t, ["symbol", "day"], "ts_sec", TICK.order, "price", "qty", 1800)
+    g = bars.regularize(b, ["symbol", "day"], "bar_ts", 1800, ["close"], ["tick_count"])
+    g = g.withColumns({"cat": F.least(F.col("tick_count"), F.lit(3)).cast("int"), "x_bp": 100 * F.log(F.col("close") / BAR.lag("close"))})
+    model = joint_hmm.fit(g, ["symbol", "day"], ["bar_ts"], "cat", "x_bp", k=3, starts=1, rounds=10)
+    out = joint_hmm.apply(g, model, ["symbol", "day"], "bar_ts", "cat", "x_bp", 21_600)
+    return out.select("symbol", "bar_ts", "state", r("p_state").alias("p_state"))
+
+
+@query()
+def feature_importance(spark, d):
+    """Which of three features tells the sign of the next tick's change, over two purged halves of the month."""
+    t = ticks(spark, d).withColumns({"gap": TICK.diff("price"), "size": F.col("qty").cast("double"), "dev": F.col("price") - TICK.rolling("avg", "price", 10), "ahead": TICK.lead("price") - F.col("price")})
+    t = t.dropna(subset=["gap", "size", "dev", "ahead"]).withColumns({"y": (F.col("ahead") > 0).cast("double"), "half": F.dayofmonth("day")})
+    folds = [(F.col("half") > 17, F.col("half") <= 15), (F.col("half") <= 15, F.col("half") > 17)]
+    out = importance.importance(t.select("event_id", "gap", "size", "dev", "y", "half"), ["gap", "size", "dev"], "y", "event_id", folds, trees=5, depth=3)
+    return out.select("feature", r("mdi", 4).alias("mdi"), r("mda", 4).alias("mda"), r("sfi", 4).alias("sfi"))

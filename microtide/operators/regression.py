@@ -122,6 +122,21 @@ def rolling_stats(df: DataFrame, s: Series, x: str, ns: Sequence[int], ddof: int
     return df.drop("__base", "__c", "__rn", "__rs", "__rq", "__n", "__s", "__q")
 
 
+def rolling_corr(df: DataFrame, s: Series, x: str, y: str, n: int, min_periods: int, out: str) -> DataFrame:
+    """Adds the Pearson correlation of x and y over the last n rows from running sums; null below min_periods pairs or without spread."""
+    at = lambda c: F.first(c, ignorenulls=True).over(s.so_far())
+    pair = F.col(x).isNotNull() & F.col(y).isNotNull()
+    df = df.withColumns({"__a": F.when(pair, F.col(x) - at(x)), "__b": F.when(pair, F.col(y) - at(y))})
+    a, b = F.col("__a"), F.col("__b")
+    names = ["__n", "__sa", "__sb", "__aa", "__bb", "__ab"]
+    df = rolling_sums(df, s, dict(zip(names, (F.when(pair, 1.0), a, b, a * a, b * b, a * b))), n)
+    m, sa, sb, aa, bb, ab = map(F.col, names)
+    m = F.nullif(m, F.lit(0.0))
+    va, vb = aa / m - (sa / m) * (sa / m), bb / m - (sb / m) * (sb / m)
+    spread = F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0)))
+    return df.withColumn(out, F.when((m >= min_periods) & (spread > 1e-12), (ab / m - (sa / m) * (sb / m)) / F.nullif(spread, F.lit(0.0)))).drop("__a", "__b", *names)
+
+
 def rolling_ar(df: DataFrame, s: Series, x: str, n: int, p: int = 5, min_periods: int | None = None, out: str = "phi") -> DataFrame:
     """Coefficients out1..outp of x on a constant and its last p values over the last n rows of the session.
 

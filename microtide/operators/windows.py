@@ -140,9 +140,10 @@ def rolling_ols(df: DataFrame, s: Series, x: str, y: str, n: int, min_periods: i
 
 def fano(s: Series, event: Column, block: int = 10, blocks: int = 6) -> Column:
     """Variance over mean of event counts in consecutive clock blocks before the row; null without events."""
-    last = block * blocks - 1
     one = event.cast("int")
-    counts = [F.coalesce(F.sum(one).over(s.w.rangeBetween(-(last - block * j), -(last - block * j - block + 1))), F.lit(0)) for j in range(blocks)]
+    # Events up to each border: frames that only grow, which a row extends in constant time.
+    upto = [F.coalesce(F.sum(one).over(s.w.rangeBetween(Window.unboundedPreceding, -block * k)), F.lit(0)) for k in range(blocks, -1, -1)]
+    counts = [b - a for a, b in zip(upto, upto[1:])]
     mean = sum(counts[1:], counts[0]) / blocks
     var = sum(((c - mean) * (c - mean) for c in counts[1:]), (counts[0] - mean) * (counts[0] - mean)) / blocks
     return var / F.nullif(mean, F.lit(0.0))

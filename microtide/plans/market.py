@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from microtide.functions import scalar
-from microtide.operators import bars, evaluate, joins, windows
+from microtide.operators import bars, evaluate, joins, regression, windows
 from microtide.operators.quantiles import exact_quantiles
 from microtide.operators.windows import Series
 from microtide.plans.registry import query
@@ -147,7 +147,7 @@ def rolling_rank_pct(spark, d):
   SELECT event_id, CASE WHEN count(past) OVER w >= 40 THEN round(corr(price, past) OVER w, 5) END AS acf_100 FROM l WINDOW w AS ({W} ROWS 99 PRECEDING)""")
 def rolling_corr_lag(spark, d):
     t = ticks(spark, d).withColumn("past", TICK.lag("price"))
-    return t.select("event_id", r(TICK.corr("price", "past", 100, 40), 5).alias("acf_100"))
+    return regression.rolling_corr(t, TICK, "price", "past", 100, 40, "c").select("event_id", r("c", 5).alias("acf_100"))
 
 
 @query(T + f""", m AS (SELECT *, count(*) OVER w AS n, avg(qty) OVER w AS x, avg(price) OVER w AS y, avg(qty * qty) OVER w AS xx, avg(qty * price) OVER w AS xy FROM t WINDOW w AS ({W} ROWS 99 PRECEDING)),

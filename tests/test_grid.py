@@ -113,6 +113,21 @@ def test_autocorrelation_of_the_rows_before(spark):
     assert np.allclose(got, want, rtol=1e-9)
 
 
+def test_rolling_correlation_equals_pandas(spark):
+    r = np.random.default_rng(8)
+    x, y = pd.Series(1e4 + r.normal(0, 1, 150)), pd.Series(r.normal(0, 1, 150))
+    y[[3, 50, 51]] = None
+    x[100:125] = 7.0
+    df = spark.createDataFrame([("a", i, float(a), None if np.isnan(b) else float(b)) for i, (a, b) in enumerate(zip(x, y))], "k string, t int, x double, y double")
+    got = np.array([g.c for g in regression.rolling_corr(df, Series(["k"], "t"), "x", "y", 20, 10, "c").orderBy("t").collect()], float)
+    for i in range(150):
+        part = pd.DataFrame({"x": x, "y": y}).iloc[max(0, i - 19) : i + 1].dropna()
+        if len(part) < 10 or part.x.std(ddof=0) < 1e-9:
+            assert np.isnan(got[i]) or len(part) >= 10 and abs(got[i]) <= 1.01
+        else:
+            assert np.isclose(got[i], part.x.corr(part.y), atol=1e-5)
+
+
 def test_clock_features(spark):
     at = int(datetime.datetime(2024, 1, 1, 3, 45, tzinfo=datetime.timezone.utc).timestamp())  # 09:15 in India
     got = features.clock_features(spark.createDataFrame([(at,), (at + 3600,), (at - 7200,), (at + 9 * 3600,)], "ts long"), "ts").orderBy("ts").collect()

@@ -11,12 +11,13 @@ def forward_return(x: str, h: int, keys: list[str], order: str, log: bool = Fals
     return F.log(ahead / F.col(x)) if log else ahead / F.nullif(F.col(x), F.lit(0.0)) - 1
 
 
-def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: float, down: float, horizon: int, whole: bool = True) -> DataFrame:
+def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: float, down: float, horizon: int, whole: bool = False) -> DataFrame:
     """First touch of +up or -down within ``horizon`` seconds: label 1, -1 or 0, and the time of the touch.
 
-    ``keys`` name a session (symbol and day): no bar of another one counts. With ``whole``, a row
-    whose session has no bar exactly ``horizon`` seconds ahead has a null label and touch, as has
-    a row without a positive price or any bar ahead; bars without one don't touch.
+    ``keys`` name a session (symbol and day): no bar of another one counts. A row without a
+    positive price has a null label and touch, and bars without one don't touch. With ``whole``,
+    so has a row without a price ahead, or whose session has no bar exactly ``horizon`` seconds
+    ahead; else such a row is labelled by what there is.
 
     Each bar meets the bars of its own and the following bin of ``horizon`` seconds, an equi-join
     that shuffles by (keys, bin), so a symbol of any length spreads over tasks; hits are reduced
@@ -31,8 +32,8 @@ def triple_barrier(bars: DataFrame, keys: list[str], ts: str, price: str, up: fl
     far = F.lit(1 << 62)
     u, d = F.coalesce("__u", far), F.coalesce("__d", far)
     label = F.when(u < d, 1).when(d < u, -1).otherwise(0)
-    out = bars.select(*keys, ts).join(hits, [*keys, ts], "left")
-    known = F.col("__any").isNotNull() & (F.col("__last") == F.col(ts) + horizon if whole else F.lit(True))
+    out = bars.select(*keys, ts, F.coalesce(F.col(price) > 0, F.lit(False)).alias("__ok")).join(hits, [*keys, ts], "left")
+    known = F.col("__ok") & (F.col("__any").isNotNull() & (F.col("__last") == F.col(ts) + horizon) if whole else F.lit(True))
     return out.select(*keys, ts, F.when(known, label).alias("label"), F.when(known & (u != d), F.least(u, d)).alias("touch_ts"))
 
 

@@ -207,6 +207,6 @@ def confident_accuracy(spark, d):
 @query(T + HOURLY + TOUCH.format(h=21600) + " SELECT symbol, count(label) AS n, round(avg(CASE WHEN label IS NOT NULL THEN CASE WHEN label = 1 THEN 1.0 ELSE 0 END END), 6) AS up_share, round(avg(CASE WHEN label IS NOT NULL THEN CASE WHEN label = -1 THEN 1.0 ELSE 0 END END), 6) AS down_share FROM y GROUP BY 1")
 def label_summary(spark, d):
     """Labels whose whole horizon lies in their session."""
-    y = evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 21_600)
+    y = evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 21_600, whole=True)
     share = lambda v: r(F.avg((F.col("label") == v).cast("double")))
     return y.groupBy("symbol").agg(F.count("label").alias("n"), share(1).alias("up_share"), share(-1).alias("down_share"))

@@ -371,7 +371,7 @@ TOUCH = """, h AS (SELECT a.symbol, a.day, a.bar_ts, min(CASE WHEN z.close / a.c
 
 @query(T + HOURLY + TOUCH.format(h=43200) + " SELECT symbol, bar_ts, label, CASE WHEN last = bar_ts + 43200 AND u IS DISTINCT FROM d THEN least(coalesce(u, 4611686018427387904), coalesce(d, 4611686018427387904)) END AS touch_ts FROM y")
 def triple_barrier(spark, d):
-    return evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 43_200).drop("day")
+    return evaluate.triple_barrier(hourly(spark, d), ["symbol", "day"], "bar_ts", "close", 0.5, 0.5, 43_200, whole=True).drop("day")
 
 
 IC = T + HOURLY + """, z AS (SELECT *, (close - avg(close) OVER w) AS sig, lead(close, 3) OVER (PARTITION BY symbol, day ORDER BY bar_ts) / nullif(close, 0) - 1 AS fwd FROM b WINDOW w AS (PARTITION BY symbol, day ORDER BY bar_ts ROWS 9 PRECEDING)),

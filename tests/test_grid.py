@@ -53,7 +53,7 @@ def test_barriers_end_with_the_session(spark):
         for s, d, t, p in rows:
             ahead = sorted((u, q) for s2, d2, u, q in rows if (s2, d2) == (s, d) and t < u <= t + 10)
             live = [(u, q / p - 1) for u, q in ahead if q and q > 0] if p and p > 0 else []
-            if not live or whole and ahead[-1][0] != t + 10:
+            if not p or whole and (not live or ahead[-1][0] != t + 10):
                 assert got[s, t] == (None, None)
                 continue
             hit = next(((1 if x >= 0.05 else -1, u) for u, x in live if abs(x) >= 0.05), (0, None))

@@ -179,6 +179,20 @@ def implied_vol(call: Column, price: Column, s: Column, k: Column, t: Column, r:
     return F.when(valid, found)
 
 
+#: Characters that have several as upper case, with the one that they turn into here: their title case if that is one, else themselves.
+ONE_UPPER = {c: "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x110000)) if len(c.upper()) > 1}
+
+
+def simple_upper(text: Column) -> Column:
+    """Upper case that keeps the number of characters: sharp s is one capital, ligatures stay; upper() makes SS and FI of them."""
+    rare = "".join(c for c in ONE_UPPER if c != "\u00df")
+    pieces = F.regexp_extract_all(text, F.lit(f"[{rare}]|[^{rare}]+"), F.lit(0))
+    plain = lambda t: F.upper(F.replace(t, F.lit("\u00df"), F.lit("\u1e9e")))
+    made = F.transform(pieces, lambda p: F.when(p.rlike(f"^[{rare}]"), F.translate(p, rare, "".join(ONE_UPPER[c] for c in rare))).otherwise(plain(p)))
+    # Ranges that hold all rare ones: long lists of characters are slow to look for.
+    return F.when(text.rlike("[\u0149-\u01f0\u0390\u03b0\u0587\u1e96-\u1e9a\u1f50-\u1ffc\ufb00-\ufb17]"), F.array_join(made, "")).otherwise(plain(text))
+
+
 def news_id(source: Column, headline: Column) -> Column:
     return F.substring(F.md5(F.concat(source, F.lit(":"), headline)), 1, 12)
 
@@ -210,7 +224,7 @@ EVENT_IMPACT = (
 
 def event_type(text: Column) -> Column:
     """The type of a corporate event from its description; OTHER if no list fits."""
-    upper, out = F.upper(F.coalesce(text, F.lit(""))), None
+    upper, out = simple_upper(F.coalesce(text, F.lit(""))), None
     for name, words in EVENT_WORDS:
         hit = upper.rlike("|".join(words))
         out = F.when(hit, name) if out is None else out.when(hit, name)

@@ -6,9 +6,11 @@ import random
 import re
 import shutil
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from microtide.functions import scalar
 from microtide.operators import news
 from microtide.sources.loader import ReadThrough
 
@@ -109,3 +111,18 @@ def test_broken_fill_is_not_served(spark, store):
     # A second writer that comes late leaves the first one's partition as it is.
     assert loader.fill("A", "2024-01-01") and loader.load([("A", "2024-01-01")]).count() == 3
     assert not [f for f in os.listdir(f"{cache}/symbol=A/date=2024-01-01") if f.startswith("_fill")]
+
+
+def test_upper_case_is_one_character_for_one(spark):
+    con = duckdb.connect()
+    rows = [(i, f"a{c}b {c}") for i, c in enumerate([*scalar.ONE_UPPER, "ä", "ς", "i", "ẞ"])]
+    want = dict(con.execute("SELECT unnest($1), upper(unnest($2))", [[i for i, _ in rows], [t for _, t in rows]]).fetchall())
+    got = {r.i: r.u for r in spark.createDataFrame(rows, "i int, t string").select("i", scalar.simple_upper(F.col("t")).alias("u")).collect()}
+    assert got == want
+
+
+def test_terms_with_sharp_s_and_ligatures(spark):
+    terms = spark.createDataFrame([("straße",), ("ﬁnance",), ("strasse",)], "term string")
+    docs = spark.createDataFrame([(1, "Die Straße."), (2, "ﬁnance"), (3, "STRASSE finance"), (4, None)], "k int, t string")
+    got = {(r.k, r.term) for r in news.matches(docs, "k", "t", terms).collect()}
+    assert got == {(1, "straße"), (2, "ﬁnance"), (3, "strasse")}

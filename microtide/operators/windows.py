@@ -36,6 +36,11 @@ class Series:
     def before(self) -> WindowSpec:
         return self.w.rowsBetween(Window.unboundedPreceding, -1)
 
+    def clock_sum(self, x: Column, seconds: int) -> Column:
+        """Sum of a whole number over the last so many units of the order column, 0 without any: the difference of two frames that only grow, so that a row costs the same for any length."""
+        upto = lambda k: F.coalesce(F.sum(x).over(self.w.rangeBetween(Window.unboundedPreceding, -k)), F.lit(0))
+        return upto(0) - upto(seconds)
+
     def lag(self, x: str | Column, n: int = 1) -> Column:
         return F.lag(x, n).over(self.w)
 

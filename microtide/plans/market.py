@@ -227,8 +227,11 @@ def fano_blocks(spark, d):
   SELECT event_id, CASE WHEN count(gap) OVER w >= 3 THEN round(stddev_pop(gap) OVER w / nullif(avg(gap) OVER w, 0), 5) END AS cv FROM g WINDOW w AS (PARTITION BY symbol, day ORDER BY ts_sec RANGE BETWEEN 43199 PRECEDING AND CURRENT ROW)""")
 def interarrival_cv(spark, d):
     g = ticks(spark, d).withColumn("gap", F.col("ts_sec") - TICK.lag("ts_sec"))
-    w = Series(["symbol", "day"], "ts_sec").clock(43_200)
-    return g.select("event_id", F.when(F.count("gap").over(w) >= 3, r(F.stddev_pop("gap").over(w) / F.nullif(F.avg("gap").over(w), F.lit(0.0)), 5)).alias("cv"))
+    s, gap = Series(["symbol", "day"], "ts_sec"), F.col("gap")
+    g = g.select("event_id", *[s.clock_sum(x, 43_200).alias(c) for c, x in (("n", gap.isNotNull().cast("long")), ("one", gap), ("two", gap * gap))])
+    # Whole numbers: a session's gaps sum to a day at most.
+    cv = F.sqrt((F.col("n") * F.col("two") - F.col("one") * F.col("one")).cast("double")) / F.nullif(F.col("one"), F.lit(0))
+    return g.select("event_id", F.when(F.col("n") >= 3, r(cv, 5)).alias("cv"))
 
 
 @query(T + f""", e AS (SELECT *, last_value(CASE WHEN qty >= 95 THEN ts_sec END IGNORE NULLS) OVER w AS ets, last_value(CASE WHEN qty >= 95 THEN price END IGNORE NULLS) OVER w AS ep FROM t WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING))

@@ -31,7 +31,9 @@ def health_rollup(spark, d):
 @query(T + f""", s AS (SELECT symbol, price, CASE WHEN price > avg(price) OVER ({W} ROWS 19 PRECEDING) THEN 'above' ELSE 'below' END AS state FROM t), n AS (SELECT symbol, count(*) AS n FROM s GROUP BY 1)
   SELECT s.symbol, state, count(*) AS size, round(count(*) / any_value(n), 6) AS share, round(avg(price), 6) AS mean_price, round(quantile_cont(price, 0.5), 6) AS median_price, round(stddev_samp(price), 6) AS std_price FROM s JOIN n ON s.symbol = n.symbol GROUP BY 1, 2""")
 def state_profile(spark, d):
-    s = ticks(spark, d).select("symbol", "price", F.when(F.col("price") > TICK.rolling("avg", "price", 20), "above").otherwise("below").alias("state"))
+    # A mean of equal prices may be rounded below them; what isn't above the least price isn't above the mean.
+    above = (F.col("price") > TICK.rolling("avg", "price", 20)) & (F.col("price") > TICK.rolling("min", "price", 20))
+    s = ticks(spark, d).select("symbol", "price", F.when(above, "above").otherwise("below").alias("state"))
     by = s.groupBy("symbol", "state").agg(F.count(F.lit(1)).alias("size"), r(F.avg("price")).alias("mean_price"), r(F.stddev_samp("price")).alias("std_price"))
     middle = exact_quantiles(s, ["symbol", "state"], "price", [0.5], ["q"]).select("symbol", "state", r("q").alias("median_price"))
     total = by.groupBy("symbol").agg(F.sum("size").alias("n"))

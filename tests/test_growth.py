@@ -28,3 +28,11 @@ def test_clock_sums_equal_plain_ones_and_frames_only_grow(spark):
     got = {(x.k, x.i): x.s for x in spark.createDataFrame(rows, "k string, ts long, i int, v long").select("k", "i", s.clock_sum(F.col("v"), 40).alias("s")).collect()}
     assert got == {(k, i): sum(v or 0 for q, u, _, v in rows if q == k and t - 39 <= u <= t) for k, t, i, _ in rows}
     assert "43199" not in plan(entry.queries()["interarrival_cv"](spark, SF))
+
+
+def test_equal_prices_are_not_above_their_mean(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f * 60 + i, at + datetime.timedelta(seconds=f), 1, f"s{f}", 0.01 * (1 + 37 * f), '{"k": 1}') for f in range(60) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.symbol, r.state, r["size"]) for r in entry.queries()["state_profile"](spark, str(tmp_path)).collect()}
+    assert got == {(f"s{f}", "below", 60) for f in range(60)}

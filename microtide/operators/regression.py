@@ -252,15 +252,23 @@ def depth_fit(prices: Column, quantities: Column, tick: float, default: tuple[fl
     quantity are left out. Under two levels give ``default``; kappa is 0.1 at least; where all
     distances are equal, the line is the one of least norm.
     """
-    best = F.get(prices, F.lit(0))
-    point = lambda p, q: F.struct(F.when(p == best, F.lit(tick)).otherwise(F.abs(p - best)).alias("x"), F.when((p > 0) & (q > 0), F.log(q.cast("double"))).alias("y"))
-    points = F.filter(F.zip_with(prices, quantities, point), lambda t: t["y"].isNotNull())
-    total = lambda f: F.aggregate(F.transform(points, f), F.lit(0.0), lambda acc, v: acc + v)
-    n = F.size(points)
-    sx, sy, sxx, sxy = total(lambda t: t["x"]), total(lambda t: t["y"]), total(lambda t: t["x"] * t["x"]), total(lambda t: t["x"] * t["y"])
-    det = n * sxx - sx * sx
-    flat = sy / F.nullif(n * (1 + (sx / n) * (sx / n)), F.lit(0.0))  # ln a of least norm where all x are one value
-    slope = F.when(det > 1e-12, (n * sxy - sx * sy) / det).otherwise(flat * sx / n)
-    at0 = F.when(det > 1e-12, (sy - slope * sx) / n).otherwise(flat)
-    fit = F.struct(F.exp(at0).alias("a"), F.greatest(F.lit(0.1), -slope).alias("kappa"))
-    return F.when(n >= 2, fit).otherwise(F.struct(F.lit(default[0]).alias("a"), F.lit(default[1]).alias("kappa")))
+    # One element, so that what the lambda reads is made once.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def moments(side: Column) -> Column:
+        best = F.get(side["p"], F.lit(0))
+        point = lambda p, q: F.struct(F.when(p == best, F.lit(tick)).otherwise(F.abs(p - best)).alias("x"), F.when((p > 0) & (q > 0), F.log(q.cast("double"))).alias("y"))
+        points = F.filter(F.zip_with(side["p"], side["q"], point), lambda t: t["y"].isNotNull())
+        add = lambda m, x, y: F.struct((m["n"] + 1.0).alias("n"), (m["x"] + x).alias("x"), (m["y"] + y).alias("y"), (m["xx"] + x * x).alias("xx"), (m["xy"] + x * y).alias("xy"))
+        return F.aggregate(points, F.struct(*[F.lit(0.0).alias(c) for c in ("n", "x", "y", "xx", "xy")]), lambda m, t: add(m, t["x"], t["y"]))
+
+    def line(m: Column) -> Column:
+        n, sx, sy = m["n"], m["x"], m["y"]
+        det = n * m["xx"] - sx * sx
+        flat = sy / F.nullif(n * (1 + (sx / n) * (sx / n)), F.lit(0.0))  # ln a of least norm where all x are one value
+        slope = F.when(det > 1e-12, (n * m["xy"] - sx * sy) / det).otherwise(flat * sx / n)
+        at0 = lambda b: F.when(det > 1e-12, (sy - b * sx) / n).otherwise(flat)
+        fit = once(slope, lambda b: F.struct(F.exp(at0(b)).alias("a"), F.greatest(F.lit(0.1), -b).alias("kappa")))
+        return F.when(n >= 2, fit).otherwise(F.struct(F.lit(default[0]).alias("a"), F.lit(default[1]).alias("kappa")))
+
+    return once(once(F.struct(prices.alias("p"), quantities.alias("q")), moments), line)

@@ -84,7 +84,7 @@ def depth_decay_fit(spark, d):
     levels = F.sequence(F.lit(0), F.lit(4))
     prices = F.transform(levels, lambda i: F.col("price") - i * 0.5 * (1 + F.col("qty") % 3))
     quantities = F.transform(levels, lambda i: (F.col("qty") * (i + 3)) % 50)
-    t = t.withColumns({"p": prices, "q": quantities}).withColumn("fit", regression.depth_fit(F.col("p"), F.col("q"), 0.05, (140.0, 1.5)))
+    t = t.select("event_id", F.explode(F.array(regression.depth_fit(prices, quantities, 0.05, (140.0, 1.5)))).alias("fit"))
     return t.select("event_id", r("fit.a", 5).alias("a"), r("fit.kappa").alias("kappa"))
 
 

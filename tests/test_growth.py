@@ -36,3 +36,7 @@ def test_equal_prices_are_not_above_their_mean(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {(r.symbol, r.state, r["size"]) for r in entry.queries()["state_profile"](spark, str(tmp_path)).collect()}
     assert got == {(f"s{f}", "below", 60) for f in range(60)}
+
+
+def test_a_depth_fit_reads_its_levels_once(spark):
+    assert plan(entry.queries()["depth_decay_fit"](spark, SF)).count("zip_with(") == 1

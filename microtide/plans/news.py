@@ -64,14 +64,12 @@ _PARSED = ANSWER.join(["WITH a AS (", """), j AS (SELECT event_id, CASE WHEN raw
 
 @query(_PARSED + " SELECT event_id, sentiment, uncertainty, pause_minutes, mm_action FROM s")
 def scored_answers(spark, d):
-    s = answers(spark, d).withColumn("s", news.parsed_scores(F.col("raw"))).where("s is not null")
-    return s.select("event_id", "s.sentiment", "s.uncertainty", "s.pause_minutes", "s.mm_action")
+    return news.scored(answers(spark, d), "raw", ["event_id"]).select("event_id", "sentiment", "uncertainty", "pause_minutes", "mm_action")
 
 
 @query(_PARSED + """, e AS (SELECT unnest(symbols) AS symbol, mm_action, uncertainty FROM s) SELECT symbol, count(*) AS n, count(*) FILTER (mm_action = 'PAUSE') AS pause, count(*) FILTER (mm_action = 'WIDEN') AS widen, count(*) FILTER (mm_action = 'NORMAL') AS normal, max(uncertainty) AS most_uncertain, arg_min(mm_action, {'a': -uncertainty, 'b': mm_action}) AS worst_action FROM e GROUP BY 1""")
 def news_rollup(spark, d):
-    s = answers(spark, d).withColumn("s", news.parsed_scores(F.col("raw"))).where("s is not null")
-    return news.rollup(s.select("s.*"))
+    return news.rollup(news.scored(answers(spark, d), "raw"))
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('error', 'click') AND CASE WHEN event_id % 3 = 0 THEN event_type = 'error' ELSE event_id % 10 < 5 END THEN 999.0 ELSE round(greatest(1 + floor(value) / 100, CASE event_id % 6 WHEN 0 THEN 3.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.5 WHEN 3 THEN 1.5 ELSE 1.0 END, CASE event_id % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 1.2 ELSE 1.0 END), 2) END AS factor FROM events""")

@@ -1,10 +1,12 @@
-"""Scalar functions of the market vocabulary: all are Column expressions, evaluated in the JVM."""
+"""Scalar functions of the market vocabulary: Column expressions, evaluated in the JVM but for implied volatilities."""
 
 from __future__ import annotations
 
 import math
 from datetime import date
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -164,17 +166,36 @@ def bs_greeks(call: Column, s: Column, k: Column, t: Column, r: float, v: Column
     }
 
 
+def price_and_vega(sign: np.ndarray, s: np.ndarray, k: np.ndarray, t: np.ndarray, r: float, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``bs_price`` and its derivative in volatility of many options at once; ``sign`` is 1 for a call, -1 for a put."""
+    pdf = lambda x: np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+
+    def cdf(x: np.ndarray) -> np.ndarray:
+        u = 1 / (1 + 0.2316419 * np.abs(x))
+        tail = pdf(x) * u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))
+        return np.where(x >= 0, 1 - tail, tail)
+
+    d1 = (np.log(s / k) + (r + v * v / 2) * t) / (v * np.sqrt(t))
+    d2 = d1 - v * np.sqrt(t)
+    return sign * (s * cdf(sign * d1) - k * np.exp(-r * t) * cdf(sign * d2)), s * pdf(d1) * np.sqrt(t)
+
+
 def implied_vol(call: Column, price: Column, s: Column, k: Column, t: Column, r: float = 0.07, low: float = 0.001, high: float = 20.0, steps: int = 60) -> Column:
     """Bisection of the price in volatility; null below 0.999 of intrinsic value or outside the bracket."""
     intrinsic = F.greatest(F.lit(0.0), F.when(call, s - k).otherwise(k - s))
 
-    def half(acc: Column, _: Column) -> Column:
-        mid = (acc["lo"] + acc["hi"]) / 2
-        below = bs_price(call, s, k, t, r, mid) < price
-        return F.struct(F.when(below, mid).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(mid).alias("hi"))
-
-    start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda acc: (acc["lo"] + acc["hi"]) / 2)
+    @F.pandas_udf("double")
+    def bisected(sign: pd.Series, price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
+        sign, price, s, k, t = (x.to_numpy(float) for x in (sign, price, s, k, t))
+        lo, hi = np.full(len(s), low), np.full(len(s), high)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                mid = (lo + hi) / 2
+                below = price_and_vega(sign, s, k, t, r, mid)[0] < price
+                lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+        return pd.Series((lo + hi) / 2)
+
+    found = bisected(F.when(call, 1.0).otherwise(-1.0), price, s, k, t)
     valid = (price >= 0.999 * intrinsic) & (price > 0) & (t > 0) & (found > low * 1.001) & (found < high * 0.999)
     return F.when(valid, found)
 

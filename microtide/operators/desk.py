@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,22 +72,26 @@ def implied_vol_newton(call: Column, price: Column, s: Column, k: Column, t: Col
     """Newton's method in volatility: halved where a step leaves the positive numbers, ended by ``tol`` or a flat price.
 
     Null below intrinsic value, without time or price, and where the result isn't inside
-    (0.001, 5). Each step is one expression in a fold over ``steps``.
+    (0.001, 5). Each step is numpy's over a batch of rows.
     """
     intrinsic = F.greatest(F.lit(0.0), F.when(call, s - k).otherwise(k - s))
 
-    def step(acc: Column, _: Column) -> Column:
-        v = acc["v"]
-        d1 = (F.log(s / k) + (r + v * v / 2) * t) / (v * F.sqrt(t))
-        vega = s * scalar.norm_pdf(d1) * F.sqrt(t)
-        flat = F.abs(vega) < 1e-10
-        new = v - (scalar.bs_price(call, s, k, t, r, v) - price) / F.when(flat, 1.0).otherwise(vega)
-        done = acc["done"] | flat | ((new > 0) & (F.abs(new - v) < tol))
-        nxt = F.when(acc["done"] | flat, v).when(new <= 0, v / 2).otherwise(new)
-        return F.struct(nxt.alias("v"), done.alias("done"))
-
-    begin = F.struct(F.lit(start).alias("v"), F.lit(False).alias("done"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), begin, step, lambda acc: acc["v"])
+    @F.pandas_udf("double")
+    def newton(sign: pd.Series, price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series) -> pd.Series:
+        sign, price, s, k, t = (x.to_numpy(float) for x in (sign, price, s, k, t))
+        v, done = np.full(len(s), start), np.zeros(len(s), bool)
+        with np.errstate(all="ignore"):
+            for _ in range(steps):
+                if done.all():
+                    break
+                at, vega = scalar.price_and_vega(sign, s, k, t, r, v)
+                still = done | (np.abs(vega) < 1e-10)
+                new = v - (at - price) / np.where(still, 1.0, vega)
+                done = still | ((new > 0) & (np.abs(new - v) < tol))
+                v = np.where(still, v, np.where(new <= 0, v / 2, new))
+        return pd.Series(v)
+
+    found = newton(F.when(call, 1.0).otherwise(-1.0), price, s, k, t)
     live = (t > 0) & (price > 0) & (price >= intrinsic - 1e-6)
     found = F.when(live, found)
     return F.when((found > 0.001) & (found < 5.0), found)

@@ -47,3 +47,7 @@ def test_an_answer_is_parsed_once(spark):
     assert p.count("from_json(") == 1
     raw = spark.createDataFrame([(1, '{"sentiment": 3, "symbols": ["A"]}'), (2, "no"), (3, '```json\n{"uncertainty": 0.5}\n```'), (4, None)], "i int, raw string")
     assert {r.i: (r.sentiment, r.uncertainty, r.symbols) for r in news.scored(raw, "raw", ["i"]).collect()} == {1: (1.0, 0.0, ["A"]), 3: (0.0, 0.5, [])}
+
+
+def test_newton_steps_run_over_batches(spark):
+    assert "ArrowEvalPython" in plan(entry.queries()["implied_vol_newton"](spark, SF))

@@ -51,3 +51,12 @@ def test_an_answer_is_parsed_once(spark):
 
 def test_newton_steps_run_over_batches(spark):
     assert "ArrowEvalPython" in plan(entry.queries()["implied_vol_newton"](spark, SF))
+
+
+def test_bisection_runs_over_batches(spark):
+    df = entry.queries()["implied_vol"](spark, SF)
+    assert "ArrowEvalPython" in plan(df)
+    got = {tuple(x) for x in df.collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
+    assert got == {(k, float(v)) for k, v in con.execute(entry.oracle_sql()["implied_vol"]).fetchall()} and got

@@ -89,6 +89,8 @@ def fit(df: DataFrame, keys: list[str], order: list[str], count: str, ret: str,
     """
     rng = np.random.default_rng(seed)
     rows = df.where(F.col(count).isNotNull()).select(*keys, *order, F.col(count).cast("int").alias("__c"), F.col(ret).cast("double").alias("__r"))
+    # Read again in every round; dealt by key once, so that a round shuffles nothing but its sums.
+    rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys).persist()
     base = {r["__c"]: r for r in rows.groupBy("__c").agg(F.avg((F.col("__r") == 0).cast("double")).alias("z")).collect()}
     spread = rows.where("__r != 0 and not isnan(__r)").agg(F.stddev_pop("__r").alias("s")).first()["s"] or 1.0
     moving = {}
@@ -132,6 +134,7 @@ def fit(df: DataFrame, keys: list[str], order: list[str], count: str, ret: str,
                 list((s["start"] + 1e-3) / (s["start"].sum() + k * 1e-3)), ((xi + 1e-3) / (xi.sum(1, keepdims=True) + k * 1e-3)).tolist(),
                 ((n + 0.01) / (n.sum(1, keepdims=True) + 0.01 * categories)).tolist(), p.tolist(), np.sqrt(np.maximum(s["xx"] / np.maximum(s["moved"], 1e-12), 1e-8)).tolist(),
             )
+    rows.unpersist()
     best = max(done.values(), key=lambda d: d[0])[1]
     by = np.argsort(np.array(best.q)[:, 0], kind="stable")
     return JointHmm(list(np.array(best.start)[by]), np.array(best.transition)[np.ix_(by, by)].tolist(), np.array(best.q)[by].tolist(), np.array(best.zero)[by].tolist(), list(np.array(best.sigma)[by]))

@@ -95,11 +95,12 @@ def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3
     """
     rng = np.random.default_rng(seed)
     levels = [[(i + 0.5) / k for i in range(k)]] + [sorted(rng.uniform(0.02, 0.98, k).tolist()) for _ in range(starts - 1)]
-    q = df.select(F.percentile(x, F.array(*[F.lit(v) for at in levels for v in at])).alias("q"), F.stddev_pop(x).alias("s")).first()
+    # Read again in every round; dealt by key once, so that a round shuffles nothing but its sums.
+    rows = df.select(*keys, *order, x).repartition(df.sparkSession.sparkContext.defaultParallelism, *keys).persist()
+    q = rows.select(F.percentile(x, F.array(*[F.lit(v) for at in levels for v in at])).alias("q"), F.stddev_pop(x).alias("s")).first()
     stay = (np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))).tolist()
     spread = [np.ones(k)] + [rng.uniform(0.3, 3.0, k) for _ in range(starts - 1)]
     moving = {m: Hmm([1 / k] * k, stay, list(q["q"][m * k : (m + 1) * k]), np.maximum(q["s"] / k * spread[m], 1e-6).tolist()) for m in range(starts)}
-    rows = df.select(*keys, *order, x)
 
     def expect(now: dict[int, Hmm]):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -113,7 +114,8 @@ def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3
     for step in range(rounds + 1):
         if not moving:
             break
-        sums = rows.groupBy(*keys).applyInPandas(expect(dict(moving)), "m int, stat string, i int, v double").groupBy("m", "stat", "i").agg(F.sum("v").alias("v")).orderBy("m", "stat", "i").collect()
+        sums = rows.groupBy(*keys).applyInPandas(expect(dict(moving)), "m int, stat string, i int, v double").groupBy("m", "stat", "i").agg(F.sum("v").alias("v")).collect()
+        sums.sort(key=lambda r: (r["m"], r["stat"], r["i"]))  # K + K * K numbers or so of each start
         for m, model in list(moving.items()):
             s = {n: np.array([r["v"] for r in sums if r["m"] == m and r["stat"] == n]) for n in ("start", "xi", "n", "x", "xx", "ll")}
             ll, before = float(s["ll"][0]), done.get(m)
@@ -126,6 +128,7 @@ def fit_hmm(df: DataFrame, keys: list[str], order: list[str], x: str, k: int = 3
             mean = s["x"] / np.maximum(s["n"], 1e-9)
             var = np.maximum(s["xx"] / np.maximum(s["n"], 1e-9) - mean * mean, 1e-12)
             moving[m] = Hmm(list(s["start"] / s["start"].sum()), (xi / xi.sum(1, keepdims=True)).tolist(), list(mean), list(np.sqrt(var)))
+    rows.unpersist()
     model = max(done.values(), key=lambda d: d[0])[1]
     by = np.argsort(model.sd, kind="stable")
     return Hmm(list(np.array(model.start)[by]), np.array(model.transition)[np.ix_(by, by)].tolist(), list(np.array(model.mean)[by]), list(np.array(model.sd)[by]))

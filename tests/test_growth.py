@@ -60,3 +60,10 @@ def test_bisection_runs_over_batches(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{SF}/part.parquet'")
     assert got == {(k, float(v)) for k, v in con.execute(entry.oracle_sql()["implied_vol"]).fetchall()} and got
+
+
+def test_rounds_of_a_hidden_markov_fit_make_their_rows_once(spark):
+    df = spark.range(200).select((F.col("id") % 4).alias("k"), "id", (F.randn(1) * F.when(F.col("id") > 100, 3).otherwise(1)).alias("x"))
+    df, seen = counted(spark, df, "id")
+    model = regimes.fit_hmm(df, ["k"], ["id"], "x", k=2, rounds=5)
+    assert seen.value == 200 and model.sd[0] < model.sd[1]

@@ -63,6 +63,7 @@ def importance(df: DataFrame, columns: Sequence[str], label: str, row: str, fold
     test rows. sfi: accuracy over the folds with this column alone. ``row`` tells rows apart;
     ``folds`` and ``columns`` are few, and each model is one Spark job over all rows.
     """
+    df = df.persist()  # each model reads it several times
     _, whole = _fitted(df, columns, label, weight, trees, depth, seed)
     mdi = whole.featureImportances.toArray()
     lost, alone = dict.fromkeys(columns, 0.0), dict.fromkeys(columns, 0.0)
@@ -76,4 +77,5 @@ def importance(df: DataFrame, columns: Sequence[str], label: str, row: str, fold
             lost[c] += (base - less) / base / len(folds) if base else 0.0
             single, _ = _fitted(df.where(train), [c], label, weight, trees, depth, seed)
             alone[c] += _accuracy(single(held), label) / len(folds)
+    df.unpersist()
     return df.sparkSession.createDataFrame([(c, float(mdi[i]), float(lost[c]), float(alone[c])) for i, c in enumerate(columns)], "feature string, mdi double, mda double, sfi double")

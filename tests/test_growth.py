@@ -67,3 +67,23 @@ def test_rounds_of_a_hidden_markov_fit_make_their_rows_once(spark):
     df, seen = counted(spark, df, "id")
     model = regimes.fit_hmm(df, ["k"], ["id"], "x", k=2, rounds=5)
     assert seen.value == 200 and model.sd[0] < model.sd[1]
+
+
+def counted(spark, df, column):
+    """``df`` and an accumulator of how often its rows are made."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    return df.mapInPandas(run, df.schema), seen
+
+
+def test_models_of_importance_make_their_rows_once(spark):
+    df = spark.range(400).select("id", F.rand(1).alias("a"), F.rand(2).alias("b")).withColumn("y", (F.col("a") > 0.5).cast("double"))
+    df, seen = counted(spark, df, "id")
+    folds = [(F.col("id") % 2 == 0, F.col("id") % 2 == 1), (F.col("id") % 2 == 1, F.col("id") % 2 == 0)]
+    got = {r.feature: r.sfi for r in importance.importance(df, ["a", "b"], "y", "id", folds, trees=2, depth=2).collect()}
+    assert seen.value == 400 and got["a"] > 0.9

@@ -127,6 +127,16 @@ class Features:
 _SAVED = "last_mid double, last_oi double, autocorr double, bars long, bid array<double>, ask array<double>, " + ", ".join(f"{n} array<double>, {n}_base double" for n in RINGS)
 
 
+#: Rows that are turned into dicts and results at once.
+CHUNK = 10_000
+
+
+def _narrow(v: np.ndarray) -> np.ndarray:
+    """The values in half the width, where that loses nothing."""
+    small = v.astype(np.float32)
+    return small if np.array_equal(small, v, equal_nan=True) else v
+
+
 class FeatureProcessor(StatefulProcessor):
     """Bars of a key in order of ``order`` within a micro-batch; what is kept per key doesn't grow."""
 
@@ -137,11 +147,28 @@ class FeatureProcessor(StatefulProcessor):
         self.state = handle.getValueState("features", _SAVED)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.order)
+        # All of the micro-batch's rows are held for their order, as narrow columns; dicts and results only of CHUNK rows.
+        orders, columns = [], {c: [] for c in INPUTS}
+        for f in rows:
+            orders.append(f[self.order])
+            for c in columns:
+                if c in f:
+                    columns[c].append(_narrow(f[c].to_numpy(float)))
+        frame = pd.concat(orders, ignore_index=True)
+        for c in INPUTS:
+            held = columns.pop(c)
+            if held:
+                columns[c] = np.concatenate(held)
+        at = frame.sort_values(self.order).index.to_numpy()
         now = Features(self.state.get() if self.state.exists() else None)
-        made = [now.update(bar) for bar in frame[[c for c in INPUTS if c in frame]].to_dict("records")]
-        self.state.update(now.saved())
-        yield pd.concat([frame[[self.key, *self.order]].reset_index(drop=True), pd.DataFrame(made, columns=list(FEATURES))], axis=1)
+        for i in range(0, len(at), CHUNK):
+            part = at[i : i + CHUNK]
+            made = [now.update(bar) for bar in pd.DataFrame({c: v[part].astype(float) for c, v in columns.items()}).to_dict("records")]
+            if i + CHUNK >= len(at):
+                self.state.update(now.saved())
+            out = frame.iloc[part].reset_index(drop=True)
+            out.insert(0, self.key, [key[0]] * len(part))
+            yield pd.concat([out, pd.DataFrame(made, columns=list(FEATURES))], axis=1)
 
     def close(self) -> None:
         pass

@@ -6,6 +6,7 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,3 +171,34 @@ def test_duplicates_and_files_of_a_stream(spark, tmp_path):
     q.stop()
     assert sorted(x.id for x in spark.read.parquet(f"{folder}-flush").collect()) == ["a", "b", "c"]
     assert {d for d in os.listdir(f"{folder}-flush") if d.startswith("day=")} == {"day=d1", "day=d2"}
+
+
+class Held:
+    """A value state in memory."""
+
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_features_are_given_in_chunks_and_in_order(monkeypatch):
+    monkeypatch.setattr(state, "CHUNK", 100)
+    names = [c.split()[0] for c in BAR.split(", ")]
+    rows = pd.DataFrame(some_bars(450, 5), columns=names)
+    mixed = rows.sample(frac=1, random_state=1)
+    p = state.FeatureProcessor("symbol", ["i"])
+    p.state = Held()
+    got = list(p.handleInputRows(("s5",), iter([mixed[:200], mixed[200:]]), None))
+    assert [len(f) for f in got] == [100, 100, 100, 100, 50]
+    one = state.Features()
+    want = [one.update(b) for b in rows[[c for c in state.INPUTS if c in names]].to_dict("records")]
+    whole = pd.concat(got)
+    assert whole["i"].tolist() == list(range(450)) and set(whole["symbol"]) == {"s5"}
+    assert np.allclose(whole[list(state.FEATURES)].to_numpy(float), np.array(want), rtol=0, atol=0) and p.state.value[3] == 450

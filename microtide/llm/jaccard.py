@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from microtide.llm.common import ascii_lower, free, identity, materialize, release, table, words
@@ -71,8 +71,9 @@ def _prefix_rows(reps: DataFrame) -> DataFrame:
     """(cid, n, shared: array of (df, token, rank)) of the sets that share a prefix token."""
     rows = reps.select("cid", "n", F.posexplode("prefix").alias("rank", "token"))
     packed = rows.select("token", "cid", (F.col("n").cast("long") * (1 << 32) + F.col("rank")).alias("nr"))
-    df = packed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = packed.join(df, "token").select("cid", F.shiftright("nr", 32).cast("int").alias("n"), F.struct("df", "token", F.col("nr").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rank")).alias("s"))
+    # A window counts and keeps the rows in one shuffle, where a count and a join take two.
+    counted = packed.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("df > 1")
+    shared = counted.select("cid", F.shiftright("nr", 32).cast("int").alias("n"), F.struct("df", "token", F.col("nr").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("rank")).alias("s"))
     return shared.groupBy("cid", "n").agg(F.sort_array(F.collect_list("s")).alias("shared"))
 
 
@@ -143,15 +144,16 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b, r, n, far, size, half, least, alone, ordered) of the members b of pivots a: the symmetric difference in order of frequency.
+    """(a, b, r, n, far, size, half, least, ends, alone, ordered) of the members b of pivots a that may link: the symmetric difference in order of frequency.
 
     |x ^ y| = |dx| + |dy| - 2 |dx & dy| for the differences dx, dy from one pivot p, and x and y
     link if |x ^ y| <= w (|x| + |y|) with w = (1 - t) / (1 + t). ``far`` members, which don't link
     to p, have |d| > w (|d's set| + |p|). So a far y shares more than
     (|dx| + w (|p| - |x|)) / 2 tokens of dx with any x that it links to: ``half`` tokens of dx
     include one of them. If x is far too and |dy| >= |dx|, |x| <= |y| / t or the like leaves
-    out w (|x| + |y|) / 2 tokens at most, so ``least`` tokens do. Frequencies are those among
-    far members: the others are only compared with these.
+    out w (|x| + |y|) / 2 tokens at most, so ``least`` tokens do. Of any dx, all tokens but
+    w (|x| + |y|), which is (1 - t) / t * |x| at most, are in dy: one token more, ``ends`` of them,
+    include a common one. Frequencies are those among far members: the others are only compared with these.
     """
     up, low = t.numerator, t.denominator
     n, p, size = F.size("set_b"), F.size("set_a"), F.size("diff")
@@ -159,12 +161,16 @@ def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
     half = size - F.floor(((up + low) * size + (low - up) * (p - n)) / (2 * (up + low)))
     least = F.least(half, F.floor((low - up) * n / (2 * up)) + 1)
     made = materialize(both.select("a", "b", "r", n.alias("n"), (size * (up + low) > (low - up) * (n + p)).alias("far"), size.alias("size"), half.cast("int").alias("half"), least.cast("int").alias("least"), "diff"))
-    rows = made.select("a", "b", "far", F.explode("diff").alias("token"))
-    df = rows.where("far").groupBy("a", "token").agg(F.count(F.lit(1)).alias("df"))
-    # Tokens of no far member come first in order; only their number, ``alone``, counts.
-    ordered = rows.join(df, ["a", "token"]).groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
-    alone = size - F.size("ordered")
-    return materialize(made.join(ordered, ["a", "b"]).select("a", "b", "r", "n", "far", "size", "half", "least", alone.alias("alone"), "ordered"))
+    same = Window.partitionBy("a", "token")
+    rows = made.select("a", "b", "r", "far", F.explode("diff").alias("token"))
+    met = rows.select("a", "b", "token", F.sum(F.col("far").cast("int")).over(same).alias("df"), (F.min("r").over(same) != F.max("r").over(same)).alias("met")).where("met")
+    # Tokens that no members of different components share come first in order; only their number, ``alone``, counts.
+    ordered = met.groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    ends = (F.floor((low - up) * F.col("n") / up) + 1).cast("int")
+    whole = made.drop("diff").join(ordered, ["a", "b"]).withColumn("ends", ends).withColumn("alone", F.col("size") - F.size("ordered"))
+    out = materialize(whole.where("alone < ends").select("a", "b", "r", "n", "far", "size", "half", "least", "ends", "alone", "ordered"))
+    release(made)
+    return out
 
 
 def _across(diffs: DataFrame, t: Fraction) -> DataFrame:
@@ -174,7 +180,7 @@ def _across(diffs: DataFrame, t: Fraction) -> DataFrame:
     i <= |dx| - c and j <= |dy| - c: most pairs that meet later in order fail that.
     """
     up, low = t.numerator, t.denominator
-    own = lambda df, k: df.select("a", "b", "r", "n", "size", "alone", F.posexplode(F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ordered"), F.col(k) - F.col("alone"))))).alias("at", "s")).select("a", F.col("s.token").alias("token"), F.col("s.df").alias("df"), "b", "r", "n", "size", (F.col("at") + F.col("alone")).alias("at"))
+    own = lambda df, k: df.select("a", "b", "r", "n", "size", "alone", F.posexplode(F.slice("ordered", F.lit(1), F.greatest(F.lit(0), F.least(F.size("ordered"), F.least(k, "ends") - F.col("alone"))))).alias("at", "s")).select("a", F.col("s.token").alias("token"), F.col("s.df").alias("df"), "b", "r", "n", "size", (F.col("at") + F.col("alone")).alias("at"))
     other = lambda df: df.select("a", "token", *[F.col(c).alias(f"{c}_y") for c in ("b", "r", "n", "size", "at")])
     far, near = diffs.where("far"), diffs.where("not far")
     apart = (F.col("r") != F.col("r_y")) & (F.least("n", "n_y") * low >= F.greatest("n", "n_y") * up)

@@ -2,11 +2,13 @@
 
 The tagger is trained from labelled spans: those of the patterns in a bounded sample of texts,
 and variants written from them that no pattern matches (addresses spelt out, defanged hosts,
-numbers with other separators, phone numbers without a plus sign). It reads every whole text in
+numbers with other separators, phone numbers without a plus sign). It reads texts in
 overlapping windows; the emissions of all windows are averaged per character, weighted by the
 distance from the window's edge. Where O leads by more than LEAD it stands; every stretch
 between is decoded by the CRF at once, over the windows it lies in. What has the form of a
-pattern was judged by that pattern, and isn't added.
+pattern was judged by that pattern, and isn't added. Every text is searched whole for the at
+signs and digits without which a span isn't plausible; only the windows that these and the
+stretches around them lie in are read, which gives what reading all windows gives.
 """
 
 from __future__ import annotations
@@ -263,15 +265,21 @@ class Reader:
                 out[t, :, at * HIDDEN : (at + 1) * HIDDEN] = h
         return out @ self.tagger.p["o"] + self.tagger.p["ob"]
 
-    def spans(self, total: np.ndarray, weight: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(kind, start, end, sureness) from a text's weighted sums of emissions (T, TAGS) and weights (T, 1)."""
+    @staticmethod
+    def stretches(total: np.ndarray, weight: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+        """First and last character of the stretches where O doesn't lead, among the ``known`` characters."""
         by_tag = np.ascontiguousarray(total.T)
-        open_ = np.flatnonzero(by_tag[1:].max(0) - by_tag[0] > -LEAD * weight[:, 0])
+        is_open = by_tag[1:].max(0) - by_tag[0] > -LEAD * weight[:, 0]
+        open_ = np.flatnonzero(is_open if known is None else is_open & known)
         if not len(open_):
             return []
         cuts = np.flatnonzero(np.diff(open_) > 2 * AROUND)
+        return list(zip(open_[np.concatenate([[0], cuts + 1])].tolist(), open_[np.concatenate([cuts, [len(open_) - 1]])].tolist(), strict=True))
+
+    def spans(self, total: np.ndarray, weight: np.ndarray, among: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, float]]:
+        """(kind, start, end, sureness) from a text's weighted sums of emissions (T, TAGS) and weights (T, 1), in all stretches or those of ``among``."""
         found = []
-        for a, b in zip(open_[np.concatenate([[0], cuts + 1])], open_[np.concatenate([cuts, [len(open_) - 1]])], strict=True):
+        for a, b in self.stretches(total, weight) if among is None else among:
             a, b = max(0, int(a) - AROUND), min(len(total), int(b) + 1 + AROUND)
             part = total[a:b] / weight[a:b]
             tags = self.tagger.decode(part)
@@ -288,39 +296,76 @@ class Reader:
         return found
 
 
-def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024) -> list[list[tuple[int, int, int, float]]]:
-    """(kind, start, end, sureness) of the tagged spans of each text, read as a whole."""
+def _seeded(stretch: tuple[int, int], seeds: np.ndarray) -> bool:
+    at = np.searchsorted(seeds, stretch[0] - AROUND)
+    return at < len(seeds) and seeds[at] <= stretch[1] + AROUND
+
+
+def tag_texts(tagger: Tagger, texts: list[str], batch: int = 1024, seeds: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int, float]]]:
+    """(kind, start, end, sureness) of the tagged spans of each text, read as a whole.
+
+    With sorted ``seeds`` (positions per text), of the stretches that hold a seed: the windows
+    around the seeds are read, then those that such a stretch reaches, until all of it is known.
+    What is found is what the whole reading finds there.
+    """
     reader = Reader(tagger)
     found: list[list[tuple[int, int, int, float]]] = [[] for _ in texts]
     jobs: list[tuple[int, int]] = []
     ids: dict[int, np.ndarray] = {}
-    held: dict[int, list] = {}  # text: summed emissions, weights, windows to come
-
-    def flush() -> None:
-        em = reader.emit(np.array([_cut(ids[k], s, WINDOW) for k, s in jobs]).T)
-        for n, (k, s) in enumerate(jobs):
+    held: dict[int, list] = {}  # text: summed emissions, weights, windows to come, starts of unread windows
+
+    def ask(k: int, wanted: np.ndarray) -> None:
+        """Reads the windows that hold a wanted character."""
+        before = np.concatenate([[0], np.cumsum(wanted)])
+        unread = held[k][3]
+        now = [s for s in unread if before[min(len(wanted), s + WINDOW)] > before[s]]
+        held[k][2], held[k][3] = len(now), [s for s in unread if s not in set(now)] if len(now) < len(unread) else []
+        jobs.extend((k, s) for s in now)
+
+    def settle(k: int) -> None:
+        """All windows asked for are read: the text is done, or its stretches reach further."""
+        total, weight, _, unread = held[k]
+        among = None
+        if seeds is not None:
+            known = np.ones(len(total), bool)
+            for s in unread:
+                known[s : s + WINDOW] = False
+            among = [x for x in reader.stretches(total, weight, known) if _seeded(x, seeds[k])]
+            wanted = np.zeros(len(total), bool)
+            for a, b in among:
+                wanted[max(0, a - 2 * AROUND) : b + 2 * AROUND + 1] = True
+            if (wanted & ~known).any():
+                return ask(k, wanted & ~known)
+        found[k] = reader.spans(total, weight, among)
+        del held[k], ids[k]
+
+    def flush(size: int) -> None:
+        now, jobs[:size] = jobs[:size], []
+        em = reader.emit(np.array([_cut(ids[k], s, WINDOW) for k, s in now]).T)
+        for n, (k, s) in enumerate(now):
             size = min(WINDOW, len(ids[k]) - s)
-            total, weight, left = held[k]
+            total, weight = held[k][:2]
             total[s : s + size] += em[:size, n] * _EDGE[:size]
             weight[s : s + size] += _EDGE[:size]
-            held[k][2] = left - 1
-            if left == 1:
-                found[k] = reader.spans(total, weight)
-                del held[k], ids[k]
-        jobs.clear()
+            held[k][2] -= 1
+            if not held[k][2]:
+                settle(k)
 
     for k, t in enumerate(texts):
-        if not t:
+        if not t or seeds is not None and not len(seeds[k]):
             continue
         ids[k] = classes(t)
-        starts = windows(len(t))
-        held[k] = [np.zeros((len(t), TAGS), np.float32), np.zeros((len(t), 1), np.float32), len(starts)]
-        for s in starts:
-            jobs.append((k, s))
-            if len(jobs) == batch:
-                flush()
-    if jobs:
-        flush()
+        held[k] = [np.zeros((len(t), TAGS), np.float32), np.zeros((len(t), 1), np.float32), 0, windows(len(t))]
+        wanted = np.ones(len(t), bool)
+        if seeds is not None:
+            wanted[:] = False
+            for at in seeds[k]:
+                wanted[max(0, at - AROUND) : at + AROUND + 1] = True
+        ask(k, wanted)
+        while len(jobs) >= batch:
+            flush(batch)
+    while jobs:
+        flush(batch)
     return found
 
 
@@ -347,6 +392,26 @@ def plausible(kind: int, span: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
+#: Every place where AT_SIGN matches, also where matches overlap.
+AT_PLACES = re.compile(f"(?={AT_SIGN.pattern})", re.I)
+
+
+def seeds_of(text: str, own: list[tuple[int, int, int]]) -> np.ndarray:
+    """Sorted positions of which every span that is ``plausible`` and overlaps none of ``own`` holds one.
+
+    Such a span has an at sign or what stands for it, or 9 digits on end but for what is between them, or
+    parts of 4 numbers on end: so one of every 9th digit of the text, or an end of every 4th number.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    digits = np.flatnonzero((codes >= 48) & (codes <= 57))
+    first = digits[np.diff(digits, prepend=-2) > 1]
+    last = digits[np.diff(digits, append=len(codes) + 1) > 1]
+    out = np.unique(np.concatenate([digits[8::9], first[3::4], last[3::4], [m.start() for m in AT_PLACES.finditer(text)]]).astype(np.int64))
+    for _, s, e in own:
+        out = out[(out < s) | (out >= e)]
+    return out
+
+
 def variants(kind: int, span: str) -> list[str]:
     """Writings of a span that no pattern matches."""
     if kind == 0:
@@ -446,7 +511,7 @@ def _find(model) -> object:
         for frame in frames:
             texts = [t or "" for t in frame["text"]]
             base = [base_spans(t) for t in texts]
-            extra = tag_texts(tagger, texts) if tagger else [[] for _ in texts]
+            extra = tag_texts(tagger, texts, seeds=[seeds_of(t, own) for t, own in zip(texts, base, strict=True)]) if tagger else [[] for _ in texts]
             listed, counts, shas = [], [], []
             for text, own, more in zip(texts, base, extra, strict=True):
                 add = [(k, s, e) for k, s, e, sure in more if sure >= SURE and not FORMS[k].fullmatch(text[s:e]) and plausible(k, text[s:e]) and not any(s < y and x < e for _, x, y in own)]

@@ -36,6 +36,8 @@ LEVELS = (1, 2, 4, 8, 16, 32, 64, 256, 1024, 4096)
 SHORT_LEVEL, SHORT_SHARE, LEVEL_SHARE = 64, 0.2, 0.05
 #: A token that more sets meet in is compared by way of a central member.
 STAR = 12
+#: Parts by hash in which the tokens of the members of large buckets are gone through.
+PARTS = 4
 
 
 def shingle_set(w: Column, shingle: int = SHINGLE) -> Column:
@@ -143,6 +145,31 @@ def _overlaps(pairs: DataFrame, full: DataFrame) -> DataFrame:
     return _with_sets(pairs, full).select("a", "b", F.size("set_a").alias("na"), F.size("set_b").alias("nb"), F.size(F.array_intersect("set_a", "set_b")).alias("o"))
 
 
+def _sharing(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
+    """The rows (a, b, r) of stars whose member b may link to one of another component.
+
+    The two share t of b's tokens, so b leaves once too many are its component's alone among the
+    members. Tokens are gone through once a member, not once a pivot, and in parts: what has left
+    brings no more tokens, and those that may link lose none by that.
+    """
+    members = stars.select(F.col("b").alias("cid"), "r").distinct()
+    left = materialize(members.join(full.select("cid", F.size("set").alias("n")), "cid").withColumn("alone", F.lit(0)))
+    same = Window.partitionBy("token")
+    for part in range(PARTS):
+        some = full.select("cid", F.filter("set", lambda x: F.pmod(x, F.lit(PARTS)) == part).alias("some"))
+        rows = some.join(left.select("cid", "r"), "cid").select("cid", "r", F.explode("some").alias("token"))
+        own = rows.select("cid", (F.min("r").over(same) == F.max("r").over(same)).alias("own")).where("own").groupBy("cid").agg(F.count(F.lit(1)).cast("int").alias("more"))
+        alone = F.col("alone") + F.coalesce("more", F.lit(0))
+        now = materialize(left.join(own, "cid", "left").select("cid", "r", "n", alone.alias("alone")).where(F.col("alone") <= F.col("n") - _need(F.col("n"), t)))
+        release(left)
+        left = now
+    kept = stars.join(left.select(F.col("cid").alias("b")), "b", "left_semi").select("a", "b", "r")
+    several = kept.groupBy("a").agg((F.min("r") != F.max("r")).alias("several")).where("several").select("a")
+    out = materialize(kept.join(several, "a", "left_semi"))
+    release(left)
+    return out
+
+
 def _differences(stars: DataFrame, full: DataFrame, t: Fraction) -> DataFrame:
     """(a, b, r, n, far, size, half, least, ends, alone, ordered) of the members b of pivots a that may link: the symmetric difference in order of frequency.
 
@@ -264,6 +291,10 @@ def linked(docs: DataFrame, shingle: int = SHINGLE, threshold: Fraction = THRESH
     if stars.isEmpty():
         return sets, roots
     full = _full_sets(docs, sets, stars, shingle)
+    stars = _sharing(stars, full, t)
+    if stars.isEmpty():
+        release(full)
+        return sets, roots
     diffs = _differences(stars, full, t)
     rest = materialize(_across(diffs, t))
     release(full, diffs)

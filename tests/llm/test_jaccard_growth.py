@@ -24,6 +24,35 @@ def test_members_that_cannot_link_leave_no_tokens(spark):
     assert all(x.far and x.alone == 120 - len(x.ordered) and x.alone < x.ends for x in got.values())
 
 
+def test_sets_that_share_too_little_leave_before_any_difference(spark, monkeypatch):
+    r, made, real = random.Random(9), [], jaccard._differences
+    line = lambda k, n: " ".join(f"{k}w{i}" for i in range(n))
+    texts = [line("hot", 60) + " " + line(f"own{k}", 30) for k in range(30)]  # a third of each is its own
+    texts += [line("hot", 60) + " " + line("pair", 30) + f" end{k}" for k in range(2)]
+    monkeypatch.setattr(jaccard, "_differences", lambda stars, full, t: made.extend(stars.collect()) or real(stars, full, t))
+    r.shuffle(texts)
+    rows = jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    pair = {i for i, x in enumerate(texts) if "pair" in x}
+    assert not made and {x.doc_id: x.component_id for x in rows} == {i: min(pair) if i in pair else i for i in range(32)}
+
+
+def test_sharing_keeps_all_that_link(spark):
+    r, t = random.Random(6), jaccard.THRESHOLD
+    base = [r.sample(range(10_000), 150) for _ in range(12)]
+    sets = {0: set(base[0])}
+    for k in range(1, 90):
+        sets[k] = set(base[k % 12]) ^ set(r.sample(range(10_000), r.choice([2, 10, 30, 90])))
+    sets |= {k: sets[k - 90] | set(base[0][:100]) | set(range(200_000 + 300 * k, 200_000 + 300 * k + 200)) for k in range(90, 120)}
+    roots = {k: k % 12 for k in range(1, 60)}
+    link = lambda x, y: t.denominator * len(x & y) >= t.numerator * len(x | y)
+    root = lambda k: roots.get(k, k)
+    want = {k for a in sets for b in sets if 0 < a < b and root(a) != root(b) and link(sets[a], sets[b]) for k in (a, b)}
+    full = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "cid long, set array<long>")
+    members = spark.createDataFrame([(0, k, root(k)) for k in sets if k], "a long, b long, r long")
+    kept = {x.b for x in jaccard._sharing(members, full, t).collect()}
+    assert want and want <= kept and not kept & set(range(90, 120))
+
+
 def test_no_link_between_components_is_lost(spark):
     r, t = random.Random(5), jaccard.THRESHOLD
     base = [r.sample(range(10_000), 200) for _ in range(4)]
